@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, secrets, simhash
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op7_secrets": secrets.op7_secrets,
 }
 
 ORACLE = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_secrets": secrets.ORACLE_SQL,
 }
