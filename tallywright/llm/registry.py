@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, secrets, simhash, token_counts
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op7_secrets": secrets.op7_secrets,
+    "op8_token_counts": token_counts.op8_token_counts,
 }
 
 ORACLE = {
