@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, token_counts
+from . import decontaminate, secrets, simhash, token_counts, warc
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op7_secrets": secrets.op7_secrets,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op7_secrets": secrets.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
