@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, token_counts, warc
+from . import decontaminate, secrets, simhash, telephony, token_counts, warc
 
 QUERIES = {
+    "op2_telephony": telephony.op2_telephony,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op7_secrets": secrets.op7_secrets,
