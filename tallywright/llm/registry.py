@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, telephony, token_counts, warc
+from . import decontaminate, secrets, simhash, telephony, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_telephony": telephony.op2_telephony,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_warc": warc.op9_warc,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
