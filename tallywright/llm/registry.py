@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, telephony, token_counts, toxicity, warc
+from . import decontaminate, licenses, secrets, simhash, telephony, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_telephony": telephony.op2_telephony,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_licenses": licenses.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op7_secrets": secrets.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
