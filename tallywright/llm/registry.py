@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets, simhash, telephony, token_counts, toxicity, warc
+from . import decontaminate, licenses, secrets, simhash, substrings, telephony, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_telephony": telephony.op2_telephony,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op6_substrings": substrings.op6_substrings,
     "op7_secrets": secrets.op7_secrets,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_warc": warc.op9_warc,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE = {
     "op1_licenses": licenses.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_substrings": substrings.ORACLE_SQL,
     "op7_secrets": secrets.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }
