@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets, simhash, substrings, telephony, token_counts, toxicity, warc
+from . import decontaminate, licenses, pieces, secrets, simhash, substrings, telephony, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_telephony": telephony.op2_telephony,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_substrings": substrings.op6_substrings,
     "op7_secrets": secrets.op7_secrets,
     "op8_token_counts": token_counts.op8_token_counts,

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from .common import chunked, materialise
 from .vocabulary import HEAD, head_cutoff
 
 LIMIT = 1024
+# Fixed value: the pattern by which byte-level pre-tokenizers cut.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blank-separated stretches whose pre-tokens a worker remembers.
 MEMO = 1 << 18
 #: Distinct pre-tokens that a worker counts before it passes them on.
@@ -32,9 +35,9 @@ FLUSH = 1 << 18
 class PreTokens:
     """Pre-tokens of whole texts, by the library's own pre-tokenizer and added tokens.
 
-    A text without two adjacent spaces may be cut before every blank, for a pre-token that
-    holds a blank begins with it; the stretches repeat and are remembered. Other texts go
-    through the pre-tokenizer whole.
+    A text in which every space stands alone may be cut before every blank and line end,
+    for a pre-token that holds a blank begins with it; the stretches repeat and are
+    remembered. Other texts go through the pre-tokenizer whole.
     """
 
     def __init__(self, definition: str):
@@ -51,32 +54,52 @@ class PreTokens:
         self.added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.spaces = re.compile(r"\s\s")
         self.memo: dict[str, list[str]] = {}
+        # Latin letters have been the same letters in every version of Unicode, so for them
+        # the pattern of the byte-level pre-tokenizer need not be the library's own copy
+        plain = spec.get("pre_tokenizer") or {}
+        self.latin = regex.compile(BYTE_LEVEL).findall if plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not plain["add_prefix_space"] else None
 
     def _cut(self, text: str) -> list[str]:
+        if self.latin is not None and max(text) < "\u0250":
+            return self.latin(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _plain(self, text: str, into: Counter) -> None:
+    def _stretch(self, stretch: str) -> list[str]:
+        """Pre-tokens of what follows a blank, or of a line's begin with the line end before it."""
+        lead, body, head = ("", stretch[1:], ["\n"]) if stretch[0] == "\n" else (" ", stretch, [])
+        if not body:
+            return head
+        core = body.rstrip(".,;:!?")
+        if self.latin is not None and core.isalpha() and max(core) < "\u0250":
+            return [*head, lead + core, body[len(core):]] if len(core) < len(body) else [*head, lead + core]
+        return [*head, *self._cut(lead + body)]
+
+    def _plain(self, text: str, into: dict[str, int]) -> None:
         if not text:
             return
-        if self.spaces.search(text):
-            into.update(self._cut(text))
+        if text[0].isspace() or text[-1].isspace() or self.spaces.search(text):
+            for piece in self._cut(text):
+                into[piece] += 1
             return
-        first, *rest = text.split(" ")
-        stretches = Counter(rest)
-        if first:
-            into.update(self._cut(first))
-        memo = self.memo
-        for stretch, n in stretches.items():
+        # every space stands alone between others: a line end is a pre-token, a blank begins one
+        first, *rest = text.replace("\n", " \n").split(" ")
+        for piece in self._cut(first):
+            into[piece] += 1
+        memo, words = self.memo, self.latin is not None
+        for stretch, n in Counter(rest).items():
+            if words and stretch.isascii() and stretch.isalpha():
+                into[" " + stretch] += n
+                continue
             cut = memo.get(stretch)
             if cut is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                cut = memo[stretch] = self._cut(" " + stretch)
+                cut = memo[stretch] = self._stretch(stretch)
             for piece in cut:
                 into[piece] += n
 
-    def count(self, text: str) -> Counter:
-        into: Counter = Counter()
+    def count(self, text: str) -> dict[str, int]:
+        into: dict[str, int] = defaultdict(int)
         parts = self.added.split(text) if self.added else [text]
         for i, part in enumerate(parts):
             if i % 2:
@@ -86,7 +109,7 @@ class PreTokens:
         return into
 
     def pieces(self, pretokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
 
 
 def count_tokens(
