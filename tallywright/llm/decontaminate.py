@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,6 +171,27 @@ def decontaminate(
     return joined.mapInArrow(run, schema)
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the word ranges ``spans`` (as ``decontaminate`` gives them).
+
+    Words and what stands between them alternate; a range goes with the gaps inside it.
+    """
+    word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+    words = F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    gaps = F.split(text, word, -1)
+    # position i is covered if the last range that starts at or before it has not ended
+    def covered(i: Column) -> Column:
+        return F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
+
+    def inside(i: Column) -> Column:
+        return F.exists(spans, lambda s: (s["start"] < i) & (i < s["end"]))
+
+    kept = F.transform(F.arrays_zip(gaps.alias("gap"), words.alias("word")), lambda x, i: F.concat(
+        F.when(inside(i), F.lit("")).otherwise(x["gap"]), F.when(covered(i), F.lit("")).otherwise(F.coalesce(x["word"], F.lit("")))
+    ))
+    return F.array_join(kept, "")
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contract query: the operator over all documents and benchmark items, digested."""
     out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

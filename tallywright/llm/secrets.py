@@ -151,6 +151,18 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every span (ordered by start; spans may overlap) replaced by ``mark``."""
+    step = F.aggregate(
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        ),
+    )
+    return F.concat(step["out"], F.substring(text, step["at"] + 1, F.length(text)))
+
+
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
     """Contract query: counts, digest and all spans of every document."""
     out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
