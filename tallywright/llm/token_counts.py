@@ -127,7 +127,8 @@ def count_tokens(
         cutter, seen = PreTokens(definition), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(cutter.count(text))
+                for pretoken, n in cutter.count(text).items():
+                    seen[pretoken] += n
                 if len(seen) >= FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pretoken", "n"])
                     seen.clear()
