@@ -9,6 +9,7 @@ shuffled to the counted table.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections import Counter, defaultdict
@@ -27,9 +28,9 @@ LIMIT = 1024
 # Fixed value: the pattern by which byte-level pre-tokenizers cut.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blank-separated stretches whose pre-tokens a worker remembers.
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: Distinct pre-tokens that a worker counts before it passes them on.
-FLUSH = 1 << 18
+FLUSH = 1 << 17
 
 
 class PreTokens:
@@ -112,6 +113,12 @@ class PreTokens:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
 
 
+@functools.lru_cache(maxsize=1)
+def _pretokens(definition: str) -> PreTokens:
+    """One a worker process, whatever tasks it runs."""
+    return PreTokens(definition)
+
+
 def count_tokens(
     docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, head: int = HEAD
 ) -> DataFrame:
@@ -124,9 +131,9 @@ def count_tokens(
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = PreTokens(definition), Counter()
+        cutter, seen = _pretokens(definition), Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in (t for i in range(0, batch.num_rows, 256) for t in batch.column("text").slice(i, 256).to_pylist()):
                 for pretoken, n in cutter.count(text).items():
                     seen[pretoken] += n
                 if len(seen) >= FLUSH:
@@ -135,9 +142,9 @@ def count_tokens(
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pretoken", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = PreTokens(definition)
+        cutter = _pretokens(definition)
         for batch in batches:
-            pieces = [n for part in chunked(batch.column("pretoken").to_pylist(), 4096) for n in cutter.pieces(part)]
+            pieces = [n for part in chunked(batch.column("pretoken").to_pylist(), 1024) for n in cutter.pieces(part)]
             yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array(pieces, pa.int64())], names=["pretoken", "n", "pieces"])
 
     distinct = texts.select("text").mapInArrow(vocabulary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
@@ -147,7 +154,7 @@ def count_tokens(
     known = spark.sparkContext.broadcast(frequent)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, pieces = PreTokens(definition), known.value
+        cutter, pieces = _pretokens(definition), known.value
         for batch in batches:
             for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 of, pretokens, counts = [], [], []
