@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import kpi_queries
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for module in (kpi_queries,):
+    QUERIES.update(module.QUERIES)
+    ORACLE.update(module.ORACLE)
