@@ -9,7 +9,6 @@ from ..operators.kpi import DEBT_BANDS, WIP_BANDS, FirmConfig
 from .domain import REF_DATE, load, rnd, sql
 
 CONFIG = FirmConfig()
-REF = F.to_date(F.lit(REF_DATE))
 HOURS = CONFIG.available_hours
 
 QUERIES: dict = {}
@@ -45,6 +44,11 @@ def pct(a: str, b: str) -> str:
     return f"({CAST_D(a)} / nullif({CAST_D(b)}, 0) * 100.0::DOUBLE)"
 
 
+def ref():
+    """The reference date as a column; made when a session is there."""
+    return F.to_date(F.lit(REF_DATE))
+
+
 def add(name: str, run, oracle: str) -> None:
     QUERIES[name] = run
     ORACLE[name] = oracle
@@ -63,7 +67,7 @@ def _util(condition: str) -> str:
 for variant, condition in (("strict_chargeable", "is_chargeable"), ("broad_chargeable", "NOT do_not_bill"), ("recorded", "TRUE")):
     add(f"f_tu_01_{variant}", _on(lambda p, v=variant: kpi.f_tu_01(p, CONFIG, v)), with_(_util(condition), "fa"))
 WORKDAYS = f"(SELECT count(*) FROM generate_series(last + 1, DATE '{REF_DATE}', INTERVAL 1 DAY) AS t(d) WHERE isodow(d) < 6)"
-add("f_tu_02", _on(lambda p: kpi.f_tu_02(p, REF)), with_(row("F-TU-02", "feeEarner", "lawyer_id", f"CASE WHEN last IS NOT NULL THEN {WORKDAYS} END", "FROM fa LEFT JOIN (SELECT lawyer_id, max(entry_date) AS last FROM te GROUP BY lawyer_id) USING (lawyer_id)"), "fa"))
+add("f_tu_02", _on(lambda p: kpi.f_tu_02(p, ref())), with_(row("F-TU-02", "feeEarner", "lawyer_id", f"CASE WHEN last IS NOT NULL THEN {WORKDAYS} END", "FROM fa LEFT JOIN (SELECT lawyer_id, max(entry_date) AS last FROM te GROUP BY lawyer_id) USING (lawyer_id)"), "fa"))
 add("f_tu_03", _on(kpi.f_tu_03), with_(row("F-TU-03", "feeEarner", "lawyer_id", pct("o", "m"),
     "FROM fa LEFT JOIN (SELECT lawyer_id, sum(minutes) AS m, sum(CASE WHEN do_not_bill OR write_off > 0 OR NOT matched OR NOT is_chargeable THEN minutes ELSE 0 END) AS o FROM te GROUP BY lawyer_id) USING (lawyer_id)"), "fa"))
 REAL = pct("coalesce(net, 0)", "wip")
@@ -138,7 +142,7 @@ _UNBILLED = f"greatest(0.0::DOUBLE, (SELECT {CAST_D('sum(billable_value)')} FROM
 add("f_cs_01", _on(lambda p: kpi.f_cs_01(p, CONFIG)), with_(row("F-CS-01", "firm", "'firm'",
     f"(SELECT {CAST_D(_IDLE_SUM)} FROM tu WHERE u < 100 AND {_GAP} > 0) + {_UNBILLED} + (SELECT {CAST_D('sum(CAST(at_risk AS DECIMAL(18,4)))')} FROM ar)", ""), "fa", "tu", "ar"))
 _C = lambda x: f"CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, 0.0::DOUBLE), 100.0::DOUBLE) END"
-add("f_cs_02", _on(lambda p: kpi.f_cs_02(p, CONFIG, REF)), with_(row("F-CS-02", "feeEarner", "lawyer_id", rnd(
+add("f_cs_02", _on(lambda p: kpi.f_cs_02(p, CONFIG, ref())), with_(row("F-CS-02", "feeEarner", "lawyer_id", rnd(
     f"((((((0.0::DOUBLE + coalesce({_C('u')}, 50) * 25) + 50.0::DOUBLE * 20) + coalesce({_C('100 - 10 * g')}, 50) * 15) + coalesce({_C('100 - 2 * w')}, 50) * 15) + coalesce({_C(pct('gross', str(CONFIG.target_revenue)))}, 50) * 15) + coalesce({_C('100 - 0.5::DOUBLE * age')}, 50) * 10) / 100", 0),
     f"""FROM tu LEFT JOIN rv USING (lawyer_id) LEFT JOIN (SELECT lawyer_id, CASE WHEN last IS NOT NULL THEN CAST({WORKDAYS} AS DOUBLE) END AS g FROM (SELECT lawyer_id, max(entry_date) AS last FROM te GROUP BY lawyer_id)) USING (lawyer_id)
         LEFT JOIN (SELECT lawyer_id, {rnd(_WO)} AS w FROM te GROUP BY lawyer_id) USING (lawyer_id) LEFT JOIN (SELECT lawyer_id, max(age_days) AS age FROM te WHERE matched GROUP BY lawyer_id) USING (lawyer_id)"""), "fa", "tu", "rv"))
