@@ -32,7 +32,7 @@ from .common import NONSPACE, Words, mix, text_chunks
 WINDOW = 13
 #: Text bytes whose windows share a bucket, and text bytes that a task packs at once.
 BUCKET_BYTES = 16 << 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _NULL_ID = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -45,6 +45,18 @@ def _windows(words: Words, window: int, buckets: int) -> tuple[np.ndarray, np.nd
     return starts, first, (second % _U(buckets)).astype(np.int64)
 
 
+def _beaten(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which entries have an equal hash with a smaller id."""
+    out = np.zeros(len(hashes), dtype=bool)
+    if len(hashes):
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        own = ids[order]
+        out[order] = own > np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(own))))
+    return out
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     """Ids as longs; a null counts as the largest."""
     return np.array([_NULL_ID if v is None else v for v in column.to_pylist()], dtype=np.int64)
@@ -77,13 +89,7 @@ def _packed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             ids = _ids(batch.column("id"))
             tags = np.array([zlib.crc32(t) for t in texts], dtype=np.uint32)
             doc = np.searchsorted(words.first, starts, side="right") - 1
-            # within equal hashes the smallest id leads; larger ids are repeats
-            order = np.lexsort((ids[doc], hashes))
-            head = np.ones(len(order), dtype=bool)
-            head[1:] = hashes[order][1:] != hashes[order][:-1]
-            lead = ids[doc][order][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            repeat = np.zeros(len(order), dtype=bool)
-            repeat[order] = ids[doc][order] > lead
+            repeat = _beaten(hashes, ids[doc])
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows: list[bytes] = []
@@ -102,14 +108,10 @@ def _repeats(group: pa.Table) -> pa.Table:
     parts = [_unpack(raw) for raw in group.column("cells").to_pylist()]
     ids, tags, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
     repeat, hashes = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
-    owner = np.repeat(np.arange(len(ids)), counts)
+    owner = np.repeat(np.arange(len(ids), dtype=np.uint32), counts)
     sent = np.flatnonzero(~repeat)
-    own = ids[owner[sent]]
-    order = np.lexsort((own, hashes))
-    head = np.ones(len(order), dtype=bool)
-    head[1:] = hashes[order][1:] != hashes[order][:-1]
-    lead = own[order][np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else own
-    repeat[sent[order[own[order] > lead]]] = True
+    repeat[sent[_beaten(hashes, ids[owner[sent]])]] = True
+    del owner, sent, hashes, parts
     edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     some = np.flatnonzero(np.add.reduceat(repeat.astype(np.int64), edges[:-1].astype(np.int64)))
     bits = [np.packbits(repeat[edges[i]:edges[i + 1]]).tobytes() for i in some]
@@ -139,7 +141,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = keyed.join(by_doc, (F.col("key") == F.col("id")) & (F.col("sum") == F.col("tag")), "left").select("id_", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
+        for batch, texts in text_chunks(batches, "text", CHUNK_BYTES):
             words = Words(texts, NONSPACE, lower=False)
             starts, _, bucket = _windows(words, window, buckets)
             edges = np.searchsorted(starts, words.first)
