@@ -11,8 +11,10 @@ the input. Where one task's chunk holds a window in several documents, only the
 with the smallest id goes on to the bucket: the others are repeats already. So a window
 that a third of all documents hold comes to one entry a chunk.
 
-Repeats return as bits per document and bucket; the last pass finds the windows again,
-merges repeated ones into maximal removal intervals and keeps the words outside.
+Repeats return as bits, packed per bucket and part of the documents (a row for each document
+and bucket would grow with the product of both) and then unpacked to a row a document; the
+last pass finds the windows again, merges repeated ones into maximal removal intervals and
+keeps the words outside.
 """
 
 from __future__ import annotations
@@ -103,22 +105,55 @@ def _packed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, cells binary")
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """One bucket: (id, tag, bucket, bits) for every document with a repeated window in it."""
-    parts = [_unpack(raw) for raw in group.column("cells").to_pylist()]
-    ids, tags, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    repeat, hashes = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+def _part(ids: np.ndarray, tags: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the documents that a document's repeats return by."""
+    return (mix(ids.view(_U) ^ mix(tags.astype(_U))) % _U(parts)).astype(np.int64)
+
+
+def _repeats(group: pa.Table, parts: int) -> pa.Table:
+    """One bucket: (part, cells), the bits of all documents of a part with a repeated window in it."""
+    cells = [_unpack(raw) for raw in group.column("cells").to_pylist()]
+    ids, tags, counts = (np.concatenate([c[i] for c in cells]) for i in range(3))
+    repeat, hashes = (np.concatenate([c[i] for c in cells]) for i in (3, 4))
     owner = np.repeat(np.arange(len(ids), dtype=np.uint32), counts)
     sent = np.flatnonzero(~repeat)
     repeat[sent[_beaten(hashes, ids[owner[sent]])]] = True
-    del owner, sent, hashes, parts
+    del owner, sent, hashes, cells
     edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     some = np.flatnonzero(np.add.reduceat(repeat.astype(np.int64), edges[:-1].astype(np.int64)))
-    bits = [np.packbits(repeat[edges[i]:edges[i + 1]]).tobytes() for i in some]
-    bucket = group.column("bucket")[0].as_py()
-    return pa.table({
-        "id": pa.array(ids[some]), "tag": pa.array(tags[some].astype(np.int64)), "bucket": pa.array(np.full(len(some), bucket, dtype=np.int32)), "bits": pa.array(bits, pa.binary()),
-    })
+    part = _part(ids[some], tags[some], parts)
+    some = some[np.argsort(part, kind="stable")]
+    part.sort()
+    bucket, rows = group.column("bucket")[0].as_py(), []
+    used, heads = np.unique(part, return_index=True)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(some)]):
+        own = some[a:b]
+        bits = [np.packbits(repeat[edges[i]:edges[i + 1]]) for i in own]
+        head = np.array([len(own), bucket], dtype=np.int64)
+        lengths = np.array([len(x) for x in bits], dtype=np.uint32)
+        rows.append(b"".join(np.ascontiguousarray(x).tobytes() for x in (head, ids[own], tags[own], lengths, *bits)))
+    return pa.table({"part": pa.array(used, pa.int32()), "cells": pa.array(rows, pa.binary())})
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """One part: (id, tag, found), a row for every document with all its buckets' bits."""
+    ids, tags, buckets, lengths, bits = [], [], [], [], []
+    for raw in group.column("cells").to_pylist():
+        n, bucket = np.frombuffer(raw, np.int64, 2).tolist()
+        ids.append(np.frombuffer(raw, np.int64, n, 16))
+        tags.append(np.frombuffer(raw, np.uint32, n, 16 + 8 * n))
+        lengths.append(np.frombuffer(raw, np.uint32, n, 16 + 12 * n))
+        buckets.append(np.full(n, bucket, dtype=np.int32))
+        bits.append(raw[16 + 16 * n:])
+    ids, tags, buckets, lengths = (np.concatenate(x) for x in (ids, tags, buckets, lengths))
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64)
+    bits = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(bits))])
+    order = np.lexsort((buckets, tags, ids))
+    ids, tags = ids[order], tags[order]
+    heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+    found = pa.StructArray.from_arrays([pa.array(buckets[order]), bits.take(pa.array(order)).cast(pa.binary())], names=["bucket", "bits"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)).astype(np.int32)), found)
+    return pa.table({"id": pa.array(ids[heads]), "tag": pa.array(tags[heads].astype(np.int64)), "found": lists})
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -133,8 +168,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BUCKET_BYTES))
-    repeats = _packed(source, window, buckets).groupBy("bucket").applyInArrow(_repeats, "id long, tag long, bucket int, bits binary")
-    by_doc = repeats.groupBy("id", "tag").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
+    repeats = _packed(source, window, buckets).groupBy("bucket").applyInArrow(lambda group: _repeats(group, buckets), "part int, cells binary")
+    by_doc = repeats.groupBy("part").applyInArrow(_by_document, "id long, tag long, found array<struct<bucket:int,bits:binary>>")
 
     # rows that share an id are told apart by a checksum of their text
     keyed = source.select(F.col("id").alias("id_"), "text", F.coalesce("id", F.lit(int(_NULL_ID))).alias("key"), F.crc32(F.encode("text", "utf-8")).alias("sum"))
