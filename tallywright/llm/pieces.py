@@ -23,6 +23,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ SPACE = "▁"
 LONGEST_UNIT = 60
 #: Entries that a worker remembers of words and of rare units.
 MEMO = 1 << 17
-FLUSH = 1 << 18
+#: Distinct words, and words in all, that are counted before the counts go out.
+FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
 
 
 @dataclass
@@ -71,43 +73,56 @@ class PieceModel:
 
 
 class Units:
-    """Cuts texts into units; remembers the units of words."""
+    """Cuts texts into words, and words into units."""
 
     def __init__(self, spanned: set[str]):
-        self.spanned, self.memo = spanned, {}
-
-    def of(self, text: str) -> Iterator[tuple[str, ...]]:
-        """The units of each word of a non-empty text, in order."""
-        memo = self.memo
-        for word in text.replace(SPACE, " ").split(" "):
-            units = memo.get(word)
-            if units is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                units = memo[word] = self._cut(SPACE + word)
-            yield units
-
-    def _cut(self, word: str) -> tuple[str, ...]:
-        at = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.spanned), len(word)]
-        return tuple(word[a:b] for a, b in zip(at, at[1:]))
+        self.spanned = spanned
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The words of a text, in order; runs of spaces stay with the word after them, for pieces span them.
 
-    def joined(self, text: str) -> Iterator[tuple[str, ...]]:
-        """As ``of``, but runs of spaces stay with the word after them, for pieces span them."""
+        A word after a single space, or at the start, stands without its mark; one after a run
+        of spaces, and a run at the end, begins with the marks it takes.
+        """
         if not text:
-            return
+            return []
         text = text.replace(SPACE, " ")
-        if "  " not in text and not text.startswith(" ") and not text.endswith(" "):
-            yield from self.of(text)
-            return
-        spaces = 1
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        out, spaces = [], 1
         for word in text.split(" "):
             if word:
-                yield self._cut(SPACE * spaces + word) if spaces != 1 else next(self.of(word))
+                out.append(word if spaces == 1 else SPACE * spaces + word)
                 spaces = 1
             else:
                 spaces += 1
         if spaces > 1:
-            yield (SPACE * (spaces - 1),)
+            out.append(SPACE * (spaces - 1))
+        return out
+
+    def of(self, word: str) -> list[str]:
+        """The units of one word as ``words`` gives it."""
+        if word[:1] != SPACE:
+            word = SPACE + word
+        at = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.spanned), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:])]
+
+
+class Memo(dict):
+    """Values of short words, at most ``MEMO`` of them; longer words are worked out anew."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, word: str):
+        value = self.compute(word)
+        if len(word) <= LONGEST_UNIT:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = value
+        return value
 
 
 def merge(unit: str, model: PieceModel) -> list[str]:
@@ -178,7 +193,7 @@ def lattice(units: DataFrame, model: PieceModel, fold: str = "merge") -> DataFra
     spark = units.sparkSession
     rows = [(p, i, s, model.ranks[p]) for p, (i, s) in model.pieces.items()]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank int"))
-    short = units.where(F.length("unit") <= LONGEST_UNIT).select("unit").repartition("unit")
+    short = units.where(F.length("unit") <= LONGEST_UNIT).select("unit").repartition(2 * spark.sparkContext.defaultParallelism, "unit")
     cut = short.select("unit", F.length("unit").alias("n"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
     cut = cut.select("unit", "n", "start", F.explode(F.expr(f"sequence(1, least({model.longest}, n - start))")).alias("size"))
     edges = cut.withColumn("piece", F.expr("substring(unit, start + 1, size)")).join(table, "piece", "left").where("id is not null or size = 1")
@@ -212,21 +227,24 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
     spanned = model.spanned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = Units(spanned), Counter()
+        cutter, seen, held = Units(spanned), Counter(), 0
 
         def flush() -> pa.RecordBatch:
             units: dict[str, int] = defaultdict(int)
             for word, n in seen.items():
-                for u in word:
+                for u in cutter.of(word):
                     units[u] += n
             return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(text_col).to_pylist():
-                seen.update(cutter.joined(text or ""))
-                if len(seen) >= FLUSH:
+            for text in batch.column(text_col):
+                words = cutter.words(text.as_py() or "")
+                seen.update(words)
+                held += len(words)
+                if len(seen) >= FLUSH or held >= FLUSH_WORDS:
                     yield flush()
                     seen.clear()
+                    held = 0
         yield flush()
 
     return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -241,40 +259,26 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     spark: SparkSession = docs.sparkSession
     counted = materialise(count_units(docs, model, text_col), "units")
     frequent = counted.where(F.col("n") >= head_cutoff(counted, head))
-    known = {r["unit"]: r["ids"] for r in lattice(frequent, model).toLocalIterator()}
+    known = {r["unit"]: np.array(r["ids"], dtype=np.int32).tobytes() for r in lattice(frequent, model).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, have, rare, words = Units(model.spanned), shared.value, {}, {}
-
-        def ids_of_word(units: tuple[str, ...]) -> list[int]:
-            out: list[int] = []
-            for u in units:
-                ids = have.get(u)
-                if ids is None:
-                    ids = rare.get(u)
-                    if ids is None:
-                        if len(rare) >= MEMO:
-                            rare.clear()
-                        ids = rare[u] = ids_of(merge(u, model), model)
-                out.extend(ids)
-            return out
+        cutter, have = Units(model.spanned), shared.value
 
+        def ids_of_unit(unit: str) -> bytes:
+            found = have.get(unit)
+            return np.array(ids_of(merge(unit, model), model), dtype=np.int32).tobytes() if found is None else found
+
+        # ids travel as bytes of 32-bit integers, so no integer is an object of its own
+        ids_of_word = Memo(lambda word: b"".join(map(ids_of_unit, cutter.of(word)))).__getitem__
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                column = []
-                for text in some.column(text_col).to_pylist():
-                    ids: list[int] = []
-                    for units in cutter.joined(text or ""):
-                        own = words.get(units)
-                        if own is None:
-                            if len(words) >= MEMO:
-                                words.clear()
-                            own = words[units] = ids_of_word(units)
-                        ids.extend(own)
-                    column.append(ids)
-                yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array(column, pa.list_(pa.int32()))], names=["id", "ids"])
+                column = [b"".join(map(ids_of_word, cutter.words(text or ""))) for text in some.column(text_col).to_pylist()]
+                edges = np.zeros(len(column) + 1, dtype=np.int32)
+                np.cumsum([len(x) // 4 for x in column], out=edges[1:])
+                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(column), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column(id_col), ids], names=["id", "ids"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -284,14 +288,19 @@ def decode(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_co
     """(id, text): texts of piece ids. Null ids are empty; bytes that are no UTF-8 read as U+FFFD."""
     kind = encoded.schema[id_col].dataType
     value = {i: p.replace(SPACE, " ").encode() for p, (i, _) in model.pieces.items()} | {i: bytes([b]) for b, i in enumerate(model.bytes)}
+    most = max(value) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # ids that are no piece, negative ones included, have no bytes
+        table = [value.get(i, b"") for i in range(most)] + [b""]
         for batch in batches:
-            texts = []
-            for ids in batch.column(ids_col).to_pylist():
-                text = b"".join([value.get(i, b"") for i in ids or ()]).decode(errors="replace")
-                texts.append(text[1:] if text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], names=["id", "text"])
+            for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                texts = []
+                for ids in some.column(ids_col):
+                    own = np.zeros(0, dtype=np.int64) if ids.values is None else ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
+                    text = b"".join(map(table.__getitem__, np.where((own < 0) | (own > most), most, own).tolist())).decode(errors="replace")
+                    texts.append(text[1:] if text.startswith(" ") else text)
+                yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array(texts, pa.string())], names=["id", "text"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType())])
     return encoded.select(id_col, ids_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
