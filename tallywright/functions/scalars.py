@@ -150,3 +150,43 @@ def banded(x: Column, bands: list[tuple[str, float | None]], missing: str | None
 
 def fold_or(columns: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a | b, columns)
+
+
+# What inference takes for booleans and dates.
+DETECTED_TYPES = ("boolean", "currency", "number", "date")
+BOOLEAN_TEXTS = ("true", "false", "yes", "no", "TRUE", "FALSE", "YES", "NO")
+DETECTED_DATES = ("dd/MM/yyyy", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd MMM yyyy", "MMM dd yyyy")
+
+
+def detected_as(x: Column, kind: str) -> Column:
+    """Whether a trimmed text reads as ``kind``, for type inference."""
+    numeric = F.regexp_replace(x, "[£$€,]", "").rlike(r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    if kind == "boolean":
+        return x.isin(*BOOLEAN_TEXTS)
+    if kind == "currency":
+        return x.rlike("[£$€]") & numeric
+    if kind == "number":
+        return numeric
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in DETECTED_DATES]).isNotNull()
+
+
+def coerce_detected(x: Column, kind: str) -> Column:
+    """A text as its inferred type; what does not read as it, and empty text, is null."""
+    t = F.nullif(F.trim(x), F.lit(""))
+    if kind == "boolean":
+        return F.lower(t).isin("true", "yes", "1")
+    if kind in ("currency", "number"):
+        return coerce_currency(t)
+    if kind == "date":
+        return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in DETECTED_DATES])
+    return t
+
+
+def display(value: Column, kind: str, symbol: str = "£") -> Column:
+    """A KPI value as text by its result type; a missing value is N/A."""
+    v = value.cast("double")
+    forms = {
+        "currency": F.concat(F.lit(symbol), F.format_number(v, 2)), "percentage": F.concat(F.format_number(v, 1), F.lit("%")), "hours": F.concat(F.format_number(v, 1), F.lit(" hrs")),
+        "days": F.concat(F.format_number(v, 0), F.lit(" days")), "ratio": F.format_number(v, 2), "boolean": F.when(v != 0, "Yes").otherwise("No"),
+    }
+    return F.when(v.isNull(), "N/A").otherwise(forms.get(kind, F.format_number(v, 0)))
