@@ -183,10 +183,15 @@ def coerce_detected(x: Column, kind: str) -> Column:
 
 
 def display(value: Column, kind: str, symbol: str = "£") -> Column:
-    """A KPI value as text by its result type; a missing value is N/A."""
+    """A KPI value as text by its result type; a missing value stays null.
+
+    Digits are rounded half up on the decimal that the value prints as.
+    """
     v = value.cast("double")
+    tenth = F.round(v.cast("decimal(28,6)"), 1).cast("string")
+    whole = F.round(F.abs(v).cast("decimal(28,6)"), 0)
     forms = {
-        "currency": F.concat(F.lit(symbol), F.format_number(v, 2)), "percentage": F.concat(F.format_number(v, 1), F.lit("%")), "hours": F.concat(F.format_number(v, 1), F.lit(" hrs")),
-        "days": F.concat(F.format_number(v, 0), F.lit(" days")), "ratio": F.format_number(v, 2), "boolean": F.when(v != 0, "Yes").otherwise("No"),
+        "currency": F.concat(F.when((v < 0) & (whole > 0), "-").otherwise(""), F.lit(symbol), F.format_number(whole, 0)), "percentage": F.concat(tenth, F.lit("%")), "hours": F.concat(tenth, F.lit(" hrs")),
+        "days": F.concat(js_round(v).cast("long").cast("string"), F.lit(" days")), "ratio": F.concat(tenth, F.lit("x")), "boolean": F.when(v != 0, "Yes").otherwise("No"),
     }
-    return F.when(v.isNull(), "N/A").otherwise(forms.get(kind, F.format_number(v, 0)))
+    return F.when(v.isNotNull(), forms.get(kind, F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(tenth)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -26,3 +30,12 @@ def get_session(app: str = "tallywright", cores: str | int = "*", **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided Parquet tables, read lazily through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares for checkpoints; where none is named, as in tests, in this machine's."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

@@ -20,13 +20,14 @@ TYPE_SHARE = 0.9
 SAMPLES = 5
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False) -> DataFrame:
     """A CSV file or folder with a header row, all columns text.
 
     Headers lose surrounding blanks and a byte-order mark; rows whose fields are all blank are
-    left out. Files of one folder share one header.
+    left out. Files of one folder share one header. Only without ``multi_line`` (fields that hold
+    line breaks) are large files split.
     """
-    df = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.option("header", True).option("sep", separator).option("multiLine", multi_line).option("escape", '"').csv(path)
     df = df.toDF(*[c.strip().lstrip("﻿").strip() for c in df.columns])
     return without_blank_rows(df)
 
@@ -45,7 +46,8 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """
     df = spark.read.option("multiLine", not lines).json(path)
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    if lines or not arrays or len(arrays) < len(df.columns) and "data" not in arrays and not _single_document(df):
+    # a root array of one row that itself holds arrays of objects reads like a document
+    if lines or not arrays or not _single_document(df):
         return df
     if "data" in arrays:
         best = "data"
@@ -56,7 +58,7 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 
 def _single_document(df: DataFrame) -> bool:
-    return len(df.limit(2).take(2)) == 1
+    return len(df.take(2)) == 1
 
 
 def flatten_once(df: DataFrame) -> DataFrame:
