@@ -19,9 +19,11 @@ follow the same merge rule where their document is read (see the README for why)
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -105,29 +107,51 @@ class Units:
         """The units of one word as ``words`` gives it."""
         if word[:1] != SPACE:
             word = SPACE + word
-        at = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.spanned), len(word)]
+        inside = list(map(self.spanned.__contains__, map(add, word, word[1:])))
+        if all(inside):
+            return [word]
+        at = [0, *(i for i, spanned in enumerate(inside, 1) if not spanned), len(word)]
         return [word[a:b] for a, b in zip(at, at[1:])]
 
 
 class Memo(dict):
-    """Values of short words, at most ``MEMO`` of them; longer words are worked out anew."""
+    """Values of short words: of the ``MEMO`` last seen, and of as many before them; longer words are worked out anew."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.before = compute, {}
 
     def __missing__(self, word: str):
-        value = self.compute(word)
+        value = self.before.get(word)
+        if value is None:
+            value = self.compute(word)
         if len(word) <= LONGEST_UNIT:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
             self[word] = value
         return value
 
 
 def merge(unit: str, model: PieceModel) -> list[str]:
-    """The pieces of one unit by the merge rule: best score first, leftmost of equals."""
+    """The pieces of one unit by the merge rule: best score first, leftmost of equals.
+
+    Short units look for the best pair among all; long ones keep the pairs in a heap.
+    """
     symbols, ranks = list(unit), model.ranks
+    if len(unit) <= LONGEST_UNIT:
+        none = len(ranks)
+        rank = ranks.get
+        pairs = [rank(both, none) for both in map(add, symbols, symbols[1:])]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(symbols[i] + symbols[i + 1], none)
+        return symbols
     left, right = list(range(-1, len(unit) - 1)), [*range(1, len(unit)), -1]
     heap: list[tuple[int, int, int, str]] = []
 
@@ -268,7 +292,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
         def ids_of_unit(unit: str) -> bytes:
             found = have.get(unit)
-            return np.array(ids_of(merge(unit, model), model), dtype=np.int32).tobytes() if found is None else found
+            return array("i", ids_of(merge(unit, model), model)).tobytes() if found is None else found
 
         # ids travel as bytes of 32-bit integers, so no integer is an object of its own
         ids_of_word = Memo(lambda word: b"".join(map(ids_of_unit, cutter.of(word)))).__getitem__
