@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import kpi_queries, practice_queries, source_queries
+from . import kpi_queries, practice_queries, registry_queries, source_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (kpi_queries, practice_queries, source_queries):
+for module in (kpi_queries, practice_queries, source_queries, registry_queries):
     QUERIES.update(module.QUERIES)
     ORACLE.update(module.ORACLE)
