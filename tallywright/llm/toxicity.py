@@ -3,7 +3,9 @@
 The lexicon is a trie. Every distinct word of a text is matched by walking the trie
 together with the word's Levenshtein automaton: for each number of edits a set of the
 word's prefixes, kept as bits and moved by shifts, and a branch of the trie is left as
-soon as all sets are empty. Each hit is scored in its window of context words:
+soon as all sets are empty. Terms that share letters with the word after as many deletions
+as they allow edits are the only ones within reach, so the walk keeps to their branches.
+Each hit is scored in its window of context words:
 marks of quotation or report around it count for quotation, second-person words for
 abuse. A logistic model over those sums gives the score.
 
@@ -31,9 +33,8 @@ from .common import materialise
 
 #: Labelled rows that are fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
-#: Terms kept, at most, and of them those that may be misspelled: the most frequent ones.
+#: Words that no beginning covers, and beginnings, kept at most: the most frequent ones.
 TERMS = 4_000
-FUZZY_TERMS = 64
 #: Of texts with a term, both classes taken as alike large, so many must be toxic; and the
 #: odds of finding the term in toxic texts only by chance must be below this, over all terms.
 LEAST_SHARE, CHANCE = 0.97, 0.01
@@ -68,6 +69,15 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def deletions(word: str, n: int) -> set[str]:
+    """The word and all that up to ``n`` deleted letters leave of it."""
+    out = last = {word}
+    for _ in range(n):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 @dataclass(frozen=True)
 class Term:
     """A lexicon entry: a whole word with the edits it allows, or a word beginning."""
@@ -82,31 +92,33 @@ class Trie:
     """Terms by their letters, for walks together with a Levenshtein automaton."""
 
     def __init__(self, terms: list[Term]):
-        self.root: dict = {}
         self.whole: dict[str, Term] = {}
         self.starts: dict[str, Term] = {}
-        self.most = 0
-        #: a term with e edits keeps one of e + 1 parts whole: what words must begin with, end with or hold
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.middles: set[str] = set()
+        #: by edits: what deletions leave of the terms that allow them, and those terms
+        self.left: dict[int, dict[str, list[Term]]] = {}
+        #: by edits: the lengths of words within reach
+        self.reach: dict[int, range] = {}
+        #: by edits: a term with e edits keeps one of e + 1 parts whole: what words must begin with, end with or hold
+        self.heads: dict[int, dict[int, set[str]]] = {}
+        self.tails: dict[int, dict[int, set[str]]] = {}
+        self.middles: dict[int, dict[int, set[str]]] = {}
         for term in terms:
             if term.beginning:
                 self.starts[term.text] = term
                 continue
             self.whole[term.text] = term
-            if not term.edits:
+            e, n = term.edits, len(term.text)
+            if not e:
                 continue
-            self.most = max(self.most, term.edits)
-            node = self.root
-            for c in term.text:
-                node = node.setdefault(c, {})
-            node[""] = term
-            cuts = [len(term.text) * i // (term.edits + 1) for i in range(term.edits + 2)]
+            left = self.left.setdefault(e, {})
+            for rest in deletions(term.text, e):
+                left.setdefault(rest, []).append(term)
+            known = self.reach.get(e, range(n, n + 1))
+            self.reach[e] = range(min(known.start, n - e), max(known.stop, n + e + 1))
+            cuts = [n * i // (e + 1) for i in range(e + 2)]
             parts = [term.text[i:j] for i, j in zip(cuts, cuts[1:])]
-            self.heads.setdefault(len(parts[0]), set()).add(parts[0])
-            self.tails.setdefault(len(parts[-1]), set()).add(parts[-1])
-            self.middles.update(parts[1:-1])
+            for kept, part in [(self.heads, parts[0]), (self.tails, parts[-1]), *((self.middles, m) for m in parts[1:-1])]:
+                kept.setdefault(e, {}).setdefault(len(part), set()).add(part)
         self.lengths = sorted({len(s) for s in self.starts})
 
     def begins(self, word: str) -> Term | None:
@@ -114,23 +126,44 @@ class Trie:
         found = [self.starts[word[:n]] for n in self.lengths if n < len(word) and word[:n] in self.starts]
         return max(found, key=lambda t: (not t.suggestive, len(t.text)), default=None)
 
+    def within_reach(self, word: str) -> list[Term]:
+        """Every term that may be within its own edits of the word; few others."""
+        out: dict[str, Term] = {}
+        for e, left in self.left.items():
+            if len(word) not in self.reach[e]:
+                continue
+            if not (
+                any(word[:n] in part for n, part in self.heads[e].items()) or any(word[-n:] in part for n, part in self.tails[e].items())
+                or any(word[i:i + n] in part for n, part in self.middles.get(e, {}).items() for i in range(1, len(word) - n))
+            ):
+                continue
+            for rest in deletions(word, e):
+                for term in left.get(rest, ()):
+                    out[term.text] = term
+        return list(out.values())
+
     def near(self, word: str) -> tuple[Term, int] | None:
         """The closest whole-word term within its own edits, and its distance."""
         term = self.whole.get(word)
         if term is not None:
             return term, 0
-        if not (
-            any(word[:n] in part for n, part in self.heads.items()) or any(word[-n:] in part for n, part in self.tails.items())
-            or any(part in word for part in self.middles)
-        ):
+        terms = self.within_reach(word)
+        if not terms:
             return None
+        root: dict = {}
+        for term in terms:
+            node = root
+            for c in term.text:
+                node = node.setdefault(c, {})
+            node[""] = term
+        most = max(t.edits for t in terms)
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
         end = 1 << len(word)
         best: tuple[Term, int] | None = None
         # sets[j]: prefixes of the word that the walk so far equals but for j edits
-        stack = [(self.root, tuple((1 << j + 1) - 1 for j in range(self.most + 1)))]
+        stack = [(root, tuple((1 << j + 1) - 1 for j in range(most + 1)))]
         while stack:
             node, sets = stack.pop()
             term = node.get("")
@@ -180,10 +213,11 @@ class Scorer:
         plain = word.translate(LEET).replace("*", "").replace("'", "")
         for form in (word,) if plain == word else (word, plain):
             near = self.trie.near(form)
-            if near is not None:
+            start = self.trie.begins(form)
+            # what a full beginning covers counts as that beginning, word or misspelling
+            if near is not None and not (start is not None and not start.suggestive and near[0].text.startswith(start.text)):
                 found = (0, 1.0, near[0].text) if near[1] == 0 and form == word else (1, 1.0 / (1 + near[1]), near[0].text)
                 break
-            start = self.trie.begins(form)
             if start is not None:
                 found = (3 if start.suggestive else 2, 1.0, start.text)
                 break
@@ -288,15 +322,17 @@ def _chosen(counts: DataFrame, toxic: int, clean: int, tested: int) -> list[tupl
 
 
 def _lexicon(chosen: list[tuple[str, bool, bool]]) -> list[Term]:
-    """Shortest beginnings first stand for longer ones, and for the words that start so."""
+    """Shortest beginnings first stand for longer ones; words that start so stay, for their misspellings."""
     words = [t for t, beginning, _ in chosen if not beginning]
     starts: dict[str, Term] = {}
     for text, beginning, suggestive in sorted(chosen, key=lambda c: (c[2], len(c[0]), c[0])):
         # a beginning that only one known word has adds nothing to that word
         if beginning and sum(w.startswith(text) for w in words) != 1 and not any(text[:n] in starts and starts[text[:n]].suggestive == suggestive for n in range(1, len(text))):
             starts[text] = Term(text, beginning=True, suggestive=suggestive)
-    kept = [t for t in words if not any(t[:n] in starts and not starts[t[:n]].suggestive for n in range(1, len(t)))]
-    return [Term(t, edits=edits(t) if i < FUZZY_TERMS else 0) for i, t in enumerate(kept[:TERMS])] + sorted(starts.values(), key=lambda t: (t.suggestive, t.text))[:TERMS]
+    covered = [t for t in words if any(t[:n] in starts and not starts[t[:n]].suggestive for n in range(1, len(t)))]
+    known = set(covered)
+    kept = [t for t in words if t not in known][:TERMS]
+    return [Term(t, edits=edits(t)) for t in kept + covered] + sorted(starts.values(), key=lambda t: (t.suggestive, t.text))[:TERMS]
 
 
 def fit_weights(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> list[float]:

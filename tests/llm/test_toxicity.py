@@ -83,3 +83,26 @@ def test_nulls_empty_tables_and_repeats(spark, corpus):
     nulls = spark.createDataFrame([(None, None, 1), (1, 1, None), (5, 0, 1), (5, 0, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
     model = x.fit(spark.createDataFrame(rows, SCHEMA), nulls)
     assert len(x.score(docs, model).collect()) == 4
+
+
+def test_every_kept_word_may_be_misspelled():
+    words = [f"{a}{b}{c}rk{d}" for a in "bdfgh" for b in "aeiou" for c in "lmnpr" for d in ("a", "o", "eto", "isten")]
+    chosen = [(w, False, False) for w in words] + [("zwigga", True, False), ("zwiggabem", False, False), ("zwiggadol", False, False)]
+    scorer = x.Scorer(x.Model(x._lexicon(chosen)))
+    assert len(words) == 500
+    for w in words:
+        if len(w) > 4:
+            assert scorer.hit(w)[0] == 0
+            assert scorer.hit(w[:2] + "q" + w[2:])[0] == 1 and scorer.hit(w[:2] + "q" + w[3:])[0] == 1
+    # inside a learned beginning too, while the beginning keeps the words it covers
+    assert scorer.hit("zvwiggabem")[::2] == (1, "zwiggabem") and scorer.hit("zqiggadol")[::2] == (1, "zwiggadol")
+    assert [scorer.hit(w)[0] for w in ("zwiggabem", "zwiggadul", "zwiggaxyz")] == [2, 2, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abs", min_size=1, max_size=12), st.lists(st.text("abs", min_size=5, max_size=11), max_size=30, unique=True))
+def test_near_is_the_closest_of_many(word, terms):
+    trie = x.Trie([x.Term(t, edits=x.edits(t)) for t in terms])
+    within = [(distance(word, t), t) for t in terms if distance(word, t) <= x.edits(t)]
+    got = trie.near(word)
+    assert (None if got is None else (got[1], got[0].text)) == min(within, default=None)
