@@ -8,7 +8,7 @@ Parquet and rereads it gets the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import decontaminate, pieces, secrets, simhash, toxicity
@@ -32,25 +32,35 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
+def _row_key() -> Column:
+    """A digest of all columns: ids may be null or repeat, and rows of one digest are equal."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in COLUMNS]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: the one whose id names the component.
 
-    Of rows that repeat that id one stays, and of a component without ids one row.
+    Of rows that repeat that id, and of a component without ids, the row with the smallest
+    digest stays. Other components keep theirs, whatever ids they share.
     """
-    labels = simhash.near_duplicates(docs).select(F.col("doc_id").alias("id_"), "component_id").distinct()
-    kept = labels.where(F.col("id_").eqNullSafe(F.col("component_id")))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-    return joined.select(*COLUMNS).dropDuplicates(["doc_id"])
+    keyed = docs.select(*COLUMNS, _row_key().alias("key_"))
+    # ids first, and null ids last
+    labels = simhash.near_duplicates(keyed.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_").alias("row_"), "text"), "row_")
+    kept = labels.where(F.col("row_.key_") == F.col("component_id.key_")).select("row_.key_").distinct()
+    return keyed.join(kept, "key_", "left_semi").dropDuplicates(["key_"]).select(*COLUMNS)
 
 
 def remove_benchmarks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are mostly benchmark text go; others lose the shared words.
 
     Removal cuts the hit word ranges out of the text, with what stands between their words.
+    Every row is judged and cut by its own text, whatever its id.
     """
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = found.where("n_hit > 0").select(F.col("doc_id").alias("id_"), (F.col("n_hit") / F.col("n_words")).alias("share"), "spans")
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("id_")), "left").where(F.coalesce("share", F.lit(0.0)) < CONTAMINATED_SHARE)
+    keyed = docs.select(*COLUMNS, _row_key().alias("row_"))
+    found = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_")
+    hits = found.where("n_hit > 0").select("row_", (F.col("n_hit") / F.col("n_words")).alias("share"), "spans").dropDuplicates(["row_"])
+    joined = keyed.join(hits, "row_", "left").where(F.coalesce("share", F.lit(0.0)) < CONTAMINATED_SHARE)
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(decontaminate.without_spans(F.col("text"), F.col("spans")))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -80,3 +80,19 @@ def test_spans_are_cut_and_masked(spark):
     assert df.select(decontaminate.without_spans(F.col("text"), spans)).first()[0] == "one,  (four) "
     spans = F.expr("array(named_struct('start', 0, 'end', 3), named_struct('start', 2, 'end', 8), named_struct('start', 10, 'end', 12))")
     assert df.select(secrets.masked(F.col("text"), spans)).first()[0] == "[SECRET]  [SECRET]ree (four) fünf"
+
+
+def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(7)]
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    hit = texts[5] + " " + bench
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (9, texts[6]), (None, texts[6]), (7, hit), (None, bench)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    expected = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[6]), (7, hit), (None, bench)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
+    # each cut by its own text; the two equal rows stay two
+    clean = [(r["doc_id"], r["text"].rstrip()) for r in corpus_pipeline.remove_benchmarks(spark, docs, sf_dir).collect()]
+    assert sorted(clean, key=str) == sorted([*rows[:9], (7, texts[5])], key=str)
