@@ -1,7 +1,10 @@
 """License scans by sentence rules.
 
 A text is cut into sentences; each is normalised and looked up among known licence
-sentences, which turns the text into a sequence of sentence identifiers. Ordered rules
+sentences, which turns the text into a sequence of sentence identifiers. The cutter also
+breaks inside some of them, at their own colons and semicolons and where a line in capitals
+or behind a comment mark goes on, so pieces in a row that amount to a known sentence are
+that sentence. Ordered rules
 then take their own sequences out of it: a rule that stands earlier consumes its
 identifiers, so a full licence wins over the sentences that it shares with others. All in
 DataFrame expressions: one pass over the text and no shuffle.
@@ -123,20 +126,30 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
+def identifiers(pieces: Column, known: dict[str, str]) -> Column:
+    """The known sentences that stand in ``pieces``, each in one piece or in several in a row."""
+    longest = sorted(known, key=lambda k: (-len(known[k]), k))
+    rules = F.array(*[F.struct(F.lit(known[k]).alias("text"), F.lit("\x01" + known[k].replace(" ", "[ \x01]") + "(?=\x01)").alias("pattern"), F.lit(f"\x01<{k}>").alias("put")) for k in longest])
+    # few texts hold any known sentence: only those are searched at piece boundaries
+    held = F.flatten(F.transform(F.array(F.array_join(pieces, " ")), lambda flat: F.filter(rules, lambda r: F.contains(flat, r["text"]))))
+    marked = F.concat(F.lit("\x01"), F.array_join(pieces, "\x01"), F.lit("\x01"))
+    out = F.aggregate(held, marked, lambda acc, r: F.regexp_replace(acc, r["pattern"], r["put"]))
+    return F.regexp_extract_all(out, F.lit("<([^>]*)>"), F.lit(1))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """(id, n_sentences, identifiers, licenses, unexplained) for every row of ``docs``.
 
-    ``identifiers`` is the sequence of known sentences, ``licenses`` the distinct licences in
+    ``n_sentences`` counts the pieces that the cutter yields. ``identifiers`` is the sequence
+    of known sentences, each a piece or a run of pieces, the longest first, ``licenses`` the distinct licences in
     rule order, ``unexplained`` the identifiers that no rule consumed. Sentences without a
     letter or digit are not counted; null and empty texts have none. A rule matches its
     identifiers in a row, whatever unknown sentences stand between. Repeated and null ids
     keep a row each; other columns are ignored.
     """
     known = SENTENCES if known is None else known
-    names, texts = F.array(*[F.lit(k) for k in known]), F.array(*[F.lit(v) for v in known.values()])
     df = docs.select(F.col(id_col), F.filter(F.transform(sentences(F.coalesce(F.col(text_col), F.lit(""))), normalise), lambda s: s != "").alias("sentences_"))
-    places = F.filter(F.transform("sentences_", lambda s: F.array_position(texts, s)), lambda p: p > 0)
-    df = df.select(id_col, F.size("sentences_").cast("long").alias("n_sentences"), F.transform(places, lambda p: F.element_at(names, p.cast("int"))).alias("identifiers"))
+    df = df.select(id_col, F.size("sentences_").cast("long").alias("n_sentences"), identifiers(F.col("sentences_"), known).alias("identifiers"))
 
     # the sequence as text, <A><B>...: a rule takes out its own stretches
     step = F.struct(F.array_join(F.transform("identifiers", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("rest"), F.array().cast("array<string>").alias("found"))

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from tallywright.llm import licenses
 
@@ -71,3 +72,55 @@ def test_empty_table(spark):
 def test_tables_are_consistent():
     assert all(i in licenses.SENTENCES for _, ids in licenses.RULES for i in ids)
     assert all(re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", s) for s in licenses.SENTENCES.values())
+
+
+def wrapped(text, mark, width):
+    return "\n".join((mark + line).rstrip() for part in text.split("\n\n") for line in [*textwrap.wrap(" ".join(part.split()), width), ""])
+
+
+GPL = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} for more details.
+
+You should have received a copy of the GNU {2} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+AS_IS = "THE SOFTWARE IS PROVIDED"
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+VERBATIM = {
+    "MIT": MIT.split("The software is provided")[0] + AS_IS + """ "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": BSD,
+    "BSD-2-Clause": BSD.split("3. ")[0] + "THIS" + BSD.split("\n\nTHIS")[1],
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + AS_IS + ' "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.',
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later": GPL.format("program", ":", "General Public License", ",", "3"),
+    "GPL-2.0-or-later": GPL.format("program", ";", "General Public License", ";", "2"),
+    "LGPL-2.1-or-later": GPL.format("library", ";", "Lesser General Public License", ";", "2.1"),
+    "AGPL-3.0-or-later": GPL.format("program", ":", "Affero General Public License", ",", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_verbatim_texts_and_comment_headers(spark):
+    cases = [(name, mark, width) for name in VERBATIM for mark in ("", " * ", "// ", "# ", "-- ") for width in (60, 71, 78, 10_000)]
+    rows = [(i, "x = 1\n\n" + wrapped(VERBATIM[name], mark, width) + "\ny = 2", "x", 1) for i, (name, mark, width) in enumerate(cases)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(c, got[i]["licenses"]) for i, c in enumerate(cases) if got[i]["licenses"] != [c[0]]] == []
+    full = {"MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0"}
+    assert [c for i, c in enumerate(cases) if c[0] in full and got[i]["unexplained"]] == []
+
+
+def test_pieces_that_only_touch_a_sentence_are_not_it(spark):
+    rows = [(0, "Not released under the MIT License.", "x", 1), (1, "Released under the MIT License terms.", "x", 1), (2, "Released: under the\nMIT License", "x", 1)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: [], 1: [], 2: ["MIT"]}
