@@ -13,7 +13,7 @@ state is the set of boundaries as bits of a long, and the best edge that joins e
 current symbols closes the boundary between them.
 
 Units go through the lattice most frequent first, ``vocabulary.HEAD`` of them; rarer ones
-follow the same merge rule where their document is read (see the README for why).
+follow the same rule where their document is read (see the README for why).
 """
 
 from __future__ import annotations
@@ -43,13 +43,49 @@ MEMO = 1 << 17
 FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
 
 
+#: The fold by the model type that a .model file states.
+FOLDS = {1: "viterbi", 2: "merge"}
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of every field of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+        yield tag >> 3, message[at:at + size]
+        at += size
+
+
+def model_type(proto: bytes) -> int:
+    """The type in a model's trainer spec; unigram where it states none."""
+    spec = b"".join(v for n, v in _fields(proto) if n == 2)
+    return next((v for n, v in _fields(spec) if n == 3), 1)
+
+
 @dataclass
 class PieceModel:
-    """A model's piece table: piece to (id, score), and the ids of the 256 bytes."""
+    """A model's piece table: piece to (id, score), the ids of the 256 bytes, and the fold of its kind."""
 
     pieces: dict[str, tuple[int, float]]
     bytes: list[int]
     names: list[str] = field(default_factory=list)
+    fold: str = "merge"
 
     def __post_init__(self):
         # equal scores share a rank; the better a score the smaller its rank
@@ -57,6 +93,8 @@ class PieceModel:
         rank = {s: i for i, s in enumerate(scores)}
         self.ranks = {p: rank[s] for p, (_, s) in self.pieces.items()}
         self.longest = max(map(len, self.pieces), default=1)
+        #: a character without a piece costs more than any piece, by as much as in the library
+        self.unknown = min(scores, default=0.0) - 10.0
         self.spanned = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
 
     @classmethod
@@ -71,7 +109,10 @@ class PieceModel:
         if len(byte_ids) != 256:
             raise ValueError("a model without byte pieces cannot keep every text")
         usual = {names[i]: (i, sp.get_score(i)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        return cls(usual, byte_ids, names)
+        kind = model_type(sp.serialized_model_proto())
+        if kind not in FOLDS:
+            raise ValueError("neither a unigram nor a BPE model")
+        return cls(usual, byte_ids, names, FOLDS[kind])
 
 
 class Units:
@@ -176,6 +217,28 @@ def merge(unit: str, model: PieceModel) -> list[str]:
     return [s for s in symbols if s]
 
 
+def viterbi(unit: str, model: PieceModel) -> list[str]:
+    """The pieces of one unit on its best-scoring path; of equal paths the one whose last piece starts later."""
+    best = [(0.0, 0)]
+    for end in range(1, len(unit) + 1):
+        options = [(best[end - 1][0] + model.unknown, end - 1)]
+        for start in range(max(0, end - model.longest), end):
+            known = model.pieces.get(unit[start:end])
+            if known is not None:
+                options.append((best[start][0] + known[1], start))
+        best.append(max(options))
+    out, end = [], len(unit)
+    while end:
+        start = best[end][1]
+        out.append(unit[start:end])
+        end = start
+    return out[::-1]
+
+
+#: How one unit is segmented, by fold.
+SEGMENT = {"merge": merge, "viterbi": viterbi}
+
+
 def ids_of(pieces: list[str], model: PieceModel) -> list[int]:
     """Ids of pieces; a character that is no piece becomes its bytes."""
     out: list[int] = []
@@ -200,21 +263,23 @@ VITERBI_FOLD = """
   aggregate(
     reverse(sequence(1, n)), named_struct('bounds', shiftleft(1L, n), 'at', n, 'best',
       aggregate(sequence(1, n), array(named_struct('score', 0.0D, 'start', 0)), (best, e) -> concat(best, array(array_max(concat(
-        array(named_struct('score', best[e - 1].score - 1e6D, 'start', e - 1)),
+        array(named_struct('score', best[e - 1].score + unknown, 'start', e - 1)),
         transform(filter(edges, x -> x.start + x.size = e), x -> named_struct('score', best[x.start].score + x.score, 'start', x.start)))))))),
     (acc, e) -> if(e = acc.at, named_struct('bounds', acc.bounds | shiftleft(1L, acc.best[e].start), 'at', acc.best[e].start, 'best', acc.best), acc),
     acc -> acc.bounds)
 """
 
 
-def lattice(units: DataFrame, model: PieceModel, fold: str = "merge") -> DataFrame:
+def lattice(units: DataFrame, model: PieceModel, fold: str | None = None) -> DataFrame:
     """(unit, ids) of every row of ``units`` (column unit, distinct, not empty).
 
-    ``fold`` is ``merge`` for BPE models and ``viterbi`` for unigram ones (of paths with equal
-    scores the one whose last edge starts later). The grouping needs no shuffle of its own:
+    ``fold`` is the model's own if not given: ``merge`` for BPE models and ``viterbi`` for
+    unigram ones (of paths with equal scores the one whose last edge starts later). Units of
+    more than ``LONGEST_UNIT`` characters go through the same fold by positions. The grouping needs no shuffle of its own:
     the units stay where they are while their substrings explode.
     """
-    spark = units.sparkSession
+    spark, fold = units.sparkSession, fold or model.fold
+    segment = SEGMENT[fold]
     rows = [(p, i, s, model.ranks[p]) for p, (i, s) in model.pieces.items()]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank int"))
     short = units.where(F.length("unit") <= LONGEST_UNIT).select("unit").repartition(2 * spark.sparkContext.defaultParallelism, "unit")
@@ -226,7 +291,7 @@ def lattice(units: DataFrame, model: PieceModel, fold: str = "merge") -> DataFra
     grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     if fold == "viterbi":
         grouped = grouped.withColumn("edges", F.expr("filter(edges, e -> e.id IS NOT NULL)"))
-    bounds = grouped.withColumn("bounds", F.expr(MERGE_FOLD if fold == "merge" else VITERBI_FOLD))
+    bounds = grouped.withColumn("bounds", F.expr(MERGE_FOLD if fold == "merge" else VITERBI_FOLD.replace("unknown", f"({model.unknown!r}D)")))
     cuts = bounds.withColumn("cuts", F.expr("filter(sequence(0, n), p -> shiftright(bounds, p) & 1 = 1)"))
     byte_ids = F.array(*[F.lit(b) for b in model.bytes])
     spelled = cuts.withColumn("bytes", byte_ids).withColumn("ids", F.expr("""
@@ -239,11 +304,9 @@ def lattice(units: DataFrame, model: PieceModel, fold: str = "merge") -> DataFra
 
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([ids_of(merge(u, model), model) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([ids_of(segment(u, model), model) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
 
-    if fold == "merge":
-        return spelled.select("unit", "ids").unionByName(long.mapInArrow(one_by_one, "unit string, ids array<int>"))
-    return spelled.select("unit", "ids")
+    return spelled.select("unit", "ids").unionByName(long.mapInArrow(one_by_one, "unit string, ids array<int>"))
 
 
 def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
@@ -275,7 +338,7 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """(id, ids): the piece ids of every row of ``docs``, as the library gives them for a BPE model.
+    """(id, ids): the piece ids of every row of ``docs``, as the library gives them for a model of its kind.
 
     Null and empty texts have no ids; repeated and null ids keep a row each; other columns
     are ignored. Words and units of any length are whole.
@@ -285,14 +348,14 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     frequent = counted.where(F.col("n") >= head_cutoff(counted, head))
     known = {r["unit"]: np.array(r["ids"], dtype=np.int32).tobytes() for r in lattice(frequent, model).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
-    kind = docs.schema[id_col].dataType
+    kind, segment = docs.schema[id_col].dataType, SEGMENT[model.fold]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, have = Units(model.spanned), shared.value
 
         def ids_of_unit(unit: str) -> bytes:
             found = have.get(unit)
-            return array("i", ids_of(merge(unit, model), model)).tobytes() if found is None else found
+            return array("i", ids_of(segment(unit, model), model)).tobytes() if found is None else found
 
         # ids travel as bytes of 32-bit integers, so no integer is an object of its own
         ids_of_word = Memo(lambda word: b"".join(map(ids_of_unit, cutter.of(word)))).__getitem__

@@ -55,3 +55,44 @@ def test_viterbi_fold_finds_the_best_path(spark):
 
     df = spark.createDataFrame([(u,) for u in set(units)], "unit string")
     assert {r["unit"]: r["ids"] for r in pieces.lattice(df, toy, "viterbi").collect()} == {u: best(u) for u in units}
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    import sentencepiece
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(2000)]
+    prefix = str(tmp_path_factory.mktemp("unigram") / "toy")
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=prefix, model_type="unigram", vocab_size=600, byte_fallback=True,
+        normalization_rule_name="identity", remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2,
+    )
+    return f"{prefix}.model", words
+
+
+@pytest.mark.parametrize("head", [0, 1 << 17])
+def test_unigram_model_from_documents_to_ids(spark, unigram, head):
+    import sentencepiece
+
+    path, words = unigram
+    sp, toy = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel.load(path)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(60)] + ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (61, 90, 400)] + ["abé", "漢字 ab", "", None]
+    assert toy.fold == "viterbi" and pieces.default_model().fold == "merge"
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], SCHEMA), toy, head=head).collect()}
+    assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_viterbi_keeps_units_of_any_length(spark):
+    rng = random.Random(3)
+    toy = pieces.PieceModel({p: (i + 256, -1.0 - rng.random() * len(p)) for i, p in enumerate(["a", "b", "ab", "ba", "aab", "bba"])}, list(range(256)))
+    units = {"".join(rng.choice("ab") for _ in range(n)) for n in (5, 59, 60, 61, 62, 63, 64, 65, 200)}
+    got = {r["unit"]: r["ids"] for r in pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), toy, "viterbi").collect()}
+    score = {i: s for i, s in toy.pieces.values()}
+    for unit in units:
+        best = [0.0]
+        for end in range(1, len(unit) + 1):
+            best.append(max(best[end - len(p)] + s for p, (_, s) in toy.pieces.items() if unit[:end].endswith(p)))
+        assert sum(score[i] for i in got[unit]) == pytest.approx(best[-1])
