@@ -35,8 +35,8 @@ def replace(rows: DataFrame, path: str) -> int:
     write leaves the old rows; running it again gives the same table.
     """
     rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("firm_id", "entity_type").parquet(path)
-    firms = [r[0] for r in rows.select("firm_id").distinct().limit(1000).collect()]
-    return rows.sparkSession.read.parquet(path).where(F.col("firm_id").isin(*firms)).count()
+    firms = rows.select(F.col("firm_id").alias("firm_")).distinct()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).join(firms, F.col("firm_id").eqNullSafe(F.col("firm_")), "left_semi").count()
 
 
 def scan(spark: SparkSession, path: str, firm_id: str, entity_type: str | None = None, period: str | None = None, kpi_keys: list[str] | None = None, entity_ids: list[str] | None = None) -> DataFrame:
