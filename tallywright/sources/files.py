@@ -117,18 +117,28 @@ def unpivoted(df: DataFrame) -> DataFrame:
     return df.select(F.explode(cells).alias("cell")).select("cell.*")
 
 
+#: Parts of a field's values that are searched apart.
+SALTS = 256
+
+
 def profile(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(field, rows, missing, missing_percent, distinct_values, samples): the smallest few values are the samples.
 
     Values are counted per field and value first, so the second step meets each value once.
+    The smallest are sought within ``SALTS`` parts of a field's values and then among those
+    found, so no task sorts all values of a field.
     """
     from pyspark.sql import Window as W
 
-    counted = unpivoted(df).groupBy("field", "value").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rn", F.row_number().over(W.partitionBy("field").orderBy(F.col("value").asc_nulls_last())))
-    return ranked.groupBy("field").agg(
+    counted = unpivoted(df).groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    ranked = counted.withColumn("rn", F.row_number().over(W.partitionBy("field", "salt").orderBy(F.col("value").asc_nulls_last())))
+    parts = ranked.groupBy("field", "salt").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct_values"),
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.col("value")))).alias("samples"),
+        F.collect_list(F.when(F.col("rn") <= samples, F.col("value"))).alias("samples"),
+    )
+    return parts.groupBy("field").agg(
+        F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.sum("distinct_values").alias("distinct_values"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, samples).alias("samples"),
     ).withColumn("missing_percent", F.round(F.col("missing") / F.col("rows") * 100, 4))
 
 
