@@ -12,14 +12,14 @@ model's own pieces; there the fold is the model's merge rule over the same latti
 state is the set of boundaries as bits of a long, and the best edge that joins exactly two
 current symbols closes the boundary between them.
 
-Units go through the lattice most frequent first, ``vocabulary.HEAD`` of them; rarer ones
-follow the same rule where their document is read (see the README for why).
+Every distinct unit of at most ``LONGEST_UNIT`` characters goes through the lattice. Longer
+ones, whose boundaries do not fit a long, follow the same rule where their text is read.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +27,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ from .vocabulary import HEAD, head_cutoff
 SPACE = "▁"
 #: Units of more characters do not fit the bits of a long and are merged one by one.
 LONGEST_UNIT = 60
-#: Entries that a worker remembers of words and of rare units.
+#: Words, and digests of texts, that a worker remembers.
 MEMO = 1 << 17
 #: Distinct words, and words in all, that are counted before the counts go out.
 FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
@@ -97,6 +98,25 @@ class PieceModel:
         self.unknown = min(scores, default=0.0) - 10.0
         self.spanned = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
 
+    @functools.cached_property
+    def late(self) -> set[str]:
+        """Pieces that are as good as a piece they are merged from, or better.
+
+        Inside a piece the merges are those of the piece by itself, so its own are looked at.
+        """
+        out = set()
+        for piece in self.pieces:
+            symbols, done = list(piece), []
+            while len(symbols) > 1:
+                rank, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])))
+                if rank == len(self.ranks):
+                    break
+                symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+                done.append(rank)
+            if done[:-1] and done[-1] <= max(done[:-1]):
+                out.add(piece)
+        return out
+
     @classmethod
     def load(cls, path: str) -> PieceModel:
         """From a .model file; control and unknown pieces are no part of texts."""
@@ -149,29 +169,15 @@ class Units:
         if word[:1] != SPACE:
             word = SPACE + word
         inside = list(map(self.spanned.__contains__, map(add, word, word[1:])))
-        if all(inside):
+        if False not in inside:
             return [word]
-        at = [0, *(i for i, spanned in enumerate(inside, 1) if not spanned), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:])]
-
-
-class Memo(dict):
-    """Values of short words: of the ``MEMO`` last seen, and of as many before them; longer words are worked out anew."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute, self.before = compute, {}
-
-    def __missing__(self, word: str):
-        value = self.before.get(word)
-        if value is None:
-            value = self.compute(word)
-        if len(word) <= LONGEST_UNIT:
-            if len(self) >= MEMO:
-                self.before = dict(self)
-                self.clear()
-            self[word] = value
-        return value
+        out, a, b = [], 0, -1
+        while False in inside[b + 1:]:
+            b = inside.index(False, b + 1)
+            out.append(word[a:b + 1])
+            a = b + 1
+        out.append(word[a:])
+        return out
 
 
 def merge(unit: str, model: PieceModel) -> list[str]:
@@ -251,66 +257,74 @@ def ids_of(pieces: list[str], model: PieceModel) -> list[int]:
     return out
 
 
-#: Boundaries after all merges: of the edges, best rank and then leftmost first, the first
-#: that joins two current symbols loses the boundary inside it; at most n - 1 times.
+#: Boundaries after all merges: edges come best rank and then leftmost first, and one that
+#: joins exactly two current symbols takes the boundary between them away. Where a unit holds
+#: an edge that is no worse than one it is merged from, such as a run of spaces, the first
+#: edge that fits is looked for anew after every merge.
 MERGE_FOLD = """
-  if(n < 2, shiftleft(1L, n + 1) - 1, aggregate(sequence(2, n), shiftleft(1L, n + 1) - 1, (bounds, i) -> coalesce(
-    bounds & ~get(filter(edges, e -> (bounds & e.ends) = e.ends AND bit_count(bounds & e.inner) = 1), 0).inner, bounds)))
+  if(late, aggregate(sequence(1, characters), shiftleft(1L, characters + 1) - 1, (bounds, i) -> coalesce(
+      bounds & ~get(filter(edges, e -> (bounds & e.ends) = e.ends AND bit_count(bounds & e.inner) = 1), 0).inner, bounds)),
+    aggregate(edges, shiftleft(1L, characters + 1) - 1, (bounds, e) -> if((bounds & e.ends) = e.ends AND bit_count(bounds & e.inner) = 1, bounds & ~e.inner, bounds)))
 """
 #: Boundaries of the best-scoring path: the fold keeps the best score and last edge of every
 #: prefix; a character without a piece costs more than any path of pieces.
 VITERBI_FOLD = """
   aggregate(
-    reverse(sequence(1, n)), named_struct('bounds', shiftleft(1L, n), 'at', n, 'best',
-      aggregate(sequence(1, n), array(named_struct('score', 0.0D, 'start', 0)), (best, e) -> concat(best, array(array_max(concat(
+    reverse(sequence(1, characters)), named_struct('bounds', shiftleft(1L, characters), 'at', characters, 'best',
+      aggregate(sequence(1, characters), array(named_struct('score', 0.0D, 'start', 0)), (best, e) -> concat(best, array(array_max(concat(
         array(named_struct('score', best[e - 1].score + unknown, 'start', e - 1)),
-        transform(filter(edges, x -> x.start + x.size = e), x -> named_struct('score', best[x.start].score + x.score, 'start', x.start)))))))),
+        transform(filter(edges, x -> x.start + x.size = e AND x.id IS NOT NULL), x -> named_struct('score', best[x.start].score + x.score, 'start', x.start)))))))),
     (acc, e) -> if(e = acc.at, named_struct('bounds', acc.bounds | shiftleft(1L, acc.best[e].start), 'at', acc.best[e].start, 'best', acc.best), acc),
     acc -> acc.bounds)
 """
+#: Ids of the edges between neighbouring boundaries, in order; a character without a piece gives its bytes.
+SPELL = """
+  if(exists(path, e -> e.id IS NULL),
+     flatten(transform(path, e -> if(e.id IS NOT NULL, array(e.id),
+       transform(sequence(1, octet_length(substring(unit, e.at + 1, 1))), b -> get(array({bytes}), cast(conv(substring(hex(encode(substring(unit, e.at + 1, 1), 'utf-8')), 2 * b - 1, 2), 16, 10) AS int)))))),
+     path.id)
+"""
 
 
 def lattice(units: DataFrame, model: PieceModel, fold: str | None = None) -> DataFrame:
-    """(unit, ids) of every row of ``units`` (column unit, distinct, not empty).
+    """Every row of ``units`` (column unit, distinct, not empty; other columns stay) with its ids.
 
     ``fold`` is the model's own if not given: ``merge`` for BPE models and ``viterbi`` for
     unigram ones (of paths with equal scores the one whose last edge starts later). Units of
-    more than ``LONGEST_UNIT`` characters go through the same fold by positions. The grouping needs no shuffle of its own:
-    the units stay where they are while their substrings explode.
+    more than ``LONGEST_UNIT`` characters go through the same fold by positions. Units that are
+    dealt by their text already, as a grouping leaves them, need no shuffle: they stay where
+    they are while their substrings explode.
     """
     spark, fold = units.sparkSession, fold or model.fold
     segment = SEGMENT[fold]
-    rows = [(p, i, s, model.ranks[p]) for p, (i, s) in model.pieces.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank int"))
-    short = units.where(F.length("unit") <= LONGEST_UNIT).select("unit").repartition(2 * spark.sparkContext.defaultParallelism, "unit")
-    cut = short.select("unit", F.length("unit").alias("n"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
-    cut = cut.select("unit", "n", "start", F.explode(F.expr(f"sequence(1, least({model.longest}, n - start))")).alias("size"))
+    others = [c for c in units.columns if c != "unit"]
+    rows = [(p, i, s, model.ranks[p], p in model.late) for p, (i, s) in model.pieces.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank long, late boolean"))
+    short = units.where(F.length("unit") <= LONGEST_UNIT)
+    cut = short.select("unit", *others, F.length("unit").alias("characters"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
+    cut = cut.select("unit", *others, "characters", "start", F.explode(F.expr(f"sequence(1, least({model.longest}, characters - start))")).alias("size"))
     edges = cut.withColumn("piece", F.expr("substring(unit, start + 1, size)")).join(table, "piece", "left").where("id is not null or size = 1")
-    edge = F.expr("""named_struct('rank', coalesce(rank, 2147483647), 'start', start, 'size', size, 'id', id, 'score', coalesce(score, -1e6D),
-                     'ends', shiftleft(1L, start) | shiftleft(1L, start + size), 'inner', shiftleft(1L, start + size) - shiftleft(1L, start + 1))""")
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    if fold == "viterbi":
-        grouped = grouped.withColumn("edges", F.expr("filter(edges, e -> e.id IS NOT NULL)"))
+    scored = ", 'start', start, 'size', size, 'score', score" if fold == "viterbi" else ""
+    edge = F.expr(f"""named_struct('k', shiftleft(coalesce(rank, {len(model.ranks)}L), 6) | start, 'id', id,
+                     'ends', shiftleft(1L, start) | shiftleft(1L, start + size), 'inner', shiftleft(1L, start + size) - shiftleft(1L, start + 1){scored})""")
+    grouped = edges.groupBy("unit", *others, "characters").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late"))
     bounds = grouped.withColumn("bounds", F.expr(MERGE_FOLD if fold == "merge" else VITERBI_FOLD.replace("unknown", f"({model.unknown!r}D)")))
-    cuts = bounds.withColumn("cuts", F.expr("filter(sequence(0, n), p -> shiftright(bounds, p) & 1 = 1)"))
-    byte_ids = F.array(*[F.lit(b) for b in model.bytes])
-    spelled = cuts.withColumn("bytes", byte_ids).withColumn("ids", F.expr("""
-        flatten(transform(slice(cuts, 1, size(cuts) - 1), (a, k) ->
-          if(exists(edges, e -> e.start = a AND e.size = cuts[k + 1] - a AND e.id IS NOT NULL),
-             transform(filter(edges, e -> e.start = a AND e.size = cuts[k + 1] - a), e -> e.id),
-             transform(sequence(1, octet_length(substring(unit, a + 1, 1))), b -> bytes[cast(conv(substring(hex(encode(substring(unit, a + 1, 1), 'utf-8')), 2 * b - 1, 2), 16, 10) AS int)]))))
-    """))
-    long = units.where(F.length("unit") > LONGEST_UNIT).select("unit")
+    path = bounds.withColumn("path", F.expr("""
+        sort_array(transform(filter(edges, e -> (bounds & e.ends) = e.ends AND (bounds & e.inner) = 0), e -> named_struct('at', cast(e.k & 63 AS int), 'id', e.id)))"""))
+    spelled = path.select("unit", *others, F.expr(SPELL.format(bytes=", ".join(map(str, model.bytes)))).alias("ids"))
+    long = units.where(F.length("unit") > LONGEST_UNIT)
+    schema = T.StructType([*(units.schema[c] for c in ("unit", *others)), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([ids_of(segment(u, model), model) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
+            ids = pa.array([ids_of(segment(u, model), model) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("unit", *others)), ids], names=["unit", *others, "ids"])
 
-    return spelled.select("unit", "ids").unionByName(long.mapInArrow(one_by_one, "unit string, ids array<int>"))
+    return spelled.unionByName(long.select("unit", *others).mapInArrow(one_by_one, schema))
 
 
 def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
-    """(unit, n): how often each distinct unit stands in all texts."""
+    """(unit, n): how often each distinct unit of at most ``LONGEST_UNIT`` characters stands in all texts."""
     spanned = model.spanned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +334,8 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
             units: dict[str, int] = defaultdict(int)
             for word, n in seen.items():
                 for u in cutter.of(word):
-                    units[u] += n
+                    if len(u) <= LONGEST_UNIT:
+                        units[u] += n
             return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
 
         for batch in batches:
@@ -337,38 +352,147 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
     return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+class Encoder:
+    """Texts as ids of the units that this worker knows, with a hole for each of the others."""
+
+    def __init__(self, model: PieceModel, known: dict[str, bytes]):
+        self.cutter, self.known, self.model = Units(model.spanned), known, model
+        self.segment, self.kind = SEGMENT[model.fold], id_type(model)
+        self.hole = np.array([HOLE], dtype=np.int64).astype(self.kind).tobytes()
+        self.words, self.before = {}, {}
+
+    def _word(self, word: str, holes: list[str]) -> bytes:
+        out = self.before.get(word)
+        if out is None:
+            known, parts, rare = self.known, [], len(holes)
+            for unit in self.cutter.of(word):
+                ids = known.get(unit)
+                if ids is None and len(unit) > LONGEST_UNIT:
+                    ids = np.array(ids_of(self.segment(unit, self.model), self.model), dtype=self.kind).tobytes()
+                if ids is None:
+                    holes.append(unit)
+                    ids = self.hole
+                parts.append(ids)
+            out = b"".join(parts)
+            if len(holes) > rare or len(word) > LONGEST_UNIT:
+                return out
+        if len(self.words) >= MEMO:
+            self.words, self.before = {}, self.words
+        self.words[word] = out
+        return out
+
+    def text(self, text: str) -> tuple[bytes, list[str]]:
+        """(ids, units that the holes among them stand for, in order)."""
+        words, holes = self.cutter.words(text), []
+        ids = list(map(self.words.get, words))
+        at = -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                ids[at] = self._word(words[at], holes)
+        except ValueError:
+            return b"".join(ids), holes
+
+
+#: Stands where the ids of a unit are still to come; no piece has this id.
+HOLE = -1
+
+
+def id_type(model: PieceModel) -> type:
+    """Ids travel in as few bytes as the model's largest id needs beside the hole."""
+    most = max([*model.bytes, *(i for i, _ in model.pieces.values())])
+    return np.uint16 if most < (1 << 16) - 1 else np.int32
+
+
+def _filled(ids: list[bytes], parts: pa.ListArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, ids) of a batch of texts, the ids of ``parts`` (ordinal, ids) put into the holes."""
+    own = np.frombuffer(b"".join(ids), dtype=kind)
+    hole = np.array([HOLE], dtype=np.int64).astype(kind)[0]
+    at = np.flatnonzero(own == hole)
+    edges = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum([len(x) // own.itemsize for x in ids], out=edges[1:])
+    if not len(at):
+        return edges, own.astype(np.int32)
+    sizes = np.ones(len(own), dtype=np.int64)
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(parts)), np.diff(offsets))
+    cells = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+    order = np.lexsort((cells.field("k").to_numpy(zero_copy_only=False), row))
+    have = np.bincount(row, minlength=len(ids))
+    if len(order) != len(at) or not np.array_equal(have, np.bincount(np.searchsorted(edges, at, side="right") - 1, minlength=len(ids))):
+        raise ValueError("a unit of a text has no ids, or more than one")
+    found = cells.field("ids")
+    starts = found.offsets.to_numpy().astype(np.int64)
+    lengths = np.diff(starts)[order]
+    sizes[at] = lengths
+    to = np.zeros(len(own) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=to[1:])
+    out = np.empty(to[-1], dtype=np.int32)
+    plain = own != hole
+    out[to[:-1][plain]] = own[plain]
+    values = found.values.to_numpy(zero_copy_only=False)
+    step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(to[at], lengths) + step] = values[np.repeat(starts[:-1][order], lengths) + step]
+    return to[edges], out
+
+
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(id, ids): the piece ids of every row of ``docs``, as the library gives them for a model of its kind.
 
     Null and empty texts have no ids; repeated and null ids keep a row each; other columns
-    are ignored. Words and units of any length are whole.
+    are ignored. Words and units of any length are whole. Every distinct unit goes through
+    the lattice; of the units with ids the most frequent ``head`` go to every worker, and the
+    others meet their texts in shuffled joins, by a 128-bit digest of the text.
     """
     spark: SparkSession = docs.sparkSession
-    counted = materialise(count_units(docs, model, text_col), "units")
-    frequent = counted.where(F.col("n") >= head_cutoff(counted, head))
-    known = {r["unit"]: np.array(r["ids"], dtype=np.int32).tobytes() for r in lattice(frequent, model).toLocalIterator()}
+    units = materialise(lattice(count_units(docs, model, text_col), model), "units")
+    cutoff, kind = head_cutoff(units, head), id_type(model)
+    known = {r["unit"]: np.array(r["ids"], dtype=kind).tobytes() for r in units.where(F.col("n") >= cutoff).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
-    kind, segment = docs.schema[id_col].dataType, SEGMENT[model.fold]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, have = Units(model.spanned), shared.value
-
-        def ids_of_unit(unit: str) -> bytes:
-            found = have.get(unit)
-            return array("i", ids_of(segment(unit, model), model)).tobytes() if found is None else found
 
-        # ids travel as bytes of 32-bit integers, so no integer is an object of its own
-        ids_of_word = Memo(lambda word: b"".join(map(ids_of_unit, cutter.of(word)))).__getitem__
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+        for batch in batches:
+            for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                yield some, [t or "" for t in some.column(text_col).to_pylist()]
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, seen = Encoder(model, shared.value), set()
+        for _, some in texts(batches):
+            keys, ordinals, missing = [], [], []
+            for text in some:
+                key = xxhash.xxh3_128_digest(text)
+                if key in seen:
+                    continue
+                if len(seen) >= MEMO:
+                    seen.clear()
+                seen.add(key)
+                rare = encoder.text(text)[1]
+                keys.extend([key] * len(rare))
+                ordinals.extend(range(len(rare)))
+                missing.extend(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ordinals, pa.int32()), pa.array(missing, pa.string())], names=["digest", "k", "unit"])
+
+    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model, shared.value)
+        for batch, some in texts(batches):
+            keys = pa.array([xxhash.xxh3_128_digest(t) for t in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, batch.column(id_col), pa.array([encoder.text(t)[0] for t in some], pa.binary())], names=["digest", "id", "own"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                column = [b"".join(map(ids_of_word, cutter.words(text or ""))) for text in some.column(text_col).to_pylist()]
-                edges = np.zeros(len(column) + 1, dtype=np.int32)
-                np.cumsum([len(x) // 4 for x in column], out=edges[1:])
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(column), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column(id_col), ids], names=["id", "ids"])
+                edges, ids = _filled(some.column("own").to_pylist(), some.column("parts"), kind)
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
-    schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    id_type_ = docs.schema[id_col].dataType
+    source = docs.select(id_col, text_col)
+    # one task passes a text on once; texts that several tasks hold meet by unit and count once
+    rare = source.select(text_col).mapInArrow(holes, "digest binary, k int, unit string").repartition("unit").dropDuplicates(["unit", "digest", "k"])
+    parts = rare.join(units.where(F.col("n") < cutoff).select("unit", "ids"), "unit").groupBy("digest").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
+    own = source.mapInArrow(known_ids, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", id_type_), T.StructField("own", T.BinaryType())]))
+    joined = own.join(parts, "digest", "left").select("id", "own", F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
+    schema = T.StructType([T.StructField("id", id_type_), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return joined.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -409,6 +533,6 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     keyed = docs.select(F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sum")).alias("key"), "text")
     encoded = encode(keyed, model, "key")
     digested = encoded.select(
-        F.struct("key.doc_id", "key.n_bytes", "key.sum", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256")).alias("key"), "ids",
+        F.struct("key.doc_id", "key.n_bytes", "key.sum", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")).alias("key"), "ids",
     )
     return decode(digested, model, "key").select("key.doc_id", "key.n_bytes", "key.n_pieces", "key.ids_sha256", (F.sha2("text", 256) == F.col("key.sum")).alias("round_trip"))
