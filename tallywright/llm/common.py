@@ -3,33 +3,19 @@
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Bytes of text handled at once inside a task; bounds a worker's arrays.
 CHUNK_BYTES = 4 << 20
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is used wherever it is set; only where it is not (local
-    tests) a folder of this machine is set as the session's own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
@@ -73,8 +59,8 @@ NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 _U = np.uint64
-_P, _Q = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_P_INV, _Q_INV = (_U(pow(int(x), -1, 1 << 64)) for x in (_P, _Q))
+_Q = _U(0xD6E8FEB86659FD93)
+_Q_INV = _U(pow(int(_Q), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -104,6 +90,41 @@ def _spans_hash(values: np.ndarray, starts, ends, base, inverse) -> np.ndarray:
     return (total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts]
 
 
+#: Words are hashed modulo this prime: modulo a power of two some texts of two letters would
+#: share their hashes whatever the base.
+_PRIME = _U((1 << 31) - 1)
+_BASES = (1_540_483_477, 1_103_515_245, 1_997_293_877)
+_PRIME_POWERS: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, below 2**63."""
+    x = (x & _PRIME) + (x >> _U(31))
+    x = (x & _PRIME) + (x >> _U(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime, by doubling; kept."""
+    have = _PRIME_POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, dtype=_U)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _reduced(have * _U(pow(base, len(have), int(_PRIME))))])
+        if n <= 4 * CHUNK_BYTES:
+            _PRIME_POWERS[base] = have
+    return have[:n]
+
+
+def _prime_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Rabin-Karp hash modulo the prime of values[start:end] for every span, from one running sum."""
+    terms = _prime_powers(base, len(values)) * (values.astype(_U) + _U(1))
+    total = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum(_reduced(terms), dtype=_U, out=total[1:])
+    spans = _reduced(total[ends] - total[starts])
+    return _reduced(spans * _prime_powers(pow(base, -1, int(_PRIME)), len(values) + 1)[starts])
+
+
 class Words:
     """The words of a chunk of texts, as positions in one buffer.
 
@@ -127,8 +148,13 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        values = self.buffer.astype(_U) + _U(1)
-        return mix(_spans_hash(values, self.starts, self.ends, _P, _P_INV) + (self.ends - self.starts).astype(_U))
+        """A hash of every word: 62 bits by two bases, and its length."""
+        high, low = (_prime_hash(self.buffer, self.starts, self.ends, base) for base in _BASES[:2])
+        return mix(high << _U(31) ^ low ^ (self.ends - self.starts).astype(_U) << _U(62))
+
+    def other_hashes(self) -> np.ndarray:
+        """Hashes by a base of their own, which say nothing about ``hashes``."""
+        return mix(_prime_hash(self.buffer, self.starts, self.ends, _BASES[2]) ^ _U(0xA0761D6478BD642F))
 
     def gram_hashes(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of every run of k words that stays inside one text."""

@@ -43,7 +43,7 @@ def _windows(words: Words, window: int, buckets: int) -> tuple[np.ndarray, np.nd
     """(first word, hash, bucket) of every window of the chunk, in order."""
     hashed = words.hashes()
     starts, first = words.gram_hashes(hashed, window)
-    _, second = words.gram_hashes(mix(hashed ^ _U(0xA0761D6478BD642F)), window)
+    _, second = words.gram_hashes(words.other_hashes(), window)
     return starts, first, (second % _U(buckets)).astype(np.int64)
 
 
@@ -93,11 +93,10 @@ def _packed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             doc = np.searchsorted(words.first, starts, side="right") - 1
             repeat = _beaten(hashes, ids[doc])
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used, heads = np.unique(bucket[order], return_index=True)
             rows: list[bytes] = []
-            used = np.flatnonzero(np.diff(edges))
-            for b in used:
-                own = order[edges[b]:edges[b + 1]]
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
+                own = order[a:b]
                 which, counts = np.unique(doc[own], return_counts=True)
                 rows.append(_pack(ids[which], tags[which], counts.astype(np.uint32), repeat[own], hashes[own][~repeat[own]]))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "cells"])
@@ -168,8 +167,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BUCKET_BYTES))
-    repeats = _packed(source, window, buckets).groupBy("bucket").applyInArrow(lambda group: _repeats(group, buckets), "part int, cells binary")
-    by_doc = repeats.groupBy("part").applyInArrow(_by_document, "id long, tag long, found array<struct<bucket:int,bits:binary>>")
+    # as many partitions as buckets: what a task reads does not grow with the input
+    packed = _packed(source, window, buckets).repartition(buckets, "bucket")
+    repeats = packed.groupBy("bucket").applyInArrow(lambda group: _repeats(group, buckets), "part int, cells binary")
+    by_doc = repeats.repartition(buckets, "part").groupBy("part").applyInArrow(_by_document, "id long, tag long, found array<struct<bucket:int,bits:binary>>")
 
     # rows that share an id are told apart by a checksum of their text
     keyed = source.select(F.col("id").alias("id_"), "text", F.coalesce("id", F.lit(int(_NULL_ID))).alias("key"), F.crc32(F.encode("text", "utf-8")).alias("sum"))

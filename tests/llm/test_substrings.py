@@ -53,3 +53,16 @@ def test_one_window_in_every_document_and_one_long_text(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_whose_hashes_agree_modulo_powers_of_two(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")]
+    assert run(spark, rows) == brute(rows, 13)
+    assert [r[2] for r in run(spark, rows)] == [0, 0, 13]
