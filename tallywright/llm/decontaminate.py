@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, signed, text_chunks
+from .common import ALNUM, Words, materialise, signed, text_chunks
 
-#: Up to so many benchmark fingerprints are broadcast (some 40 bytes each); beyond it both
-#: sides are shuffled by fingerprint.
+#: Up to so many benchmark fingerprints, of three numbers each and so at most some 20 MB, are
+#: broadcast; beyond it both sides are shuffled by fingerprint.
 BROADCAST_FINGERPRINTS = 500_000
 
 
@@ -87,25 +87,28 @@ def _word_list(text: bytes) -> list[bytes]:
 def _hits(doc: list[bytes], found: list[dict], window: int) -> tuple[np.ndarray, set[str]]:
     """Which words of the document are hit, and the items that hit them.
 
-    Along each diagonal the words are compared one by one; runs of equal words as long as
-    the item's window are hits.
+    Along each diagonal all words are compared at once; runs of equal words as long as the
+    item's window are hits.
     """
-    hit, names, cache = np.zeros(len(doc), dtype=bool), set(), {}
+    number = {w: i for i, w in enumerate(dict.fromkeys(doc))}
+    own = np.array([number[w] for w in doc], dtype=np.int64)
+    cover, names, items = np.zeros(len(doc) + 1, dtype=np.int64), set(), {}
     for c in found:
-        item = cache.setdefault(c["item_text"], None) or _word_list(c["item_text"])
-        cache[c["item_text"]] = item
-        need = min(window, len(item))
-        lo, hi = max(c["diagonal"], 0), min(c["diagonal"] + len(item), len(doc))
-        run = 0
-        for p in range(lo, hi + 1):
-            if p < hi and doc[p] == item[p - c["diagonal"]]:
-                run += 1
-                continue
-            if run >= need:
-                hit[p - run:p] = True
-                names.add(c["item"])
-            run = 0
-    return hit, names
+        item = items.get(c["item_text"])
+        if item is None:
+            item = items[c["item_text"]] = np.array([number.get(w, -1) for w in _word_list(c["item_text"])], dtype=np.int64)
+        need, d = min(window, len(item)), c["diagonal"]
+        lo, hi = max(d, 0), min(d + len(item), len(doc))
+        if hi - lo < need:
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], own[lo:hi] == item[lo - d:hi - d], [False]]).astype(np.int8)))
+        starts, ends = edges[::2] + lo, edges[1::2] + lo
+        long = ends - starts >= need
+        if long.any():
+            cover[starts[long]] += 1
+            cover[ends[long]] -= 1
+            names.add(c["item"])
+    return np.cumsum(cover[:-1]) > 0, names
 
 
 def decontaminate(
@@ -131,20 +134,16 @@ def decontaminate(
     n_words = F.size(F.filter(F.split(F.coalesce("item_text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
     short = sorted(r[0] for r in bench.select(n_words.alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect())
 
-    keyed = bench.withColumn("item_key", F.struct("item", "item_text"))
-    tests = _fingerprint_rows(keyed, "item_key", "item_text", k, window, short, items=True)
-    tests = tests.select(F.col("key.item").alias("item"), F.col("key.item_text").alias("item_text"), "h", F.col("pos").alias("item_pos"))
+    # fingerprints carry an item's number; its text joins the matches at last
+    items = materialise(bench.withColumn("no", F.monotonically_increasing_id()), "benchmark-items")
+    tests = _fingerprint_rows(items, "no", "item_text", k, window, short, items=True).select(F.col("key").alias("no"), "h", F.col("pos").alias("item_pos"))
     if tests.count() <= broadcast_fingerprints:
         tests = F.broadcast(tests)
 
     train = _fingerprint_rows(docs, id_col, text_col, k, window, short, items=False)
-    found = (
-        train.join(tests, "h")
-        .select("key", "item", F.encode("item_text", "utf-8").alias("item_text"), (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .distinct()
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("item", "item_text", "diagonal")).alias("found"))
-    )
+    matches = train.join(tests, "h").select("key", "no", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    texts = items.select("no", "item", F.encode("item_text", "utf-8").alias("item_text"))
+    found = matches.join(texts, "no").groupBy("key").agg(F.collect_list(F.struct("item", "item_text", "diagonal")).alias("found"))
     joined = docs.select(F.col(id_col).alias("key_"), F.col(text_col).alias("text_")).join(found, F.col("key_").eqNullSafe(F.col("key")), "left").select("key_", "text_", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,3 +50,10 @@ def test_empty_tables(spark):
 def test_spans_leave_the_text_with_the_words_between_them(spark):
     df = spark.createDataFrame([("one, two three; four", [{"start": 1, "end": 3}])], "text string, spans array<struct<start:int,end:int>>")
     assert df.select(dc.without_spans(df.text, df.spans)).first()[0] == "one, ; four"
+
+
+def test_texts_of_one_repeated_word(spark):
+    docs = spark.createDataFrame([(1, "yes " * 20_000), (2, "no yes no"), (3, "yes " * 9)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "yes " * 50), ("b", "no"), ("c", "Yes")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in dc.decontaminate(docs, bench).collect()}
+    assert got == {1: (20_000, 20_000, ["a", "c"]), 2: (3, 3, ["b", "c"]), 3: (9, 9, ["c"])}
