@@ -86,35 +86,40 @@ def _matches(text: Column, pattern: str, group: int, least: int, rank: int) -> C
 
 
 def _hot_spans(candidate: Column, alphabet: str, bits: float, rank: int, window: int) -> Column:
-    """Spans of the candidate's hot windows, by one walk with incremental counts."""
+    """Spans of the candidate's hot windows, by one walk with incremental counts.
+
+    The codes of the characters are bound to a lambda variable, so they are made once and a
+    step costs the same however long the candidate is; only the last span stays open.
+    """
     table = F.array(*[F.lit(x) for x in clogc(window)])
     value = F.lower(candidate["value"]) if len(alphabet) == 16 else candidate["value"]
-    codes = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(alphabet)))
-    steps = F.transform(codes, lambda c, i: F.struct(i.alias("i"), c.alias("enter"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(0)).alias("leave")))
 
     def count(counts: Column, code: Column) -> Column:
         return F.get(counts, code - 1)
 
+    def span(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit("").alias("value")))
+
     def walk(acc: Column, x: Column) -> Column:
         gone = F.when(x["leave"] > 0, F.get(table, count(acc["counts"], x["leave"])) - F.get(table, count(acc["counts"], x["leave"]) - 1)).otherwise(F.lit(0))
         kept = count(acc["counts"], x["enter"]) - (x["enter"] == x["leave"]).cast("int")
         total = acc["total"] - gone + F.get(table, kept + 1) - F.get(table, kept)
         start = candidate["start"] + x["i"] - (window - 1)
         hot = (x["i"] >= window - 1) & (total <= most(bits, window))
-        last = F.try_element_at(acc["spans"], F.lit(-1))
-        joins = F.coalesce(start <= last["end"], F.lit(False))
-        span = F.struct(start.alias("start"), (start + window).alias("end"), F.lit(rank).alias("rank"), F.lit("").alias("value"))
-        longer = F.struct(last["start"].alias("start"), (start + window).alias("end"), F.lit(rank).alias("rank"), F.lit("").alias("value"))
+        opens = hot & (start > acc["end"])
         return F.struct(
             F.transform(acc["counts"], lambda c, j: c + (j + 1 == x["enter"]).cast("int") - (j + 1 == x["leave"]).cast("int")).alias("counts"),
-            total.alias("total"),
-            F.when(~hot, acc["spans"])
-            .when(joins, F.concat(F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), F.array(longer)))
-            .otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"),
+            total.alias("total"), F.when(opens, start).otherwise(acc["start"]).alias("start"), F.when(hot, start + window).otherwise(acc["end"]).alias("end"),
+            F.when(opens & (acc["end"] >= 0), F.concat(acc["spans"], span(acc["start"], acc["end"]))).otherwise(acc["spans"]).alias("spans"),
         )
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("total"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(steps, start, walk, lambda acc: acc["spans"])
+    def over(codes: Column) -> Column:
+        steps = F.transform(codes, lambda c, i: F.struct(i.alias("i"), c.alias("enter"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(0)).alias("leave")))
+        first = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("total"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.array().cast(_SPAN).alias("spans"))
+        return F.aggregate(steps, first, walk, lambda acc: F.when(acc["end"] >= 0, F.concat(acc["spans"], span(acc["start"], acc["end"]))).otherwise(acc["spans"]))
+
+    codes = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(alphabet)))
+    return F.get(F.transform(F.array(codes), over), F.lit(0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

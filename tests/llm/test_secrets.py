@@ -2,6 +2,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from tallywright.llm import secrets as se
@@ -63,3 +64,13 @@ def test_masking_and_empty_table(spark):
     out = se.scan(df).join(df, "doc_id")
     assert {r[0]: r[1] for r in out.select("doc_id", se.masked(out.text, out.spans)).collect()} == {1: "a [SECRET] b", 2: "nothing", 3: None}
     assert se.scan(df.limit(0)).collect() == []
+
+
+def test_a_run_of_a_million_characters_is_walked_once(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(1_000_000))
+    text = f"data {run} end"
+    started = time.monotonic()
+    row = se.scan(spark.createDataFrame([(1, text, "", 0)], SCHEMA)).first()
+    assert time.monotonic() - started < 90
+    assert [(s["start"], s["rank"], s["end"]) for s in row["spans"] if s["rank"] > 2] == added(text, base(text))
