@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunked, materialise
-from .vocabulary import HEAD, head_cutoff
+from .vocabulary import HEAD, HEAD_BYTES, head_cutoff
 
 LIMIT = 1024
 # Fixed value: the pattern by which byte-level pre-tokenizers cut.
@@ -150,7 +150,8 @@ def count_tokens(
     distinct = texts.select("text").mapInArrow(vocabulary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     table = materialise(distinct.mapInArrow(counted, "pretoken string, n long, pieces long"), "pretokens")
     cutoff = head_cutoff(table, head)
-    frequent = {r["pretoken"]: r["pieces"] for r in table.where(F.col("n") >= cutoff).select("pretoken", "pieces").toLocalIterator()}
+    at_hand = (F.col("n") >= cutoff) & (F.octet_length("pretoken") <= HEAD_BYTES)
+    frequent = {r["pretoken"]: r["pieces"] for r in table.where(at_hand).select("pretoken", "pieces").toLocalIterator()}
     known = spark.sparkContext.broadcast(frequent)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +188,10 @@ def count_tokens(
     rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(frequencies, schema)
     # a document's own sum has no pre-token; a key that no pre-token can be spreads those rows
     rows = rows.withColumn("key", F.coalesce("pretoken", F.concat(F.lit("\x00 "), F.col("row").cast("string"))))
-    rare = table.where(F.col("n") < cutoff).select(F.col("pretoken").alias("key"), "pieces")
+    rare = table.where(~at_hand).select(F.col("pretoken").alias("key"), "pieces")
+    pieces = F.when(F.col("pretoken").isNull(), 1).otherwise(F.coalesce("pieces", F.raise_error(F.lit("a pre-token without a count")).cast("long")))
     summed = rows.join(rare, "key", "left").groupBy("row", "id").agg(
-        F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens")
+        F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") * pieces).alias("n_tokens")
     )
     return summed.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: At most so many of the most frequent strings are sent to every worker; all others meet
 #: their documents in a shuffled join.
 HEAD = 1 << 17
+#: Longer strings are not sent, however frequent: so the head has at most 32 MB.
+HEAD_BYTES = 256
 
 
 def head_cutoff(counted: DataFrame, head: int = HEAD) -> int:
