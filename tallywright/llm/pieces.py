@@ -38,9 +38,9 @@ SPACE = "▁"
 #: Units of more characters do not fit the bits of a long and are merged one by one.
 LONGEST_UNIT = 60
 #: Words that a worker remembers.
-MEMO = 1 << 16
+MEMO = 1 << 17
 #: Distinct words, and words in all, that are counted before the counts go out.
-FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
+FLUSH, FLUSH_WORDS = 1 << 17, 1 << 24
 
 
 #: The fold by the model type that a .model file states.
@@ -482,9 +482,9 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     id_kind = docs.schema[id_col].dataType
     cell = T.StructType([T.StructField("id", id_kind), T.StructField("own", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_col)
-    # one struct, so that both readers below ask for the same columns and share one shuffle
-    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType()), T.StructField("cell", cell)])).repartition("row")
-    rare = dealt.select("row", F.posexplode("cell.rare").alias("k", "unit"))
+    # one struct and no nulls, so that both readers below ask for the same rows and columns and share one shuffle
+    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cell", cell, False)])).repartition("row")
+    rare = dealt.select("row", F.posexplode_outer("cell.rare").alias("k", "unit"))
     parts = rare.join(units.where(F.col("n") < cutoff).select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
     joined = dealt.join(parts, "row", "left").select("cell.id", "cell.own", F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
     schema = T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
