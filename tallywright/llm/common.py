@@ -90,39 +90,8 @@ def _spans_hash(values: np.ndarray, starts, ends, base, inverse) -> np.ndarray:
     return (total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts]
 
 
-#: Words are hashed modulo this prime: modulo a power of two some texts of two letters would
-#: share their hashes whatever the base.
-_PRIME = _U((1 << 31) - 1)
-_BASES = (1_540_483_477, 1_103_515_245, 1_997_293_877)
-_PRIME_POWERS: dict[int, np.ndarray] = {}
-
-
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo the prime, below 2**63."""
-    x = (x & _PRIME) + (x >> _U(31))
-    x = (x & _PRIME) + (x >> _U(31))
-    return np.where(x >= _PRIME, x - _PRIME, x)
-
-
-def _prime_powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo the prime, by doubling; kept."""
-    have = _PRIME_POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, dtype=_U)
-        while len(have) < max(n, 1 << 16):
-            have = np.concatenate([have, _reduced(have * _U(pow(base, len(have), int(_PRIME))))])
-        if n <= 4 * CHUNK_BYTES:
-            _PRIME_POWERS[base] = have
-    return have[:n]
-
-
-def _prime_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp hash modulo the prime of values[start:end] for every span, from one running sum."""
-    terms = _prime_powers(base, len(values)) * (values.astype(_U) + _U(1))
-    total = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(_reduced(terms), dtype=_U, out=total[1:])
-    spans = _reduced(total[ends] - total[starts])
-    return _reduced(spans * _prime_powers(pow(base, -1, int(_PRIME)), len(values) + 1)[starts])
+#: Masks that keep the first n of eight bytes.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
 
 
 class Words:
@@ -147,14 +116,23 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A hash of every word: 62 bits by two bases, and its length."""
-        high, low = (_prime_hash(self.buffer, self.starts, self.ends, base) for base in _BASES[:2])
-        return mix(high << _U(31) ^ low ^ (self.ends - self.starts).astype(_U) << _U(62))
-
-    def other_hashes(self) -> np.ndarray:
-        """Hashes by a base of their own, which say nothing about ``hashes``."""
-        return mix(_prime_hash(self.buffer, self.starts, self.ends, _BASES[2]) ^ _U(0xA0761D6478BD642F))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of every word, from its length and its bytes eight at a time; other seeds give independent ones.
+
+        Every step is a scrambling, so no texts share their hashes by their form, as all texts
+        of some patterns do under polynomials modulo a power of two.
+        """
+        lengths = self.ends - self.starts
+        padded = np.concatenate([self.buffer, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.data, strides=(1,))
+        h = mix((lengths.astype(_U) << _U(8)) ^ mix(np.array([seed + 1], dtype=_U)))
+        h = mix(h ^ (eight[self.starts] & _FIRST_BYTES[np.minimum(lengths, 8)]))
+        at, longer = 8, np.flatnonzero(lengths > 8)
+        while len(longer):
+            left = lengths[longer] - at
+            h[longer] = mix(h[longer] ^ (eight[self.starts[longer] + at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            at, longer = at + 8, longer[left > 8]
+        return h
 
     def gram_hashes(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of every run of k words that stays inside one text."""

@@ -43,7 +43,7 @@ def _windows(words: Words, window: int, buckets: int) -> tuple[np.ndarray, np.nd
     """(first word, hash, bucket) of every window of the chunk, in order."""
     hashed = words.hashes()
     starts, first = words.gram_hashes(hashed, window)
-    _, second = words.gram_hashes(words.other_hashes(), window)
+    _, second = words.gram_hashes(words.hashes(seed=1), window)
     return starts, first, (second % _U(buckets)).astype(np.int64)
 
 
