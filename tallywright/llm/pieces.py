@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise
 from .vocabulary import HEAD, head_cutoff
@@ -352,7 +354,9 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
                     held = 0
         yield flush()
 
-    return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    # what a task holds of the lattice that follows is many times its units: small tasks
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(text_col).mapInArrow(run, "unit string, n long").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 class Encoder:
@@ -470,25 +474,28 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 own, rare = encoder.texts([t or "" for t in some.column(text_col).to_pylist()])
-                cells = [some.column("id"), pa.array(own, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([some.column("row"), pa.StructArray.from_arrays(cells, names=["id", "own", "rare"])], names=["row", "cell"])
+                cells = [[pickle.dumps(i), ids, *(u.encode() for u in units)] for i, ids, units in zip(some.column("id").to_pylist(), own, rare)]
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(cells, pa.list_(pa.binary()))], names=["row", "cells"])
+
+    id_kind = docs.schema[id_col].dataType
+    arrow_kind = to_arrow_type(id_kind)
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 edges, ids = _filled(some.column("own").to_pylist(), some.column("parts"), kind)
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
+                keys = pa.array([pickle.loads(i) for i in some.column("id").to_pylist()], arrow_kind)
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
-    id_kind = docs.schema[id_col].dataType
-    cell = T.StructType([T.StructField("id", id_kind), T.StructField("own", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StringType()))])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_col)
-    # one struct and no nulls, so that both readers below ask for the same rows and columns and share one shuffle
-    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cell", cell, False)])).repartition("row")
-    rare = dealt.select("row", F.posexplode_outer("cell.rare").alias("k", "unit"))
+    # one array without nulls (the id, known ids, other units): both readers below ask for the
+    # same columns and rows, and so share one shuffle
+    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cells", T.ArrayType(T.BinaryType(), False), False)])).repartition("row")
+    rare = dealt.select("row", F.posexplode_outer(F.slice("cells", F.lit(3), F.size("cells"))).alias("k", "unit")).withColumn("unit", F.col("unit").cast("string"))
     parts = rare.join(units.where(F.col("n") < cutoff).select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    joined = dealt.join(parts, "row", "left").select("cell.id", "cell.own", F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
+    own = dealt.join(parts, "row", "left").select(F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("own"), F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
     schema = T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return joined.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
+    return own.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
