@@ -71,11 +71,11 @@ def fee_earners(dim: DataFrame, entries: DataFrame, invoices: DataFrame, ref: Co
     return out.withColumn("gap_days", F.greatest(F.lit(0), F.datediff(ref, F.col("newest"))))
 
 
-def departments(earners: DataFrame) -> DataFrame:
-    """Roll-up of fee-earner aggregates."""
-    return earners.groupBy("department").agg(
-        F.count("*").alias("fee_earners"), total("minutes").alias("minutes"), total("billable").alias("billable"), total("revenue").alias("revenue"), total("outstanding").alias("outstanding"),
-    )
+def departments(earners: DataFrame, matters: DataFrame) -> DataFrame:
+    """Departments with their earners' value and billing, and the minutes worked on their matters."""
+    worked = matters.groupBy("department").agg(total("minutes").alias("minutes"))
+    rolled = earners.groupBy("department").agg(F.count("*").alias("fee_earners"), total("billable").alias("billable"), total("revenue").alias("revenue"), total("outstanding").alias("outstanding"))
+    return rolled.join(worked, "department", "left").withColumn("minutes", zero(F.col("minutes")))
 
 
 def clients(dim: DataFrame, matter_totals: DataFrame) -> DataFrame:
@@ -160,15 +160,3 @@ def field_statistics(df: DataFrame, fields: list[str]) -> DataFrame:
     row = df.agg(*aggs)
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col("rows"), F.col(f"m_{f}").alias("missing"), F.col(f"d_{f}").alias("distinct_values")) for f in fields])
     return row.select(F.explode(each).alias("f")).select("f.*")
-
-
-def attribution(entries: DataFrame, invoices: DataFrame, override: str | None = None, extra: str | None = None) -> DataFrame:
-    """Revenue by fee earner: billed entry value to who worked it, uplift over entries and extras to who signs.
-
-    Three grouped branches with one schema, added up once.
-    """
-    billed = invoices.select("matter_id", F.col("lawyer_id").alias("signer"), F.col("subtotal").alias("amount"))
-    worked = entries.join(billed.select("matter_id"), "matter_id", "left_semi").groupBy("lawyer_id").agg(total("billable_value").alias("value"))
-    sums = entries.groupBy("matter_id").agg(total("billable_value").alias("entered"))
-    uplift = billed.join(sums, "matter_id", "left").select(F.col("signer").alias("lawyer_id"), F.greatest(F.lit(0), F.col("amount") - zero(F.col("entered"))).alias("value"))
-    return worked.unionByName(uplift).groupBy("lawyer_id").agg(total("value").alias("revenue"))

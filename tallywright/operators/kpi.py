@@ -31,6 +31,7 @@ class FirmConfig:
     overhead_per_hour: float = 20.0
     overhead_total: float = 100_000.0
     overhead_per_department: float = 4_000.0
+    fee_share_overhead: float = 2_500.0
     target_hours: float = 1_200.0
     target_revenue: float = 150_000.0
 
@@ -121,6 +122,14 @@ def f_rb_01(p: Practice, variant: str = "all_matters") -> DataFrame:
     return kpi(out, "F-RB-01", "matter", "matter_id", value)
 
 
+def f_rb_01_firm(p: Practice) -> DataFrame:
+    """Realisation of the firm: net billing over work, of all matters with work."""
+    wip = p.time_entries.where("matched").groupBy("matter_id").agg(total("billable_value").alias("wip")).where("wip > 0")
+    net = p.invoices.groupBy("matter_id").agg(total("subtotal").alias("net"))
+    both = p.matters.select("matter_id").join(wip, "matter_id").join(net, "matter_id", "left").agg(total("net").alias("n"), F.sum("wip").alias("w"))
+    return _firm(both, "F-RB-01", percent(F.col("n"), F.col("w")))
+
+
 def _revenue(p: Practice) -> DataFrame:
     return p.invoices.groupBy("lawyer_id").agg(total("subtotal").alias("gross"))
 
@@ -178,10 +187,18 @@ def f_wl_03(p: Practice) -> DataFrame:
     return kpi(by, "F-WL-03", "matter", "matter_id", value).unionByName(_firm(p.disbursements.agg(*measure), "F-WL-03", value))
 
 
-def f_wl_04(p: Practice) -> DataFrame:
-    """Lock-up days: mean age of matched work plus mean positive overdue days of unpaid invoices."""
+def f_wl_04(p: Practice, variant: str = "from_due_date", ref: Column | None = None) -> DataFrame:
+    """Lock-up days: mean age of matched work plus mean days of unpaid invoices.
+
+    Days count from the due date, where positive; or from the invoice date, not below zero. A
+    variant by payment date would have to fall back to due dates, for what is unpaid has none.
+    """
     work = p.time_entries.where("matched").agg(F.avg("age_days").alias("w"))
-    debt = p.invoices.where("outstanding > 0 and days_overdue > 0").agg(F.avg("days_overdue").alias("d"))
+    unpaid = p.invoices.where("outstanding > 0")
+    if variant == "from_invoice_date":
+        debt = unpaid.agg(F.avg(F.greatest(F.lit(0), F.datediff(ref, F.col("invoice_date")))).alias("d"))
+    else:
+        debt = unpaid.where("days_overdue > 0").agg(F.avg("days_overdue").alias("d"))
     return _firm(work.crossJoin(F.broadcast(debt)), "F-WL-04", zero(F.col("w")) + zero(F.col("d")))
 
 
@@ -194,23 +211,42 @@ def matter_costs(p: Practice, c: FirmConfig) -> DataFrame:
     )
 
 
-def f_pr_01(p: Practice, c: FirmConfig, variant: str = "standard") -> DataFrame:
-    """Revenue less cost of matters; null where both are nothing. ``full`` adds overhead by hour."""
+def matter_profit(p: Practice, c: FirmConfig, variant: str = "standard") -> DataFrame:
+    """(matter_id, revenue, cost) of every matter: net billing, or work where there is none, against labour and exposure.
+
+    ``full`` adds overhead by hour; ``simple`` takes all hours at the mean cost rate and nothing else.
+    """
     net = p.invoices.groupBy("matter_id").agg(total("subtotal").alias("net"))
-    wip = p.time_entries.where("matched").groupBy("matter_id").agg(total("billable_value").alias("wip"))
-    exposure = p.disbursements.groupBy("matter_id").agg(total("exposure").alias("exposure"))
-    out = p.matters.join(net, "matter_id", "left").join(wip, "matter_id", "left").join(matter_costs(p, c), "matter_id", "left").join(exposure, "matter_id", "left")
+    wip = p.time_entries.where("matched").groupBy("matter_id").agg(total("billable_value").alias("wip"), total("minutes").alias("worked"))
+    out = p.matters.select("matter_id").join(net, "matter_id", "left").join(wip, "matter_id", "left")
     revenue = F.coalesce(F.col("net"), F.col("wip"), F.lit(0)).cast("double")
+    if variant == "simple":
+        mean = snippets(p.fee_earners, c).agg(js_round(F.avg("sn_005"), 4).alias("mean_rate"))
+        return out.crossJoin(F.broadcast(mean)).select("matter_id", revenue.alias("revenue"), (zero(F.col("worked")) / 60.0 * zero(F.col("mean_rate"))).alias("cost"))
+    exposure = p.disbursements.groupBy("matter_id").agg(total("exposure").alias("exposure"))
+    out = out.join(matter_costs(p, c), "matter_id", "left").join(exposure, "matter_id", "left")
     cost = zero(F.col("labour")) + zero(F.col("exposure")).cast("double")
     if variant == "full":
         cost = cost + zero(F.col("minutes")) / 60.0 * c.overhead_per_hour
-    return kpi(out, "F-PR-01", "matter", "matter_id", F.when((revenue == 0) & (cost == 0), None).otherwise(revenue - cost))
+    return out.select("matter_id", revenue.alias("revenue"), cost.alias("cost"))
+
+
+def f_pr_01(p: Practice, c: FirmConfig, variant: str = "standard") -> DataFrame:
+    """Revenue less cost of matters; null where both are nothing."""
+    revenue, cost = F.col("revenue"), F.col("cost")
+    return kpi(matter_profit(p, c, variant), "F-PR-01", "matter", "matter_id", F.when((revenue == 0) & (cost == 0), None).otherwise(revenue - cost))
+
+
+def profit_margin(p: Practice, c: FirmConfig) -> DataFrame:
+    """Profit of matters in percent of their revenue; null without revenue."""
+    revenue = F.col("revenue")
+    return kpi(matter_profit(p, c), "F-PR-01-margin", "matter", "matter_id", F.when(revenue > 0, percent(revenue - F.col("cost"), revenue)))
 
 
 def earner_profit(p: Practice, c: FirmConfig) -> DataFrame:
     """Fee earners with gross billing and profit."""
     out = snippets(_active(p.fee_earners), c).join(_revenue(p), "lawyer_id", "left").withColumn("gross", zero(F.col("gross")).cast("double"))
-    profit = F.when(F.col("pay_model") == "FeeShare", F.col("gross") * c.retain / 100).otherwise(F.col("gross") - zero(F.col("sn_004")))
+    profit = F.when(F.col("pay_model") == "FeeShare", F.col("gross") * c.retain / 100 - c.fee_share_overhead).otherwise(F.col("gross") - zero(F.col("sn_004")))
     return out.withColumn("profit", profit)
 
 
@@ -219,10 +255,16 @@ def f_pr_02(p: Practice, c: FirmConfig) -> DataFrame:
 
 
 def f_pr_03(p: Practice, c: FirmConfig) -> DataFrame:
-    """Profit of departments after their share of overhead."""
-    profit = js_round(F.col("profit"), 4).cast("decimal(18,4)")
-    out = earner_profit(p, c).groupBy("department").agg(F.sum(profit).alias("profit"))
-    return kpi(out, "F-PR-03", "department", "department", F.col("profit").cast("double") - c.overhead_per_department)
+    """Departments: what their earners bill, less labour and exposure of their matters and a share of overhead; null where all is nothing."""
+    revenue = p.fee_earners.select("lawyer_id", "department").join(_revenue(p), "lawyer_id").groupBy("department").agg(total("gross").alias("revenue"))
+    labour = matter_costs(p, c).select("matter_id", js_round(F.col("labour"), 4).cast("decimal(18,4)").alias("labour"))
+    exposure = p.disbursements.groupBy("matter_id").agg(total("exposure").alias("exposure"))
+    spent = p.matter_departments.join(labour, "matter_id", "left").join(exposure, "matter_id", "left").groupBy("department").agg(total("labour").alias("labour"), total("exposure").alias("exposure"))
+    every = p.fee_earners.select("department").union(p.matter_departments.select("department")).where("department is not null").distinct()
+    out = every.join(revenue, "department", "left").join(spent, "department", "left")
+    d = lambda n: zero(F.col(n)).cast("double")
+    cost = d("labour") + d("exposure") + c.overhead_per_department
+    return kpi(out, "F-PR-03", "department", "department", F.when((d("revenue") == 0) & (cost == 0), None).otherwise(d("revenue") - cost))
 
 
 def f_pr_04(p: Practice, c: FirmConfig) -> DataFrame:
@@ -254,6 +296,20 @@ def f_bs_01(p: Practice) -> DataFrame:
     return kpi(p.matters.join(wip, "matter_id", "left"), "F-BS-01", "matter", "matter_id", F.when(F.col("budget") > 0, percent(zero(F.col("wip")), F.col("budget"))))
 
 
+def f_bs_01_hours(p: Practice) -> DataFrame:
+    """Hours over those that the budget buys at the mean charge-out rate of the matter's entries; null without budget or rate."""
+    fine = p.time_entries.where("matched").groupBy("matter_id", "lawyer_id").agg(total("minutes").alias("minutes"), F.count("*").alias("n"))
+    rated = fine.join(p.fee_earners.select("lawyer_id", "rate"), "lawyer_id", "left").groupBy("matter_id").agg(
+        total("minutes").alias("minutes"), safe_div(F.sum(F.col("rate") * F.col("n")), F.sum(F.when(F.col("rate").isNotNull(), F.col("n")))).alias("mean_rate"))
+    hours = F.col("minutes") / 60.0
+    bought = safe_div(F.col("budget"), F.nullif(F.col("mean_rate"), F.lit(0.0)))
+    return kpi(p.matters.join(rated, "matter_id", "left"), "F-BS-01", "matter", "matter_id", F.when(F.col("budget") > 0, percent(hours, bought)))
+
+
+def creep_label(creep: Column) -> Column:
+    return F.when(creep >= 20, "High scope creep risk").when(creep >= 10, "Moderate scope creep").when(creep > 0, "Slight scope creep").when(creep.isNotNull(), "On track or ahead")
+
+
 def f_bs_02(p: Practice) -> DataFrame:
     """Budget burnt beyond what is billed of it."""
     net = p.invoices.groupBy("matter_id").agg(total("subtotal").alias("net"))
@@ -305,8 +361,10 @@ def f_cs_02(p: Practice, c: FirmConfig, ref: Column) -> DataFrame:
     age = p.time_entries.where("matched").groupBy("lawyer_id").agg(F.max("age_days").alias("age"))
     earner = _active(p.fee_earners).join(_revenue(p), "lawyer_id", "left").join(age, "lawyer_id", "left").withColumn("entity_id", F.col("lawyer_id").cast("string"))
     out = earner.join(part(f_tu_01(p, c), "u"), "entity_id", "left").join(part(f_tu_02(p, ref), "g"), "entity_id", "left").join(part(f_wl_02(p), "w"), "entity_id", "left")
+    # realisation is the firm's, for there is none by earner
+    out = out.crossJoin(F.broadcast(f_rb_01_firm(p).select(F.col("value").alias("realised"))))
     parts = {
-        "utilisation": clamp(F.col("u")), "realisation": F.lit(None).cast("double"), "recording": clamp(100 - 10 * F.col("g")), "write_off": clamp(100 - 2 * F.col("w")),
+        "utilisation": clamp(F.col("u")), "realisation": clamp(F.col("realised")), "recording": clamp(100 - 10 * F.col("g")), "write_off": clamp(100 - 2 * F.col("w")),
         "revenue": clamp(percent(F.col("gross"), F.lit(c.target_revenue))), "age": clamp(100 - 0.5 * F.col("age")),
     }
     score = sum((F.coalesce(parts[k], F.lit(50.0)) * w for k, w in SCORE_WEIGHTS.items()), F.lit(0.0)) / 100
@@ -315,12 +373,80 @@ def f_cs_02(p: Practice, c: FirmConfig, ref: Column) -> DataFrame:
 
 def f_cs_03(p: Practice) -> DataFrame:
     """Matter health of 0 to 100: mean of age, budget, realisation and recovery parts."""
+    out, parts = _health(p)
+    score = sum((F.coalesce(x, F.lit(50.0)) for x in parts), F.lit(0.0)) / 4
+    return kpi(out, "F-CS-03", "matter", "entity_id", js_round(score, 0))
+
+
+def health_flags(p: Practice) -> DataFrame:
+    """(entity_id, flag): what a matter's health suffers from."""
+    out, _ = _health(p)
+    flags = F.array_compact(F.array(
+        F.when(F.col("burn") > 100, "Over budget"), F.when(F.col("age") > 90, "Aged WIP at risk"), F.when(F.col("real") < 60, "Low realisation"), F.when(F.col("recovered") < 50, "Low disbursement recovery"),
+    ))
+    return out.select("entity_id", F.explode(flags).alias("flag"))
+
+
+def _health(p: Practice) -> tuple[DataFrame, tuple[Column, ...]]:
     part = lambda df, name: df.where("entity_type = 'matter'").select("entity_id", F.col("value").alias(name))
     out = p.matters.select(F.col("matter_id").cast("string").alias("entity_id"))
     for df, name in ((f_wl_01(p), "age"), (f_bs_01(p), "burn"), (f_rb_01(p), "real"), (f_wl_03(p), "recovered")):
         out = out.join(part(df, name), "entity_id", "left")
     parts = (clamp(100 - 0.5 * F.col("age")), clamp(100 - 2 * F.greatest(F.lit(0.0), F.col("burn") - 80)), clamp(F.col("real")), clamp(F.col("recovered")))
     # a null burn keeps its part missing
-    parts = (parts[0], F.when(F.col("burn").isNotNull(), parts[1]), parts[2], parts[3])
-    score = sum((F.coalesce(x, F.lit(50.0)) for x in parts), F.lit(0.0)) / 4
-    return kpi(out, "F-CS-03", "matter", "entity_id", js_round(score, 0))
+    return out, (parts[0], F.when(F.col("burn").isNotNull(), parts[1]), parts[2], parts[3])
+
+
+def kpi_rows(p: Practice, c: FirmConfig) -> DataFrame:
+    """Ten KPIs of all grains from one grouping each of entries, invoices and disbursements.
+
+    Every source is grouped once by grouping sets; the groups and the entities that must have
+    a row even without facts meet in one grouping by entity, and a row's KPIs unfold from it.
+    """
+    matched = F.col("matched")
+    worked = p.time_entries.groupingSets([["matter_id"], ["lawyer_id"], []], "matter_id", "lawyer_id").agg(
+        F.grouping_id().alias("g"), total("write_off").alias("write_off"), total("billable_value").alias("billable"), total("billable_value", matched).alias("wip"), F.max(F.when(matched, F.col("age_days"))).alias("age"),
+        F.sum(F.when(matched, F.col("age_days"))).alias("age_sum"), F.count_if(matched).alias("aged"), total("minutes", F.col("is_chargeable")).alias("chargeable"), F.lit(True).alias("has_work"),
+    )
+    open_, late = F.col("outstanding") > 0, (F.col("outstanding") > 0) & (F.col("days_overdue") > 0)
+    age = zero(F.col("days_overdue"))
+    billed = p.invoices.groupingSets([["matter_id"], ["client_id"], []], "matter_id", "client_id").agg(
+        F.grouping_id().alias("g"), total("subtotal").alias("net"), F.sum(F.when(open_, F.col("outstanding"))).alias("open"), F.sum(F.when(open_, age * F.col("outstanding"))).alias("open_age"),
+        F.count_if(open_).alias("open_n"), F.sum(F.when(late, F.col("days_overdue"))).alias("late_sum"), F.count_if(late).alias("late_n"),
+    )
+    spent = p.disbursements.groupingSets([["matter_id"], []], "matter_id").agg(F.grouping_id().alias("g"), total("subtotal").alias("spent"), total("exposure").alias("exposure"))
+
+    def keyed(df: DataFrame, kinds: dict[int, tuple[str, str | None]]) -> DataFrame:
+        kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for g, (entity, column) in kinds.items():
+            kind = F.when(F.col("g") == g, entity).otherwise(kind)
+            name = F.when(F.col("g") == g, F.col(column).cast("string") if column else F.lit("firm")).otherwise(name)
+        own = [x for x in df.columns if x not in {"g", *(x for _, x in kinds.values())}]
+        return df.select(kind.alias("entity_type"), name.alias("entity_id"), *own)
+
+    facts = keyed(worked, {1: ("matter", "matter_id"), 2: ("feeEarner", "lawyer_id"), 3: ("firm", None)})
+    facts = facts.unionByName(keyed(billed, {1: ("matter", "matter_id"), 2: ("client", "client_id"), 3: ("firm", None)}), allowMissingColumns=True)
+    facts = facts.unionByName(keyed(spent, {0: ("matter", "matter_id"), 1: ("firm", None)}), allowMissingColumns=True)
+    facts = facts.unionByName(p.matters.select(F.lit("matter").alias("entity_type"), F.col("matter_id").cast("string").alias("entity_id"), "budget", F.lit(True).alias("is_known")), allowMissingColumns=True)
+    facts = facts.unionByName(_active(p.fee_earners).select(F.lit("feeEarner").alias("entity_type"), F.col("lawyer_id").cast("string").alias("entity_id"), F.lit(True).alias("is_known")), allowMissingColumns=True)
+    one = facts.groupBy("entity_type", "entity_id").agg(*[F.max(x).alias(x) for x in facts.columns[2:]])
+
+    entity = lambda name: F.col("entity_type") == name
+    firm, known = entity("firm"), F.coalesce("is_known", F.lit(False))
+    rules = (
+        ("F-TU-01", entity("feeEarner") & known, percent(zero(F.col("chargeable")) / 60.0, F.lit(c.available_hours))),
+        ("F-WL-01", entity("matter") & (F.col("aged") > 0) | firm, F.col("age")),
+        ("F-WL-02", F.coalesce("has_work", F.lit(False)), percent(F.col("write_off"), F.col("billable") + F.col("write_off"))),
+        ("F-WL-03", entity("matter") & (F.col("spent") != 0) | firm, percent(F.col("spent") - F.col("exposure"), F.col("spent"))),
+        ("F-WL-04", firm, zero(safe_div(F.col("age_sum"), F.col("aged"))) + zero(safe_div(F.col("late_sum"), F.col("late_n")))),
+        ("F-RB-01", entity("matter") & known & (F.col("wip") > 0), percent(zero(F.col("net")), F.col("wip"))),
+        ("F-BS-01", entity("matter") & known, F.when(F.col("budget") > 0, percent(zero(F.col("wip")), F.col("budget")))),
+        ("F-DM-01", entity("client") & (F.col("open_n") > 0) | firm, safe_div(F.col("open_age"), F.col("open"))),
+    )
+    rows = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(key).alias("kpi_key"), js_round(value, 4).alias("value"))) for key, when, value in rules]))
+    return one.select("entity_type", "entity_id", F.explode(rows).alias("r")).select("r.kpi_key", "entity_type", "entity_id", "r.value")
+
+
+def invoice_days(p: Practice) -> DataFrame:
+    """Days past due of open invoices, as rows of F-DM-01 by invoice, for the risk rules."""
+    return kpi(p.invoices.where("outstanding > 0"), "F-DM-01", "invoice", "invoice_id", zero(F.col("days_overdue")))

@@ -30,6 +30,13 @@ class Practice:
     time_entries: DataFrame
     invoices: DataFrame
     disbursements: DataFrame
+    #: (part_key, activity), for the few queries that ask what was done
+    activities: DataFrame
+    #: (matter_id, department)
+    matter_departments: DataFrame
+
+    def with_activity(self) -> DataFrame:
+        return self.time_entries.join(self.activities, "part_key", "left")
 
 
 def load(spark: SparkSession, sf_dir: str, ref_date: str = REF_DATE) -> Practice:
@@ -55,8 +62,8 @@ def load(spark: SparkSession, sf_dir: str, ref_date: str = REF_DATE) -> Practice
     )
     net = money(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     worked = lineitem.where(F.to_date("l_shipdate") <= ref)
-    time_entries = worked.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
-        F.col("l_orderkey").alias("matter_id"), F.col("l_suppkey").alias("lawyer_id"), F.col("p_type").alias("activity"),
+    time_entries = worked.select(
+        F.col("l_orderkey").alias("matter_id"), F.col("l_suppkey").alias("lawyer_id"), F.col("l_partkey").alias("part_key"),
         (F.col("l_quantity") * 6).cast("int").alias("minutes"), net.alias("billable_value"), money(F.col("l_extendedprice") * F.col("l_discount")).alias("write_off"),
         (F.col("l_returnflag") == "R").alias("do_not_bill"), (F.col("l_returnflag") != "R").alias("is_chargeable"),
         F.to_date("l_shipdate").alias("entry_date"), F.datediff(ref, F.to_date("l_shipdate")).alias("age_days"), (F.col("l_orderkey") % 10 != 3).alias("matched"),
@@ -77,7 +84,10 @@ def load(spark: SparkSession, sf_dir: str, ref_date: str = REF_DATE) -> Practice
         F.when(F.col("l_linestatus") == "O", money(F.col("l_extendedprice") * 0.01)).otherwise(F.lit(0)).cast(MONEY).alias("exposure"),
         F.datediff(ref, F.to_date("l_shipdate")).alias("age_days"),
     )
-    return Practice(fee_earners, clients, matters, time_entries, invoices, disbursements)
+    activities = part.select(F.col("p_partkey").alias("part_key"), F.col("p_type").alias("activity"))
+    matter_departments = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("o_orderkey").alias("matter_id"), F.col("n_name").alias("department"))
+    return Practice(fee_earners, clients, matters, time_entries, invoices, disbursements, activities, matter_departments)
 
 
 #: The same views for DuckDB; a query appends its own expressions after ``WITH``.
@@ -118,7 +128,3 @@ def sql(body: str, more: str = "") -> str:
 def rnd(x: str, digits: int = 4) -> str:
     """``scalars.js_round`` in DuckDB."""
     return f"floor(CAST({x} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits}"
-
-
-def big(x: str) -> str:
-    return f"CAST({x} AS BIGINT)"

@@ -10,8 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import dashboards, joins, kpi
 from ..operators.kpi import WIP_BANDS
 from .domain import REF_DATE, load, rnd, sql
-from .kpi_queries import CAST_D, LONG_NEEDS, _status, long_table, pct, ref, with_
-from ..operators import classify
+from .kpi_queries import CAST_D, LONG_NEEDS, long_table, pct, ref, with_
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -73,7 +72,7 @@ add("agg_03_fee_earner", lambda p: earner_totals(p).select("lawyer_id", "departm
 CG = "cg AS (SELECT client_id, count(*) AS matters, sum(billable) AS billable, sum(net_billing) AS net_billing, sum(outstanding) AS outstanding, sum(paid) AS paid, max(age_days) AS oldest_days FROM mg GROUP BY client_id)"
 CLIENT_COLUMNS = f"{n('matters', 'matters')}, {d('billable', 'billable')}, {d('net_billing', 'net_billing')}, {d('outstanding', 'outstanding')}, {d('paid', 'paid')}, CAST(oldest_days AS BIGINT) AS oldest_days"
 add("agg_04_client", lambda p: agg.clients(p.clients, matter_totals(p)), sql(f"SELECT cl.client_id, display_name, segment, {CLIENT_COLUMNS} FROM cl LEFT JOIN cg USING (client_id)", f"{MATTERS}, {CG}"))
-add("agg_05_department", lambda p: agg.departments(earner_totals(p)), sql(f"SELECT department, count(*) AS fee_earners, {n('sum(minutes)', 'minutes')}, {d('sum(billable)', 'billable')}, {d('sum(revenue)', 'revenue')}, {d('sum(outstanding)', 'outstanding')} FROM fg GROUP BY department", FG))
+add("agg_05_department", lambda p: agg.departments(earner_totals(p), matter_totals(p).join(p.matter_departments, "matter_id", "left")), sql(f"SELECT department, fee_earners, {n('minutes', 'minutes')}, billable, revenue, outstanding FROM (SELECT department, count(*) AS fee_earners, {d('sum(billable)', 'billable')}, {d('sum(revenue)', 'revenue')}, {d('sum(outstanding)', 'outstanding')} FROM fg GROUP BY department) LEFT JOIN (SELECT n_name AS department, sum(minutes) AS minutes FROM te JOIN orders ON matter_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) USING (department)", FG))
 _ORPHAN = "sum(CASE WHEN NOT matched THEN billable_value ELSE 0 END)"
 add("agg_06_firm", lambda p: agg.firm(p.time_entries, p.invoices).withColumn("orphan_percent", sc.js_round(F.col("orphan_percent"), 4)),
     sql(f"""SELECT * FROM (SELECT {n('sum(minutes)', 'minutes')}, {d('sum(billable_value)', 'billable')}, {d('sum(write_off)', 'write_off')}, count(*) AS entries, CAST(count(*) FILTER (NOT matched) AS BIGINT) AS orphan_entries, {d(_ORPHAN, 'orphan_value')},
@@ -81,12 +80,9 @@ add("agg_06_firm", lambda p: agg.firm(p.time_entries, p.invoices).withColumn("or
 add("agg_07_join_statistics", lambda p: agg.join_statistics(p.time_entries), sql(f"SELECT CAST(count(*) FILTER (matched) AS BIGINT) AS matched, CAST(count(*) FILTER (NOT matched) AS BIGINT) AS orphaned, {d(_ORPHAN, 'orphaned_value')} FROM te"))
 add("agg_08_field_statistics", lambda p: agg.field_statistics(p.matters, ["client_id", "status", "budget", "case_type"]),
     sql(" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS rows, CAST(count(*) FILTER ({f} IS NULL) AS BIGINT) AS missing, count(DISTINCT {f}) AS distinct_values FROM ma" for f in ("client_id", "status", "budget", "case_type"))))
-add("agg_10_activity", lambda p: agg.activity_breakdown(p.time_entries, "lawyer_id").select("lawyer_id", F.explode("activities").alias("activity", "a")).select("lawyer_id", "activity", "a.hours", "a.value"),
+add("agg_10_activity", lambda p: agg.activity_breakdown(p.with_activity(), "lawyer_id").select("lawyer_id", F.explode("activities").alias("activity", "a")).select("lawyer_id", "activity", "a.hours", "a.value"),
     sql(f"SELECT lawyer_id, coalesce(activity, '__unknown__') AS activity, {rnd('sum(minutes) / 60.0::DOUBLE')} AS hours, {d('sum(billable_value)', 'value')} FROM te GROUP BY ALL"))
 add("agg_11_invoices_by_matter", lambda p: agg.invoices_by(p.invoices, "matter_id"), sql(f"SELECT matter_id, invoices, {d('net_billing', 'net_billing')}, {d('invoiced', 'invoiced')}, {d('outstanding', 'outstanding')}, {d('paid', 'paid')}, CAST(latest_invoice AS VARCHAR) AS latest_invoice FROM im", IM))
-add("agg_12_attribution", lambda p: agg.attribution(p.time_entries, p.invoices), sql(f"""SELECT lawyer_id, {d('sum(value)', 'revenue')} FROM (
-    SELECT lawyer_id, billable_value AS value FROM te WHERE matter_id IN (SELECT matter_id FROM iv)
-    UNION ALL SELECT iv.lawyer_id, greatest(0, subtotal - coalesce(entered, 0)) FROM iv LEFT JOIN (SELECT matter_id, sum(billable_value) AS entered FROM te GROUP BY matter_id) USING (matter_id)) GROUP BY lawyer_id"""))
 add("agg_13_recording_gap", lambda p: p.time_entries.groupBy("lawyer_id").agg(F.greatest(F.lit(0), F.datediff(ref(), F.max("entry_date"))).alias("gap_days")), sql("SELECT lawyer_id, CAST(greatest(0, min(age_days)) AS BIGINT) AS gap_days FROM te GROUP BY lawyer_id"))
 add("agg_14_summary", lambda p: agg.summarise(kpi.f_rb_01(p), "value").select(*[sc.js_round(F.col(c), 2).alias(c) for c in ("mean", "median", "least", "most", "total")], "present", "missing"),
     with_(f"SELECT {', '.join(f'{rnd(x, 2)} AS {a}' for x, a in (('avg(value)', 'mean'), ('median(value)', 'median'), ('min(value)', 'least'), ('max(value)', 'most'), ('sum(value)', 'total')))}, count(value) AS present, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS missing FROM (SELECT {rnd(pct('coalesce(net, 0)', 'wip'))} AS value FROM ma JOIN wm USING (matter_id) LEFT JOIN nm USING (matter_id) WHERE wip > 0)", "wm", "nm"))
@@ -104,7 +100,7 @@ add("agg_23_coverage", lambda p: p.time_entries.agg(sc.js_round(sc.percent(F.cou
     sql(f"SELECT {rnd(pct('count(*) FILTER (matched)', 'count(*)'))} AS coverage, {rnd(pct('count(*) FILTER (NOT matched)', 'count(*)'))} AS orphan_rate, count(DISTINCT CASE WHEN NOT matched THEN matter_id END) AS unresolved FROM te"))
 add("agg_24_wip_totals", lambda p: p.time_entries.agg(agg.total("billable_value").alias("value"), agg.total("billable_value", F.col("is_chargeable")).alias("chargeable_value"), agg.total("billable_value", ~F.col("matched")).alias("orphan_value"), F.count("*").alias("entries")),
     sql(f"SELECT {d('sum(billable_value)', 'value')}, {d('sum(CASE WHEN is_chargeable THEN billable_value END)', 'chargeable_value')}, {d(_ORPHAN, 'orphan_value')}, count(*) AS entries FROM te"))
-add("agg_25_mode", lambda p: agg.mode(p.time_entries, "lawyer_id", "activity", "entry_date"), sql("SELECT lawyer_id, activity, n FROM (SELECT *, row_number() OVER (PARTITION BY lawyer_id ORDER BY n DESC, seen, activity) AS rn FROM (SELECT lawyer_id, activity, count(*) AS n, min(entry_date) AS seen FROM te GROUP BY ALL)) WHERE rn = 1"))
+add("agg_25_mode", lambda p: agg.mode(p.with_activity(), "lawyer_id", "activity", "entry_date"), sql("SELECT lawyer_id, activity, n FROM (SELECT *, row_number() OVER (PARTITION BY lawyer_id ORDER BY n DESC, seen, activity) AS rn FROM (SELECT lawyer_id, activity, count(*) AS n, min(entry_date) AS seen FROM te GROUP BY ALL)) WHERE rn = 1"))
 add("agg_27_preload", lambda p: p.time_entries.groupBy("lawyer_id").agg(agg.hours(agg.total("minutes", F.col("is_chargeable"))).alias("hours")), sql(f"SELECT lawyer_id, {rnd('sum(CASE WHEN is_chargeable THEN minutes ELSE 0 END) / 60.0::DOUBLE')} AS hours FROM te GROUP BY lawyer_id"))
 add("agg_28_difference", lambda p: joins.difference(kpi.f_rb_01(p), kpi.f_rb_01(p, "adjusted_fixed_fee")).agg(F.count_if(F.col("delta") != 0).alias("affected"), F.count_if(F.col("delta") > 0).alias("improved"), F.count_if(F.col("delta") < 0).alias("declined"), F.count_if(F.col("delta") == 0).alias("unchanged")),
     with_(f"SELECT CAST(count(*) FILTER (d <> 0) AS BIGINT) AS affected, CAST(count(*) FILTER (d > 0) AS BIGINT) AS improved, CAST(count(*) FILTER (d < 0) AS BIGINT) AS declined, CAST(count(*) FILTER (d = 0) AS BIGINT) AS unchanged FROM (SELECT CASE WHEN is_fixed_fee THEN 100.0::DOUBLE - v ELSE 0 END AS d FROM (SELECT is_fixed_fee, {rnd(pct('coalesce(net, 0)', 'wip'))} AS v FROM ma JOIN wm USING (matter_id) LEFT JOIN nm USING (matter_id) WHERE wip > 0))", "wm", "nm"))
@@ -142,4 +138,3 @@ _REALISED = pct("net_billing", "nullif(billable, 0)")
 add("qry_05_at_risk", lambda p: dashboards.at_risk_matters(matter_totals(p)),
     sql(f"SELECT matter_id, CAST(age_days AS BIGINT) AS age_days, {rnd(f'CASE WHEN budget > 0 THEN {_BURNT} END')} AS burn, {rnd(_REALISED)} AS realisation FROM mg WHERE age_days > 60 OR (budget > 0 AND {_BURNT} > 100) OR {_REALISED} < 70", MATTERS))
 add("qry_06_clients", lambda p: dashboards.client_rows(agg.clients(p.clients, matter_totals(p)), 5), sql(f"SELECT client_id, {n('matters', 'matters')}, {d('net_billing', 'net_billing')}, {d('outstanding', 'outstanding')}, {rnd(pct('outstanding', 'nullif(net_billing, 0)'))} AS open_percent FROM cl JOIN cg USING (client_id) WHERE matters >= 5", f"{MATTERS}, {CG}"))
-add("qry_08_entity_kpis", lambda p: classify.evaluate(long_table(p).where("entity_type = 'client' and entity_id = '7'"), classify.threshold_table(p.matters.sparkSession)).drop("to_next"), with_(f"SELECT kpi_key, entity_type, entity_id, value, {_status()} AS status FROM kp WHERE entity_type = 'client' AND entity_id = '7'", *LONG_NEEDS))
