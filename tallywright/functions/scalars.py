@@ -6,8 +6,6 @@ needs it, and say so.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,12 +31,6 @@ def percent(a: Column, b: Column) -> Column:
     return safe_div(a, b) * 100.0
 
 
-def number_or_zero(x: Column) -> Column:
-    """Missing, NaN and infinite numbers count as zero."""
-    d = x.cast("double")
-    return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), 0.0).otherwise(d)
-
-
 def coerce_string(x: Column) -> Column:
     """Trimmed of all white space; empty reads as null."""
     return F.nullif(F.regexp_replace(x, r"^[\s ﻿]+|[\s ﻿]+$", ""), F.lit(""))
@@ -75,12 +67,6 @@ def coerce_date(x: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(x), F.lit(p)) for p in DATE_PATTERNS])
 
 
-def coerce_select(x: Column, options: list[str]) -> tuple[Column, Column]:
-    """(value, warning): values beyond the options stay and warn."""
-    value = coerce_string(x)
-    return value, value.isNotNull() & ~value.isin(*options)
-
-
 COERCIONS = {
     "STRING": coerce_string, "REFERENCE": coerce_string, "NUMBER": coerce_number, "CURRENCY": coerce_currency,
     "PERCENTAGE": coerce_percentage, "BOOLEAN": coerce_boolean, "DATE": coerce_date, "SELECT": coerce_string,
@@ -148,10 +134,6 @@ def banded(x: Column, bands: list[tuple[str, float | None]], missing: str | None
     return out
 
 
-def fold_or(columns: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a | b, columns)
-
-
 # What inference takes for booleans and dates.
 DETECTED_TYPES = ("boolean", "currency", "number", "date")
 BOOLEAN_TEXTS = ("true", "false", "yes", "no", "TRUE", "FALSE", "YES", "NO")

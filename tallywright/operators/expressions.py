@@ -6,7 +6,9 @@ aggregates one row that is joined once, and the rest a single projection.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +88,7 @@ def matches(filters: list[dict]) -> Column:
 
 
 def _name(node: dict) -> str:
-    return "agg_" + format(abs(hash(json.dumps(node, sort_keys=True))), "x")
+    return "agg_" + hashlib.sha256(json.dumps(node, sort_keys=True).encode()).hexdigest()[:16]
 
 
 def compile_node(node: dict, config: dict) -> Column:
@@ -158,14 +160,16 @@ def evaluate(tree: dict, entities: DataFrame, key: str, tables: dict[str, DataFr
 
 
 def substitute(template: dict, parameters: dict[str, object]) -> dict:
-    """A template with each ``{{name}}`` replaced; a value that is one placeholder keeps its type."""
+    """A template with each ``{{name}}`` replaced; a text that is one placeholder takes the parameter's type."""
     def inside(x):
         if isinstance(x, dict):
             return {k: inside(v) for k, v in x.items()}
         if isinstance(x, list):
             return [inside(v) for v in x]
-        if isinstance(x, str) and x.startswith("{{") and x.endswith("}}"):
+        if not isinstance(x, str):
+            return x
+        if re.fullmatch(r"\{\{[^{}]*\}\}", x):
             return parameters[x[2:-2].strip()]
-        return x
+        return re.sub(r"\{\{([^{}]*)\}\}", lambda m: str(parameters[m[1].strip()]), x)
 
     return inside(template)

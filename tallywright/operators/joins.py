@@ -25,12 +25,14 @@ def fallback_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
     """``left`` with ``columns`` of the row of ``right`` that the first fitting key pair finds.
 
     ``order`` decides among rows of ``right`` with one key. ``matched_by`` is the number of
-    the key pair that matched, from 1, or null.
+    the key pair that matched, from 1, or null. Keys are compared as text: a missing one is
+    given a text that no key has, so that rows without key do not all meet in one task.
     """
+    lone = F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in left.columns]).cast("string"))
     out = left
     for i, (own, other) in enumerate(keys, 1):
-        lookup = one_per_key(right.where(F.col(other).isNotNull()), [other], order).select(F.col(other).alias(f"k{i}_"), *[F.col(c).alias(f"{c}_{i}_") for c in columns])
-        out = out.join(lookup, F.col(own) == F.col(f"k{i}_"), "left")
+        lookup = one_per_key(right.where(F.col(other).isNotNull()), [other], order).select(F.col(other).cast("string").alias(f"k{i}_"), *[F.col(c).alias(f"{c}_{i}_") for c in columns])
+        out = out.join(lookup, F.coalesce(F.col(own).cast("string"), lone) == F.col(f"k{i}_"), "left")
     hit = [F.col(f"k{i}_").isNotNull() for i in range(1, len(keys) + 1)]
     for c in columns:
         out = out.withColumn(c, F.coalesce(*[F.when(h, F.col(f"{c}_{i}_")) for i, h in enumerate(hit, 1)]))

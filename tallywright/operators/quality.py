@@ -12,33 +12,75 @@ from ..functions.scalars import js_round
 MISSING_PENALTY = {"feeEarner": 20, "wipJson": 20, "fullMattersJson": 15, "invoicesJson": 10, "contactsJson": 5}
 
 
-def report(entries: DataFrame, matters: DataFrame, available: set[str]) -> DataFrame:
+def report(entries: DataFrame, matters: DataFrame, available: set[str], invoices: DataFrame | None = None) -> DataFrame:
     """One row: orphaned entries and their share of the value, matters without a client, and a score out of 100.
 
-    Both tables are single rows before they meet. Orphans over 20 percent cost 5 points, over
-    5 percent 3; clients missing on over a fifth of the matters cost 3.
+    All tables are single rows before they meet. Orphans over 20 percent cost 5 points, over
+    5 percent 3; clients missing on over a fifth of the matters cost 3; invoices without any
+    payment date, and entries without any activity, cost 2 each.
     """
     lost = ~F.col("matched")
-    e = entries.agg(F.count_if(lost).alias("orphans"), F.sum(F.when(lost, F.col("billable_value")).otherwise(0)).cast("double").alias("lost_value"), F.sum("billable_value").cast("double").alias("value"))
+    done = F.count("activity") if "activity" in entries.columns else F.lit(1)
+    e = entries.agg(F.count_if(lost).alias("orphans"), F.sum(F.when(lost, F.col("billable_value")).otherwise(0)).cast("double").alias("lost_value"), F.sum("billable_value").cast("double").alias("value"), done.alias("with_activity"), F.count("*").alias("entries"))
     m = matters.agg(F.count_if(F.col("display_name").isNull()).alias("unresolved"), F.count("*").alias("matters"))
+    row = e.join(F.broadcast(m))
+    undated = F.lit(0)
+    if invoices is not None:
+        row = row.join(F.broadcast(invoices.agg(F.count("*").alias("invoices"), F.count("date_paid").alias("dated"))))
+        undated = F.when((F.col("invoices") > 0) & (F.col("dated") == 0), 2).otherwise(0)
     percent = F.try_divide(F.lit(100.0) * F.col("lost_value"), F.col("value"))
     base = 100 - sum(points for kind, points in MISSING_PENALTY.items() if kind not in available)
-    score = F.lit(base) - F.when(percent > 20, 5).when(percent > 5, 3).otherwise(0) - F.when(F.col("unresolved") > 0.2 * F.col("matters"), 3).otherwise(0)
-    return e.join(F.broadcast(m)).select("orphans", js_round(percent, 4).alias("orphan_percent"), "unresolved", score.cast("long").alias("score"))
-
-
-def readiness(needs: tuple[set[str], set[str], set[str]], rows: dict[str, int], settings: set[str]) -> str:
-    """State of a formula from (entities, settings, optional entities) that it uses and what is there.
-
-    Without a needed entity it is blocked, without a setting partial; with all optional
-    entities too it is enhanced.
+    score = F.lit(base) - F.when(percent > 20, 5).when(percent > 5, 3).otherwise(0) - F.when(F.col("unresolved") > 0.2 * F.col("matters"), 3).otherwise(0) - undated - F.when((F.col("entries") > 0) & (F.col("with_activity") == 0), 2).otherwise(0)
+    return row.select("orphans", js_round(percent, 4).alias("orphan_percent"), "unresolved", F.greatest(F.lit(0), score).cast("long").alias("score"))
+
+
+# What each formula needs, as (entities, optional entities, settings without which it is partial, settings without which it is blocked).
+REQUIREMENTS = {
+    "SN-001": ("feeEarner", "", "feeEarner.salaryData", ""),
+    "SN-002": ("feeEarner", "", "weeklyTargetHours workingDaysPerWeek annualLeaveEntitlement bankHolidaysPerYear", ""),
+    "SN-003": ("feeEarner", "", "defaultFirmRetainPercent", ""),
+    "SN-004": ("feeEarner", "", "feeEarner.salaryData", ""),
+    "SN-005": ("feeEarner", "", "defaultFeeSharePercent", "costRateMethod"),
+    "F-TU-01": ("feeEarner timeEntry", "", "weeklyTargetHours workingDaysPerWeek annualLeaveEntitlement bankHolidaysPerYear feeEarner.perEarnerTargets", ""),
+    "F-TU-02": ("feeEarner timeEntry", "", "workingDaysPerWeek bankHolidaysPerYear", ""),
+    "F-TU-03": ("feeEarner timeEntry", "", "", ""),
+    "F-RB-01": ("feeEarner timeEntry invoice", "matter", "utilisationApproach", ""),
+    "F-RB-02": ("feeEarner timeEntry", "matter", "", ""),
+    "F-RB-03": ("feeEarner invoice", "matter", "revenueAttribution", ""),
+    "F-RB-04": ("matter timeEntry invoice", "", "", ""),
+    "F-WL-01": ("matter timeEntry", "invoice", "", ""),
+    "F-WL-02": ("feeEarner timeEntry", "matter invoice", "", ""),
+    "F-WL-03": ("matter disbursement invoice", "", "", ""),
+    "F-WL-04": ("matter timeEntry invoice", "", "", ""),
+    "F-PR-01": ("matter feeEarner timeEntry", "invoice disbursement", "defaultFirmRetainPercent feeEarner.salaryData", "costRateMethod"),
+    "F-PR-02": ("feeEarner invoice", "matter", "defaultFirmRetainPercent feeEarner.salaryData", "costRateMethod"),
+    "F-PR-03": ("department feeEarner matter invoice", "", "", ""),
+    "F-PR-04": ("client matter feeEarner invoice", "", "", ""),
+    "F-PR-05": ("feeEarner department matter invoice", "", "", ""),
+    "F-BS-01": ("matter timeEntry", "invoice", "", ""),
+    "F-BS-02": ("matter timeEntry invoice", "", "", ""),
+    "F-DM-01": ("invoice", "matter", "", ""),
+    "F-DM-02": ("client invoice", "", "invoice.datePaid", ""),
+    "F-CS-01": ("feeEarner timeEntry matter invoice", "", "weeklyTargetHours utilisationApproach", ""),
+    "F-CS-02": ("feeEarner timeEntry matter invoice", "", "scorecardWeights", ""),
+    "F-CS-03": ("matter timeEntry invoice disbursement", "", "scorecardWeights", ""),
+}
+
+
+def readiness_states(available: DataFrame, settings: tuple[str, ...]) -> DataFrame:
+    """(formula, state) of every formula, from ``available`` (entity, rows) and the settings made.
+
+    Blocked without a needed entity or setting, partial without an optional one, enhanced with
+    all optional entities, else ready.
     """
-    entities, config, optional = needs
-    if any(not rows.get(e) for e in entities):
-        return "BLOCKED"
-    if config - settings:
-        return "PARTIAL"
-    return "ENHANCED" if optional and all(rows.get(e) for e in optional) else "READY"
+    spark = available.sparkSession
+    needs = [(f, kind, name) for f, parts in REQUIREMENTS.items() for kind, names in zip(("entity", "option", "setting", "must"), parts) for name in names.split()]
+    made = spark.createDataFrame([(s,) for s in settings], "name string").withColumn("there", F.lit(True))
+    there = available.where("rows > 0").select(F.col("entity").alias("name"), F.lit(True).alias("there")).unionByName(made)
+    rows = spark.createDataFrame(needs, "formula string, kind string, name string").join(F.broadcast(there), "name", "left")
+    missing = F.col("there").isNull()
+    state = F.when(F.bool_or(missing & F.col("kind").isin("entity", "must")), "BLOCKED").when(F.bool_or(missing), "PARTIAL").when(F.bool_or(F.col("kind") == "option"), "ENHANCED").otherwise("READY")
+    return rows.groupBy("formula").agg(state.alias("state"))
 
 
 def refresh_derived(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -88,24 +88,45 @@ def _snapshot(spark, p):
 
 
 _TENTH = "CAST(round(CAST(value AS DECIMAL(28,6)), 1) AS VARCHAR)"
-_SHOWN = f"""CASE WHEN value IS NULL THEN NULL WHEN kpi_key IN ({', '.join(f"'{k}'" for k, v in snapshots.RESULT_TYPES.items() if v == 'percentage')}) THEN {_TENTH} || '%'
-  WHEN kpi_key IN ({', '.join(f"'{k}'" for k, v in snapshots.RESULT_TYPES.items() if v == 'days')}) THEN CAST(floor(value + 0.5) AS BIGINT) || ' days'
-  WHEN kpi_key IN ({', '.join(f"'{k}'" for k, v in snapshots.RESULT_TYPES.items() if v == 'currency')}) THEN CASE WHEN value <= -0.5 THEN '-' ELSE '' END || '£' || format('{{:,}}', CAST(round(CAST(abs(value) AS DECIMAL(28,6)), 0) AS BIGINT))
-  WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE {_TENTH} END"""
+_SHOWN = f"""CASE WHEN value IS NULL THEN NULL WHEN kpi_key IN ('F-TU-01', 'F-WL-02', 'F-WL-03', 'F-BS-01', 'F-RB-01') THEN {_TENTH} || '%' WHEN kpi_key IN ('F-WL-01', 'F-WL-04') THEN CAST(floor(value + 0.5) AS BIGINT) || ' days'
+  ELSE CASE WHEN value <= -0.5 THEN '-' ELSE '' END || '£' || format('{{:,}}', CAST(round(CAST(abs(value) AS DECIMAL(28,6)), 0) AS BIGINT)) END"""
 _SNAP = f"SELECT entity_type, entity_id, kpi_key, value AS kpi_value, {_status()} AS rag_status, {_SHOWN} AS display_value FROM kp"
 add("snp_01_snapshot", lambda spark, p: _snapshot(spark, p).select("entity_type", "entity_id", "kpi_key", "kpi_value", "rag_status", "display_value"), with_(_SNAP, *LONG_NEEDS))
 
 
-def _stored(spark, p):
+def _written(spark, p):
+    """The path of a stored snapshot; reads of it are what a dashboard does."""
     path = scratch_path(spark, "snapshots")
-    rows = _snapshot(spark, p)
-    snapshots.replace(rows.where("entity_type <> 'firm'"), path)
-    snapshots.replace(rows.where("entity_type <> 'firm'"), path)  # writing again replaces, never doubles
-    return snapshots.scan(spark, path, "firm-1", entity_type="feeEarner", period="current", kpi_keys=["F-TU-01"]).select("entity_id", "kpi_key", "kpi_value", "rag_status")
+    snapshots.replace(_snapshot(spark, p), path)
+    return path
+
+
+def _stored(spark, p):
+    path = _written(spark, p)
+    again = spark.read.parquet(path)
+    snapshots.replace(again.where("entity_type <> 'firm'").select(*_snapshot(spark, p).columns), path + "-2")
+    snapshots.replace(again.where("entity_type <> 'firm'").select(*_snapshot(spark, p).columns), path + "-2")  # writing again replaces, never doubles
+    return snapshots.scan(spark, path + "-2", "firm-1", entity_type="feeEarner", period="current", kpi_keys=["F-TU-01"]).select("entity_id", "kpi_key", "kpi_value", "rag_status")
 
 
 add("snk_03_replace_and_scan", _stored, with_(f"SELECT entity_id, kpi_key, kpi_value, rag_status FROM ({_SNAP}) WHERE entity_type = 'feeEarner' AND kpi_key = 'F-TU-01'", *LONG_NEEDS))
-add("qry_13_latest_pull", lambda spark, p: snapshots.latest_pull(_snapshot(spark, p)).select("firm_id", F.date_format("pulled_at", "yyyy-MM-dd HH:mm").alias("pulled_at")), f"SELECT 'firm-1' AS firm_id, '{REF_DATE} 06:00' AS pulled_at")
+add("qry_13_latest_pull", lambda spark, p: snapshots.latest_pull(spark.read.parquet(_written(spark, p))).select("firm_id", F.date_format("pulled_at", "yyyy-MM-dd HH:mm").alias("pulled_at")), f"SELECT 'firm-1' AS firm_id, '{REF_DATE} 06:00' AS pulled_at")
+add("qry_08_entity_kpis", lambda spark, p: snapshots.scan(spark, _written(spark, p), "firm-1", entity_type="client", entity_ids=["7"]).select("kpi_key", "entity_type", "entity_id", F.col("kpi_value").alias("value"), F.col("rag_status").alias("status")),
+    with_(f"SELECT kpi_key, entity_type, entity_id, value, {_status()} AS status FROM kp WHERE entity_type = 'client' AND entity_id = '7'", *LONG_NEEDS))
+add("qry_09_ordered_page", lambda spark, p: snapshots.ordered_page(snapshots.scan(spark, _written(spark, p), "firm-1", entity_type="matter", kpi_keys=["F-BS-01", "F-RB-01"]), 1000, 100).select("entity_id", "kpi_key"),
+    with_("SELECT entity_id, kpi_key FROM kp WHERE entity_type = 'matter' AND kpi_key IN ('F-BS-01', 'F-RB-01') ORDER BY entity_id, kpi_key LIMIT 1000 OFFSET 100", *LONG_NEEDS))
+add("qry_15_latest_results", lambda spark, p: _two_pulls(spark, p), with_("SELECT kpi_key, count(*) AS n, '2001-08-15 06:00' AS pulled_at FROM kp GROUP BY kpi_key", *LONG_NEEDS))
+add("qry_11_calculate", lambda spark, p: spark.read.parquet(_written(spark, p)).groupBy("kpi_key", "rag_status").agg(F.count("*").alias("n")), with_(f"SELECT kpi_key, {_status()} AS rag_status, count(*) AS n FROM kp GROUP BY ALL", *LONG_NEEDS))
+
+
+def _two_pulls(spark, p):
+    """Two pulls side by side; the newest is the one that counts."""
+    now = spark.read.parquet(_written(spark, p))
+    before = now.withColumn("pulled_at", F.col("pulled_at") - F.expr("INTERVAL 1 DAY"))
+    every = now.unionByName(before)
+    return every.join(F.broadcast(snapshots.latest_pull(every)), ["firm_id", "pulled_at"]).groupBy("kpi_key", F.date_format("pulled_at", "yyyy-MM-dd HH:mm").alias("pulled_at")).agg(F.count("*").alias("n"))
+
+
 add("srt_06_recent_flags", lambda spark, p: snapshots.recent_flags(table(spark, p, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.when(F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_orderpriority").startswith("2"), "medium").otherwise("low").alias("severity")), 25, [F.desc("o_orderdate"), F.asc("id")]).select("id", "severity"),
     "SELECT o_orderkey AS id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' THEN 'medium' ELSE 'low' END AS severity FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25)")
 add("qry_14_upload_status", lambda spark, p: quality.upload_status(spark.createDataFrame([("invoicesJson", "pending", "2001-02-01", 5), ("invoicesJson", "processed", "2001-01-01", 4), ("wipJson", "failed", "2001-01-03", 0)], "kind string, status string, uploaded string, rows long"), ["invoicesJson", "wipJson", "tasksJson"]),
@@ -116,5 +137,6 @@ add("qry_14_upload_status", lambda spark, p: quality.upload_status(spark.createD
 add("dq_01_quality", lambda spark, p: (lambda x: quality.report(x.time_entries, x.matters.join(x.clients.select("client_id", "display_name"), "client_id", "left"), {"feeEarner", "wipJson", "fullMattersJson", "invoicesJson", "contactsJson"}))(load(spark, p)),
     sql(f"""SELECT orphans, {rnd('100.0 * orphan_value / value', 4)} AS orphan_percent, unresolved, CAST(100 - CASE WHEN 100.0 * orphan_value / value > 20 THEN 5 WHEN 100.0 * orphan_value / value > 5 THEN 3 ELSE 0 END - CASE WHEN unresolved > 0.2 * matters THEN 3 ELSE 0 END AS BIGINT) AS score FROM
     (SELECT CAST(count(*) FILTER (NOT matched) AS BIGINT) AS orphans, CAST(sum(CASE WHEN NOT matched THEN billable_value ELSE 0 END) AS DOUBLE) AS orphan_value, CAST(sum(billable_value) AS DOUBLE) AS value FROM te), (SELECT CAST(count(*) FILTER (display_name IS NULL) AS BIGINT) AS unresolved, count(*) AS matters FROM ma LEFT JOIN cl USING (client_id))"""))
-add("rdy_01_readiness", lambda spark, p: spark.createDataFrame([(k, quality.readiness(v, {"timeEntry": 5, "matter": 3, "invoice": 0}, {"weekly"})) for k, v in {"a": ({"timeEntry"}, {"weekly"}, set()), "b": ({"invoice"}, set(), set()), "c": ({"matter"}, {"salary"}, set()), "d": ({"matter"}, set(), {"timeEntry"})}.items()], "kpi string, state string"),
-    values("kpi, state", [("a", "READY"), ("b", "BLOCKED"), ("c", "PARTIAL"), ("d", "ENHANCED")]))
+add("dq_01_undated", lambda spark, p: (lambda x: quality.report(x.time_entries.withColumn("activity", F.lit(None).cast("string")), x.matters.join(x.clients.where("client_id % 2 = 0").select("client_id", "display_name"), "client_id", "left"), {"feeEarner", "wipJson", "invoicesJson"}, x.invoices.withColumn("date_paid", F.lit(None).cast("date"))).select("unresolved", "score"))(load(spark, p)),
+    sql("""SELECT unresolved, CAST(80 - CASE WHEN share > 20 THEN 5 WHEN share > 5 THEN 3 ELSE 0 END - CASE WHEN unresolved > 0.2 * matters THEN 3 ELSE 0 END - 2 - 2 AS BIGINT) AS score FROM
+    (SELECT 100.0 * CAST(sum(CASE WHEN NOT matched THEN billable_value ELSE 0 END) AS DOUBLE) / CAST(sum(billable_value) AS DOUBLE) AS share FROM te), (SELECT CAST(count(*) FILTER (client_id % 2 = 1) AS BIGINT) AS unresolved, count(*) AS matters FROM ma)"""))

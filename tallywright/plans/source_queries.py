@@ -225,6 +225,10 @@ formula("exp_if_then", {"type": "ifThen", "condition": {"type": "compare", "oper
         "CASE WHEN budget IS NULL THEN NULL WHEN budget > 100000 THEN 37.5::DOUBLE ELSE CAST(client_id AS DOUBLE) END")
 formula("exp_aggregation", _op("add", {"type": "aggregation", "operator": "countOf", "entity": "invoice", "filters": [{"field": "status", "operator": "equals", "value": "PAID"}]}, _op("multiply", _f("client_id"), {"type": "aggregation", "operator": "maxOf", "entity": "timeEntry", "field": "minutes", "filters": [{"field": "age_days", "operator": "greaterThan", "value": 100}]})),
         "CAST((SELECT count(*) FROM iv WHERE status = 'PAID') + client_id * (SELECT max(minutes) FROM te WHERE age_days > 100) AS DOUBLE)")
+_agg = lambda o, field, *filters: {"type": "aggregation", "operator": o, "entity": "timeEntry", "field": field, "filters": list(filters)}
+formula("exp_aggregation_kinds", _op("add", _op("divide", _agg("sumOf", "minutes"), _agg("averageOf", "minutes", {"field": "do_not_bill", "operator": "equals", "value": False})), _op("add", _agg("minOf", "age_days"), _op("multiply", _c(0), _f("client_id")))),
+        rnd("CAST((SELECT sum(minutes) FROM te) AS DOUBLE) / (SELECT avg(minutes) FROM te WHERE NOT do_not_bill) + (SELECT min(age_days) FROM te)"), after={"round": 4})
+formula("exp_template", ex.substitute(_op("multiply", {"type": "field", "field": "{{what}}"}, {"type": "constant", "value": "{{factor}}"}), {"what": "client_id", "factor": 3}), "CAST(client_id * 3 AS DOUBLE)")
 formula("exp_post_process", _op("subtract", _c(0), _f("client_id")), "CAST(least(greatest(client_id * 2, 10), 100) AS DOUBLE)", after={"abs": True, "multiply": 2, "clamp": (10, 100), "round": 0})
 
 
@@ -240,6 +244,11 @@ add("srt_09_order", lambda spark, d: spark.createDataFrame([(i, k) for i, k in e
 add("flt_05_formula_filter", lambda spark, d: load(spark, d).matters.where(ex.matches([{"field": "budget", "operator": "notEquals", "value": None}, {"field": "status", "operator": "notIn", "value": ["ON_HOLD"]}, {"field": "client_id", "operator": "greaterThan", "value": 5}])).select("matter_id"),
     sql("SELECT matter_id FROM ma WHERE budget IS NOT NULL AND status <> 'ON_HOLD' AND client_id > 5"))
 
+add("flt_05_all_operators", lambda spark, d: load(spark, d).matters.where(ex.matches([
+    {"field": "status", "operator": "in", "value": ["COMPLETED", "ON_HOLD"]}, {"field": "budget", "operator": "isNotNull", "value": None}, {"field": "client_id", "operator": "lessThan", "value": 100}, {"field": "is_fixed_fee", "operator": "equals", "value": False}])).select("matter_id"),
+    sql("SELECT matter_id FROM ma WHERE status IN ('COMPLETED', 'ON_HOLD') AND budget IS NOT NULL AND client_id < 100 AND NOT is_fixed_fee"))
+add("flt_05_is_null", lambda spark, d: load(spark, d).matters.where(ex.matches([{"field": "budget", "operator": "isNull", "value": None}])).select("matter_id"), sql("SELECT matter_id FROM ma WHERE budget IS NULL"))
+
 # --- scalar functions ------------------------------------------------------------------
 
 

@@ -203,3 +203,44 @@ def auto_map(headers: DataFrame, fields: DataFrame, aliases: dict[str, str], sav
     out = out.join(best, "header", "left")
     how = F.when(F.col("exact_field").isNotNull(), "exact").when(F.col("alias_field").isNotNull(), "alias").when(F.col("saved_field").isNotNull(), "template").when(F.col("near_field").isNotNull(), "fuzzy").otherwise("unmapped")
     return out.select("header", F.coalesce("exact_field", "alias_field", "saved_field", "near_field").alias("field"), how.alias("how"))
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A file by its extension: JSON documents and lines, or CSV; anything else by its first character."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    form = name.rsplit(".", 1)[-1] if "." in name else ""
+    if form in ("json", "jsonl", "ndjson"):
+        return read_json(spark, path, lines=form != "json" or sniff(spark, path, whole=False) == "lines")
+    if form in ("csv", "txt"):
+        return read_csv(spark, path)
+    return read_upload(spark, path)
+
+
+def sniff(spark: SparkSession, path: str, whole: bool = True) -> str:
+    """``json`` for a text that begins with a bracket or brace, else ``csv``; with ``whole`` off, ``lines`` where every line is an object."""
+    lines = [r[0].strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if not lines or lines[0][:1] not in ("{", "["):
+        return "csv"
+    if not whole and all(x.startswith("{") and x.endswith("}") for x in lines):
+        return "lines"
+    return "json"
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """An upload without a name to go by: a JSON root array, or the first array of objects of a document, else CSV."""
+    if sniff(spark, path) == "csv":
+        return read_csv(spark, path)
+    df = spark.read.option("multiLine", True).json(path)
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+    if not arrays or not _single_document(df):
+        return df
+    return df.select(F.explode(F.col(f"`{arrays[0]}`")).alias("row_")).select("row_.*")
+
+
+def read_chunks(spark: SparkSession, path: str, total: int) -> DataFrame:
+    """An upload in ``chunk=n`` folders, once all of them are there; raises while some are missing."""
+    df = spark.read.json(path)
+    have = df.select("chunk").distinct().count()
+    if have != total:
+        raise ValueError(f"{have} of {total} chunks received")
+    return df.drop("chunk")

@@ -49,6 +49,35 @@ def scan(spark: SparkSession, path: str, firm_id: str, entity_type: str | None =
     return df
 
 
+def ordered_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One page of a scan by entity type, entity and KPI."""
+    return rows.orderBy("entity_type", "entity_id", "kpi_key").offset(offset).limit(limit)
+
+
+def replace_set(rows: DataFrame, path: str, firm_id: str, kind: str, version: int) -> None:
+    """One version of a firm's set of a kind (normalised, enriched or KPI rows): written again, it replaces itself."""
+    out = rows.withColumns({"firm_id": F.lit(firm_id), "kind": F.lit(kind), "version": F.lit(version).cast("long")})
+    out.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("firm_id", "kind", "version").parquet(path)
+
+
+def latest_set(spark: SparkSession, path: str, firm_id: str, kind: str) -> DataFrame:
+    """Rows of the newest version of a set; partition folders alone tell the version, other versions are not read."""
+    own = spark.read.parquet(path).where((F.col("firm_id") == firm_id) & (F.col("kind") == kind))
+    newest = own.agg(F.max("version")).first()[0]
+    return own.where(F.col("version") == newest)
+
+
+def delete_set(spark: SparkSession, path: str, firm_id: str, kind: str) -> None:
+    """All versions of a set go; other sets stay as they are."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/firm_id={firm_id}/kind={kind}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def upserted(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``existing`` with rows of the same keys replaced and new ones added."""
+    return existing.join(rows.select(*keys), keys, "left_anti").select(*rows.columns).unionByName(rows)
+
+
 def append_daily(rows: DataFrame, path: str, day: str, existing: DataFrame | None = None) -> DataFrame:
     """Append history rows of firms that have none for ``day`` yet; returns what was appended."""
     new = rows.withColumn("snapshot_date", F.to_date(F.lit(day)))
