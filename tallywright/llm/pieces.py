@@ -12,8 +12,9 @@ model's own pieces; there the fold is the model's merge rule over the same latti
 state is the set of boundaries as bits of a long, and the best edge that joins exactly two
 current symbols closes the boundary between them.
 
-Every distinct unit of at most ``LONGEST_UNIT`` characters goes through the lattice. Longer
-ones, whose boundaries do not fit a long, follow the same rule where their text is read.
+Every unit of at most ``LONGEST_UNIT`` characters goes through the lattice, frequent ones once
+and the others wherever they stand. Longer ones, whose boundaries do not fit a long, follow
+the same rule where their text is read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +44,7 @@ LONGEST_UNIT = 60
 #: Words that a worker remembers.
 MEMO = 1 << 17
 #: Distinct words, and words in all, that are counted before the counts go out.
-FLUSH, FLUSH_WORDS = 1 << 17, 1 << 24
+FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
 
 
 #: The fold by the model type that a .model file states.
@@ -299,7 +301,7 @@ SPELL = """
 
 
 def lattice(units: DataFrame, model: PieceModel, fold: str | None = None) -> DataFrame:
-    """Every row of ``units`` (column unit, distinct, 1 to ``LONGEST_UNIT`` characters; other columns stay) with its ids.
+    """Every row of ``units`` (column unit of 1 to ``LONGEST_UNIT`` characters; rows are distinct and other columns stay) with its ids.
 
     ``fold`` is the model's own if not given: ``merge`` for BPE models and ``viterbi`` for
     unigram ones (of paths with equal scores the one whose last edge starts later). Units that
@@ -354,9 +356,12 @@ def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> D
                     held = 0
         yield flush()
 
-    # what a task holds of the lattice that follows is many times its units: small tasks
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(text_col).mapInArrow(run, "unit string, n long").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _small_tasks(spark: SparkSession) -> int:
+    """Partitions for the lattice: what a task holds of it is many times its units."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class Encoder:
@@ -455,44 +460,46 @@ def _filled(ids: list[bytes], parts: pa.ListArray, kind: type) -> tuple[np.ndarr
     return to[edges], out
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", head: int = 2 * HEAD) -> DataFrame:
     """(id, ids): the piece ids of every row of ``docs``, as the library gives them for a model of its kind.
 
     Null and empty texts have no ids; repeated and null ids keep a row each; other columns
-    are ignored. Words and units of any length are whole. Every distinct unit goes through
-    the lattice; the most frequent ``head`` of them go to every worker with their ids. Texts
-    are dealt by row number with holes for other units, which fetch their ids by a join.
+    are ignored. Words and units of any length are whole. The most frequent ``head`` units go
+    through the lattice once and then to every worker with their ids; every other unit goes
+    through it where its text was dealt, by row number, and fills the hole that it left.
     """
     spark: SparkSession = docs.sparkSession
-    units = materialise(lattice(count_units(docs, model, text_col), model), "units")
-    cutoff, kind = head_cutoff(units, head), id_type(model)
-    known = {r["unit"]: np.array(r["ids"], dtype=kind).tobytes() for r in units.where(F.col("n") >= cutoff).toLocalIterator()}
+    counted = materialise(count_units(docs, model, text_col), "units")
+    kind = id_type(model)
+    frequent = counted.where(F.col("n") >= head_cutoff(counted, head)).select("unit").repartition(2 * spark.sparkContext.defaultParallelism, "unit")
+    known = {r["unit"]: np.array(r["ids"], dtype=kind).tobytes() for r in lattice(frequent, model).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
 
     def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, shared.value)
+        encoder, packed = Encoder(model, shared.value), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 own, rare = encoder.texts([t or "" for t in some.column(text_col).to_pylist()])
-                cells = [[pickle.dumps(i), ids, *(u.encode() for u in units)] for i, ids, units in zip(some.column("id").to_pylist(), own, rare)]
+                cells = [[pickle.dumps(i), packed(ids), *(u.encode() for u in units)] for i, ids, units in zip(some.column("id").to_pylist(), own, rare)]
                 yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(cells, pa.list_(pa.binary()))], names=["row", "cells"])
 
     id_kind = docs.schema[id_col].dataType
     arrow_kind = to_arrow_type(id_kind)
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                edges, ids = _filled(some.column("own").to_pylist(), some.column("parts"), kind)
+                edges, ids = _filled(list(map(unpacked, some.column("own").to_pylist())), some.column("parts"), kind)
                 keys = pa.array([pickle.loads(i) for i in some.column("id").to_pylist()], arrow_kind)
                 yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_col)
     # one array without nulls (the id, known ids, other units): both readers below ask for the
-    # same columns and rows, and so share one shuffle
-    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cells", T.ArrayType(T.BinaryType(), False), False)])).repartition("row")
-    rare = dealt.select("row", F.posexplode_outer(F.slice("cells", F.lit(3), F.size("cells"))).alias("k", "unit")).withColumn("unit", F.col("unit").cast("string"))
-    parts = rare.join(units.where(F.col("n") < cutoff).select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
+    # same columns and rows, and so share one shuffle, into tasks that are small for the lattice
+    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cells", T.ArrayType(T.BinaryType(), False), False)])).repartition(_small_tasks(spark), "row")
+    rare = dealt.select("row", F.posexplode_outer(F.slice("cells", F.lit(3), F.size("cells"))).alias("k", "unit")).select(F.col("unit").cast("string").alias("unit"), "row", "k").where("unit is not null")
+    parts = lattice(rare, model).groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
     own = dealt.join(parts, "row", "left").select(F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("own"), F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
     schema = T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return own.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
