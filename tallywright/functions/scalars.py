@@ -104,6 +104,11 @@ def normalise_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(low, rf"^({TITLES})\.?\s+", ""))
 
 
+def normalise_account_name(x: Column) -> Column:
+    """Lower case and single blanks, without anything in parentheses; honorifics stay."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")), r"\([^)]*\)", ""))
+
+
 def surname(x: Column) -> Column:
     return F.element_at(F.split(normalise_name(x), " "), -1)
 

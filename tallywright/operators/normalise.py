@@ -143,3 +143,10 @@ def strip_fields(df: DataFrame, names: set[str]) -> DataFrame:
         return c
 
     return df.select(*[kept(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name.lower() not in low])
+
+
+def audit_fields(df: DataFrame, names: set[str]) -> DataFrame:
+    """(field, rows): in how many rows a top-level field of the named ones, in any case, holds a value."""
+    own = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    cells = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in own]) if own else F.array().cast("array<string>")
+    return df.select(F.explode(F.array_compact(cells)).alias("field")).groupBy("field").agg(F.count("*").alias("rows"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import aggregates as agg
 from ..operators import dashboards, joins, kpi, lists
+from ..operators import normalise as nm
 from ..session import scratch_path, table
 from ..sources import files, paged, snapshots
 from .domain import REF_DATE, load, rnd, sql
@@ -210,6 +211,7 @@ add("scl_23_iso_compare", lambda spark, path: table(spark, path, "lineitem").wit
     "SELECT l_suppkey, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS latest FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' GROUP BY l_suppkey")
 add("scl_table_names", lambda spark, path: table(spark, path, "supplier").select("s_suppkey", sc.normalise_name(F.concat(F.lit("  Dr.  "), F.col("s_name"))).alias("name"), sc.coerce_string(F.when(F.col("s_suppkey") % 2 == 0, F.lit("\t ")).otherwise(F.concat(F.lit(" "), F.col("s_name")))).alias("trimmed")),
     "SELECT s_suppkey, lower(s_name) AS name, CASE WHEN s_suppkey % 2 = 1 THEN s_name END AS trimmed FROM supplier")
+add("scl_06_account_names", lambda spark, path: table(spark, path, "supplier").select("s_suppkey", sc.normalise_account_name(F.concat(F.lit("Dr  "), F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(" (Disabled)")).otherwise(""))).alias("name")), "SELECT s_suppkey, 'dr ' || lower(s_name) AS name FROM supplier")
 add("scl_table_numbers", lambda spark, path: table(spark, path, "part").select("p_partkey", sc.coerce_number(F.concat(F.lit("£"), F.col("p_size").cast("string"), F.lit(".5x"))).alias("number"), sc.coerce_percentage(F.when(F.col("p_size") % 2 == 0, F.lit("0.25")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("%")))).alias("percent"), sc.js_round(F.col("p_size") - 10.5).alias("rounded"), sc.safe_div(F.lit(10), F.col("p_size") % 3).alias("ratio")),
     "SELECT p_partkey, p_size + 0.5::DOUBLE AS number, CASE WHEN p_size % 2 = 0 THEN 25.0::DOUBLE WHEN p_size = 1 THEN 100.0::DOUBLE ELSE CAST(p_size AS DOUBLE) END AS percent, floor(p_size - 10.5::DOUBLE + 0.5) AS rounded, CASE WHEN p_size % 3 > 0 THEN 10.0::DOUBLE / (p_size % 3) END AS ratio FROM part")
 add("scl_table_dates", lambda spark, path: table(spark, path, "orders").select("o_orderkey", F.to_date(sc.coerce_date(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))).alias("day"), sc.coerce_boolean(F.when(F.col("o_orderkey") % 3 == 0, " YES ").when(F.col("o_orderkey") % 3 == 1, "0")).alias("flag"), sc.working_days_between(F.to_date("o_orderdate"), ref()).alias("working_days")),
@@ -414,3 +416,49 @@ def _sniffed(spark, path):
 
 add("src_06_sniffed_upload", _sniffed, "SELECT 'x' AS file, 'json' AS form, count(*) AS rows FROM region UNION ALL SELECT 'y', 'csv', 0")
 add("src_16_one_table_an_endpoint", lambda spark, path: _paged(spark, path).where("nation < 5").groupBy("nation").agg(F.count("*").alias("n")), "SELECT CAST(s_nationkey AS BIGINT) AS nation, count(*) AS n FROM supplier WHERE s_nationkey < 5 GROUP BY 1")
+
+
+# --- measures, audits and reports ------------------------------------------------------
+
+add("agg_01_hours", on(lambda p: matter_totals(p).select("matter_id", agg.hours(F.col("minutes")).alias("hours"), agg.hours(F.col("chargeable_minutes")).alias("chargeable_hours"), agg.hours(F.col("other_minutes")).alias("other_hours"), (F.col("billable") - F.col("chargeable_value")).alias("other_value"))),
+    sql(f"SELECT matter_id, {rnd('minutes / 60.0::DOUBLE')} AS hours, {rnd('chargeable_minutes / 60.0::DOUBLE')} AS chargeable_hours, {rnd('other_minutes / 60.0::DOUBLE')} AS other_hours, {d('billable - chargeable_value', 'other_value')} FROM mg", MATTERS))
+add("agg_06_counts", on(lambda p: p.fee_earners.agg(F.count("*").alias("earners"), F.count_if(F.col("pay_model") == "Salaried").alias("salaried"), F.count_if(F.col("pay_model") == "FeeShare").alias("fee_share")).crossJoin(F.broadcast(p.matters.agg(F.count("*").alias("matters"), F.count_if(F.col("status") == "IN_PROGRESS").alias("in_progress"), F.count_if(F.col("status") == "COMPLETED").alias("completed"))))),
+    sql("SELECT * FROM (SELECT count(*) AS earners, CAST(count(*) FILTER (pay_model = 'Salaried') AS BIGINT) AS salaried, CAST(count(*) FILTER (pay_model = 'FeeShare') AS BIGINT) AS fee_share FROM fe), (SELECT count(*) AS matters, CAST(count(*) FILTER (status = 'IN_PROGRESS') AS BIGINT) AS in_progress, CAST(count(*) FILTER (status = 'COMPLETED') AS BIGINT) AS completed FROM ma)"))
+add("agg_08_missing_percent", on(lambda p: agg.field_statistics(p.matters, ["budget", "status"]).select("field", sc.js_round(sc.percent(F.col("missing"), F.col("rows")), 4).alias("missing_percent"))),
+    sql(" UNION ALL ".join(f"SELECT '{f}' AS field, {rnd(pct(f'count(*) FILTER ({f} IS NULL)', 'count(*)'))} AS missing_percent FROM ma" for f in ("budget", "status"))))
+add("dq_01_discrepancies", on(lambda p: matter_totals(p).where("discrepancy = 'major'").withColumn("percent", F.abs(sc.percent(F.col("billable") - F.col("net_billing"), F.col("billable")))).groupBy(F.when(F.col("percent") > 30, "high").otherwise("medium").alias("severity")).agg(F.count("*").alias("matters"))),
+    sql(f"SELECT CASE WHEN p > 30 THEN 'high' ELSE 'medium' END AS severity, count(*) AS matters FROM (SELECT {pct('abs(billable - net_billing)', 'billable')} AS p FROM mg WHERE billable > 0 AND net_billing > 0) WHERE p > 10 GROUP BY 1", MATTERS))
+add("prj_14_audit", lambda spark, path: nm.audit_fields(table(spark, path, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("Password"), F.lit(None).cast("string").alias("token"), F.col("c_mktsegment").alias("API_KEY")), {"password", "token", "api_key"}),
+    "SELECT 'Password' AS field, count(*) AS rows FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'API_KEY', count(c_mktsegment) FROM customer")
+
+
+def _csv_report(spark, path):
+    to = scratch_path(spark, "uneven")
+    k = F.col("r_regionkey")
+    rows = table(spark, path, "region").select(F.when(k == 0, " , ").when(k == 1, "1,a,extra").otherwise(F.concat_ws(",", k.cast("string"), "r_name")).alias("value"))
+    head = spark.createDataFrame([("key,name",)], "value string")
+    head.unionByName(rows).coalesce(1).write.text(to)
+    return files.csv_report(spark, to)
+
+
+add("src_01_report", _csv_report, "SELECT count(*) - 1 AS kept, CAST(1 AS BIGINT) AS skipped, CAST(1 AS BIGINT) AS uneven FROM region")
+add("jon_10_provenance", lambda spark, path: joins.apply_registry(
+    table(spark, path, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.col("l_suppkey")).alias("id"), F.when(F.col("l_linenumber") == 2, F.upper(F.concat(F.lit("Ann L"), F.col("l_suppkey").cast("string")))).alias("name")),
+    table(spark, path, "supplier").select(F.lit("earner").alias("entity"), F.col("s_suppkey").alias("id"), F.concat(F.lit("Ann L"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("x").alias("dataset")), "earner", "id", "name").select("l_orderkey", "l_linenumber", "id", F.array_join("cross_referenced", ",").alias("filled")),
+    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber < 3 THEN l_suppkey END AS id, CASE l_linenumber WHEN 1 THEN 'name' WHEN 2 THEN 'id' ELSE '' END AS filled FROM lineitem WHERE l_linenumber <= 3")
+add("prj_01_auto_map_table", lambda spark, path: files.auto_map(
+    table(spark, path, "part").select(F.regexp_replace("p_brand", "#", "_").alias("header")).distinct().withColumn("position", F.lit(0)), table(spark, path, "part").select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("field")).distinct().withColumn("ordinal", F.lit(0)), {}).select("header", "field", "how"),
+    "SELECT DISTINCT replace(p_brand, '#', '_') AS header, lower(replace(p_brand, '#', '')) AS field, 'exact' AS how FROM part")
+
+
+def _uploads(spark, path):
+    from ..operators import quality
+
+    e = table(spark, path, "events")
+    own = e.select(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 10 == 0, "processed").when(F.col("event_id") % 3 == 0, "pending").otherwise("failed").alias("status"), F.format_string("%012d", "event_id").alias("uploaded"), F.col("event_id").alias("rows"))
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    return quality.upload_status(own, [*kinds, "zzz"])
+
+
+add("qry_14_status_of_uploads", _uploads, """SELECT kind, status, uploaded, rows FROM (SELECT event_type AS kind, CASE WHEN event_id % 10 = 0 THEN 'processed' WHEN event_id % 3 = 0 THEN 'pending' ELSE 'failed' END AS status, lpad(CAST(event_id AS VARCHAR), 12, '0') AS uploaded, CAST(event_id AS BIGINT) AS rows,
+    row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END, event_id DESC) AS rn FROM events) WHERE rn = 1 UNION ALL SELECT 'zzz', 'missing', NULL, 0""")

@@ -44,3 +44,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; call it when nothing reads them any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -32,6 +32,16 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", multi_line: b
     return without_blank_rows(df)
 
 
+def csv_report(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """One row: kept rows, blank rows that were skipped, and rows with more or fewer fields than the header."""
+    df = spark.read.option("header", True).option("sep", separator).option("escape", '"').csv(path)
+    names = df.columns
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("_broken", T.StringType())])
+    df = spark.read.schema(schema).option("header", True).option("sep", separator).option("escape", '"').option("columnNameOfCorruptRecord", "_broken").csv(path)
+    blank = ~F.exists(F.array(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) != "" for c in names]), lambda x: x)
+    return df.agg(F.count_if(~blank).alias("kept"), F.count_if(blank).alias("skipped"), F.count_if(~blank & F.col("_broken").isNotNull()).alias("uneven"))
+
+
 def without_blank_rows(df: DataFrame) -> DataFrame:
     filled = [F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) != "" for c in df.columns]
     return df.where(F.exists(F.array(*filled), lambda x: x)) if filled else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import display
@@ -29,18 +29,21 @@ def flatten(kpis: DataFrame, firm_id: str, pulled_at: str, period: str = "curren
 
 
 def replace(rows: DataFrame, path: str) -> int:
-    """Replace the firms' partitions that ``rows`` holds, others untouched; returns the rows now there.
+    """Replace all rows of the firms that ``rows`` holds, others untouched; returns how many were written.
 
     Dynamic partition overwrite commits all new files before old partitions go, so a failed
-    write leaves the old rows; running it again gives the same table.
+    write leaves the old rows; running it again gives the same table. Rows are counted while
+    they are written, and lie by entity type, so that scans skip what they do not ask for.
     """
-    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("firm_id", "entity_type").parquet(path)
-    firms = rows.select(F.col("firm_id").alias("firm_")).distinct()
-    return rows.sparkSession.read.schema(rows.schema).parquet(path).join(firms, F.col("firm_id").eqNullSafe(F.col("firm_")), "left_semi").count()
+    written = Observation()
+    order = [c for c in ("firm_id", "entity_type", "kpi_key", "entity_id") if c in rows.columns]
+    counted = rows.observe(written, F.count(F.lit(1)).alias("n")).sortWithinPartitions(*order)
+    counted.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("firm_id").parquet(path)
+    return written.get["n"]
 
 
 def scan(spark: SparkSession, path: str, firm_id: str, entity_type: str | None = None, period: str | None = None, kpi_keys: list[str] | None = None, entity_ids: list[str] | None = None) -> DataFrame:
-    """Snapshot rows of one firm; firm and entity type prune partitions, the rest is pushed to the files."""
+    """Snapshot rows of one firm; the firm prunes partitions, the rest is pushed to the files, which lie by entity type."""
     df = spark.read.parquet(path).where(F.col("firm_id") == firm_id)
     for column, value in (("entity_type", entity_type), ("period", period)):
         df = df.where(F.col(column) == value) if value is not None else df
@@ -87,9 +90,10 @@ def append_daily(rows: DataFrame, path: str, day: str, existing: DataFrame | Non
     return new
 
 
-def history(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
-    """History rows between two days, both included; whole partitions are pruned."""
-    return spark.read.parquet(path).where(F.col("snapshot_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+def history(spark: SparkSession, path: str, first: str, last: str, period: str | None = None) -> DataFrame:
+    """History rows between two days, both included, newest first; whole partitions are pruned."""
+    df = spark.read.parquet(path).where(F.col("snapshot_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    return (df if period is None else df.where(F.col("period") == period)).orderBy(F.desc("snapshot_date"))
 
 
 def keep_best(sets: DataFrame, key: str, order: list[Column]) -> DataFrame:
