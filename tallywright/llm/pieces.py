@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -300,16 +301,17 @@ SPELL = """
 """
 
 
-def lattice(units: DataFrame, model: PieceModel, fold: str | None = None) -> DataFrame:
+def lattice(units: DataFrame, model: PieceModel, fold: str | None = None, key: tuple[str, ...] = ("unit",)) -> DataFrame:
     """Every row of ``units`` (column unit of 1 to ``LONGEST_UNIT`` characters; rows are distinct and other columns stay) with its ids.
 
     ``fold`` is the model's own if not given: ``merge`` for BPE models and ``viterbi`` for
-    unigram ones (of paths with equal scores the one whose last edge starts later). Units that
-    are dealt by their text already, as a grouping leaves them, need no shuffle: they stay
-    where they are while their substrings explode.
+    unigram ones (of paths with equal scores the one whose last edge starts later). ``key``
+    tells rows apart. Units that are dealt by a part of it already, as a grouping leaves them,
+    need no shuffle: they stay where they are while their substrings explode.
     """
     spark, fold = units.sparkSession, fold or model.fold
     others = [c for c in units.columns if c != "unit"]
+    rest = [F.first(c).alias(c) for c in units.columns if c not in key]
     rows = [(p, i, s, model.ranks[p], p in model.late) for p, (i, s) in model.pieces.items()]
     if max(len(model.ranks), *(r[1] for r in rows)) >= NOTHING:
         raise ValueError("a model with a million pieces or more")
@@ -319,11 +321,11 @@ def lattice(units: DataFrame, model: PieceModel, fold: str | None = None) -> Dat
     edges = cut.withColumn("piece", F.expr("substring(unit, start + 1, size)")).join(table, "piece", "left").where("id is not null or size = 1")
     edge = F.expr(EDGE.format(worst=len(model.ranks), nothing=NOTHING))
     if fold == "merge":
-        grouped = edges.select("unit", *others, edge.alias("e")).groupBy("unit", *others).agg(F.sort_array(F.collect_list("e")).alias("edges"))
+        grouped = edges.select("unit", *others, edge.alias("e")).groupBy(*key).agg(*rest, F.sort_array(F.collect_list("e")).alias("edges"))
         bounds = grouped.withColumn("bounds", F.expr(MERGE_FOLD))
     else:
         scored = F.when(F.col("id").isNotNull(), F.struct("start", "size", "score"))
-        grouped = edges.select("unit", *others, edge.alias("e"), scored.alias("s")).groupBy("unit", *others).agg(F.collect_list("e").alias("edges"), F.collect_list("s").alias("scored"))
+        grouped = edges.select("unit", *others, edge.alias("e"), scored.alias("s")).groupBy(*key).agg(*rest, F.collect_list("e").alias("edges"), F.collect_list("s").alias("scored"))
         bounds = grouped.withColumn("bounds", F.expr(VITERBI_FOLD.format(unknown=f"({model.unknown!r}D)")))
     path = bounds.withColumn("path", F.expr(PATH))
     return path.select("unit", *others, F.expr(SPELL.format(nothing=NOTHING, bytes=", ".join(map(str, model.bytes)))).alias("ids"))
@@ -373,49 +375,49 @@ class Encoder:
         self.hole = np.array([HOLE], dtype=np.int64).astype(self.kind).tobytes()
         self.words: dict[str, bytes] = {}
 
-    def _unit(self, unit: str, holes: list[str]) -> bytes:
-        ids = self.known.get(unit)
-        if ids is None and len(unit) > LONGEST_UNIT:
-            return np.array(ids_of(self.segment(unit, self.model), self.model), dtype=self.kind).tobytes()
-        if ids is None:
-            holes.append(unit)
-            return self.hole
-        return ids
-
-    def _words(self, words: list[str]) -> dict[str, tuple[bytes, list[str]]]:
+    def _words(self, words: list[str]) -> tuple[dict[str, bytes], dict[str, list[str]]]:
         """(ids, units of the holes) of words; those without holes are remembered."""
         units, sizes = self.cutter.cut(words)
-        out, at = {}, 0
+        parts, at = list(map(self.known.get, units)), 0
+        out: dict[str, bytes] = {}
+        missing: dict[str, list[str]] = {}
         for word, n in zip(words, sizes.tolist()):
-            holes: list[str] = []
-            ids = b"".join([self._unit(u, holes) for u in units[at:at + n]])
+            own = parts[at:at + n]
+            if None not in own:
+                ids = own[0] if n == 1 else b"".join(own)
+                if len(word) <= LONGEST_UNIT:
+                    if len(self.words) >= MEMO:
+                        self.words.clear()
+                    self.words[word] = ids
+            else:
+                holes = []
+                for i, unit in enumerate(units[at:at + n]):
+                    if own[i] is None and len(unit) > LONGEST_UNIT:
+                        own[i] = np.array(ids_of(self.segment(unit, self.model), self.model), dtype=self.kind).tobytes()
+                    elif own[i] is None:
+                        holes.append(unit)
+                        own[i] = self.hole
+                ids = own[0] if n == 1 else b"".join(own)
+                if holes:
+                    missing[word] = holes
+            out[word] = ids
             at += n
-            out[word] = ids, holes
-            if not holes and len(word) <= LONGEST_UNIT:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[word] = ids
-        return out
+        return out, missing
 
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[list[str]]]:
         """(ids, units that the holes among them stand for, in order) of every text."""
         words = [self.cutter.words(t) for t in texts]
         found = [list(map(self.words.get, ws)) for ws in words]
-        new = list({w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None})
-        known = self._words(new) if new else {}
-        rare = []
-        for ws, ids in zip(words, found):
-            holes: list[str] = []
-            at = ids.index(None) if None in ids else -1
-            while at >= 0:
-                ids[at], missing = known[ws[at]]
-                holes += missing
-                try:
-                    at = ids.index(None, at + 1)
-                except ValueError:
-                    break
-            rare.append(holes)
-        return [b"".join(ids) for ids in found], rare
+        fresh = [[w for w, ids in zip(ws, own) if ids is None] if None in own else [] for ws, own in zip(words, found)]
+        new, missing = self._words(list(set(itertools.chain.from_iterable(fresh)))) if any(fresh) else ({}, {})
+        out, rare = [], []
+        for own, ws in zip(found, fresh):
+            if ws:
+                late = map(new.__getitem__, ws)
+                own = [next(late) if ids is None else ids for ids in own]
+            out.append(b"".join(own))
+            rare.append([u for w in ws if w in missing for u in missing[w]])
+        return out, rare
 
 
 #: Stands where the ids of a unit are still to come; no piece has this id.
@@ -499,7 +501,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     # same columns and rows, and so share one shuffle, into tasks that are small for the lattice
     dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cells", T.ArrayType(T.BinaryType(), False), False)])).repartition(_small_tasks(spark), "row")
     rare = dealt.select("row", F.posexplode_outer(F.slice("cells", F.lit(3), F.size("cells"))).alias("k", "unit")).select(F.col("unit").cast("string").alias("unit"), "row", "k").where("unit is not null")
-    parts = lattice(rare, model).groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
+    parts = lattice(rare, model, key=("row", "k")).groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
     own = dealt.join(parts, "row", "left").select(F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("own"), F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
     schema = T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return own.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
