@@ -13,7 +13,7 @@ from ..operators import aggregates as agg
 from ..operators import dashboards, joins, kpi, lists
 from ..operators import normalise as nm
 from ..session import scratch_path, table
-from ..sources import files, paged, snapshots
+from ..sources import datasets, files, paged, snapshots
 from .domain import REF_DATE, load, rnd, sql
 from .kpi_queries import pct, ref
 from .practice_queries import MATTERS, d, matter_totals, n, plain
@@ -355,31 +355,62 @@ add("qry_07_firm_summary", on(lambda p: p.matters.groupBy("status").agg(F.count(
 # --- sources ---------------------------------------------------------------------------
 
 
-def _pages(spark, path):
-    """Pages of suppliers as files that an URL names; the reader is the same for http."""
-    to = scratch_path(spark, "pages")
-    s = table(spark, path, "supplier")
-    rows = s.select(F.ceil(F.row_number().over(W.orderBy("s_suppkey")) / 50).alias("page"), F.struct("s_suppkey", "s_name", F.struct(F.col("s_nationkey").alias("key")).alias("nation")).alias("r")).groupBy("page").agg(F.to_json(F.struct(F.sort_array(F.collect_list("r")).alias("rows"))).alias("body"))
-    bodies = {r["page"]: r["body"] for r in rows.collect()}
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for page, body in bodies.items():
-        where = hadoop.Path(f"{to}/{page}.json")
-        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-        out.write(bytearray(body.encode()))
-        out.close()
-    return to, len(bodies)
+def _pages(spark, records, key, label):
+    """Records as files of fifty, written where tasks run; an URL names them, the reader is the same for http.
+
+    ``key`` counts the records from 0 without gaps.
+    """
+    to = scratch_path(spark, label)
+    to = to if "://" in to else f"file://{to}"
+    page = (F.floor(F.col(key) / 50) + 1).cast("int")
+    bodies = records.groupBy(page.alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(*records.columns))).alias("rows"))).alias("body"))
+
+    def write(rows):
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(to)
+        where.create_dir(folder, recursive=True)
+        for row in rows:
+            with where.open_output_stream(f"{folder}/{row['page']}.json") as out:
+                out.write(row["body"].encode())
+
+    bodies.foreachPartition(write)
+    return to + "/{page}.json"
 
 
 def _paged(spark, path):
-    to, n = _pages(spark, path)
-    to = to if "://" in to else f"file://{to}"
-    df = paged.read_pages(spark, "s_suppkey long, s_name string, nation struct<key:long>", url=to + "/{page}.json", pages=str(n))
+    s = table(spark, path, "supplier").select("s_suppkey", "s_name", F.struct(F.col("s_nationkey").alias("key")).alias("nation"))
+    df = paged.read_pages(spark, "s_suppkey long, s_name string, nation struct<key:long>", url=_pages(spark, s, "s_suppkey", "pages"), lanes="3")
     return df.select("s_suppkey", "s_name", F.col("nation.key").alias("nation"))
 
 
 add("src_14_paged_reads", _paged, "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS nation FROM supplier")
 
 
+def _api_records(spark, path):
+    """Customers as records of the API: the number counts them, the rest follows from it."""
+    k = F.col("c_custkey")
+    one_of = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int"))
+    return table(spark, path, "customer").select(
+        k.alias("number"), k.cast("string").alias("_id"), F.col("c_name").alias("case_name"), F.col("c_name").alias("title"), F.col("c_name").alias("display_name"),
+        one_of("IN_PROGRESS", "COMPLETED", "QUOTE", "DELETED", "ON_HOLD").alias("status"), one_of("true", "false", "false").alias("is_archived"),
+        F.struct((k % 7).cast("string").alias("_id"), F.concat(F.lit("D"), (k % 7).cast("string")).alias("title")).alias("department"), F.lit("secret").alias("password"),
+    )
+
+
+def _pulled(name):
+    return lambda spark, path: datasets.pull(spark, "", name, url=_pages(spark, _api_records(spark, path), "number", name), lanes="4")
+
+
+_RECORDS = "r AS (SELECT c_custkey AS k, ['IN_PROGRESS', 'COMPLETED', 'QUOTE', 'DELETED', 'ON_HOLD'][c_custkey % 5 + 1] AS status, c_custkey % 3 > 0 AS live FROM customer)"
+add("src_16_matters", lambda spark, path: _pulled("matters")(spark, path).groupBy("status", F.col("department.title").alias("department")).agg(F.count("*").alias("n"), F.sum("number").alias("numbers"), F.count("responsible_lawyer").alias("lawyers")),
+    f"WITH {_RECORDS} SELECT status, 'D' || k % 7 AS department, count(*) AS n, CAST(sum(k) AS BIGINT) AS numbers, CAST(0 AS BIGINT) AS lawyers FROM r WHERE status IN ('IN_PROGRESS', 'QUOTE', 'ON_HOLD') GROUP BY ALL")
+add("src_16_tasks", lambda spark, path: _pulled("tasks")(spark, path).groupBy("status").agg(F.count("*").alias("n"), F.count("title").alias("titles")),
+    f"WITH {_RECORDS} SELECT status, count(*) AS n, count(*) AS titles FROM r WHERE status <> 'DELETED' GROUP BY status")
+add("src_16_contacts", lambda spark, path: _pulled("contacts")(spark, path).select("_id", "display_name", "type"),
+    "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name AS display_name, CAST(NULL AS VARCHAR) AS type FROM customer WHERE c_custkey % 3 > 0")
+
+
 def _chunks(spark, path):
     to = scratch_path(spark, "chunks")
     n = table(spark, path, "nation")
