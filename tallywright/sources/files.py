@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import DETECTED_TYPES, detected_as
+from ..session import scratch_path
+from .excel import read_excel
+from .json_documents import split_document
 
 #: Share of a column's non-empty values that must read as a type for the column to have it.
 TYPE_SHARE = 0.9
@@ -47,13 +50,21 @@ def without_blank_rows(df: DataFrame) -> DataFrame:
     return df.where(F.exists(F.array(*filled), lambda x: x)) if filled else df
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+#: Bytes of JSON documents from which on they are split where their rows border.
+SPLIT_BYTES = 64 << 20
+
+
+def read_json(spark: SparkSession, path: str, lines: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Rows of a JSON file: its root array, its ``data`` array, or its largest top-level array.
 
-    ``lines`` reads one object a line, which splits; a whole document is one record for the
-    reader and so one task, whatever its size. The shape is chosen from the schema, and only
-    where several arrays compete are they counted.
+    ``lines`` reads one object a line, which splits. A small document is one record for the
+    reader: its shape is chosen from the schema, and only where several arrays compete are they
+    counted. From ``split_bytes`` on a document is first split into lines, in many tasks.
     """
+    if not lines and _bytes_of(spark, path) >= split_bytes:
+        to = scratch_path(spark, "json-lines")
+        if split_document(spark, path, to) is not None:
+            return spark.read.json(to)
     df = spark.read.option("multiLine", not lines).json(path)
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
     # a root array of one row that itself holds arrays of objects reads like a document
@@ -67,6 +78,11 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return df.select(F.explode(F.col(f"`{best}`")).alias("row_")).select("row_.*")
 
 
+def _bytes_of(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def _single_document(df: DataFrame) -> bool:
     return len(df.take(2)) == 1
 
@@ -216,13 +232,15 @@ def auto_map(headers: DataFrame, fields: DataFrame, aliases: dict[str, str], sav
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A file by its extension: JSON documents and lines, or CSV; anything else by its first character."""
+    """A file by its extension: JSON documents and lines, CSV, or Excel; anything else by its first character."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     form = name.rsplit(".", 1)[-1] if "." in name else ""
     if form in ("json", "jsonl", "ndjson"):
         return read_json(spark, path, lines=form != "json" or sniff(spark, path, whole=False) == "lines")
     if form in ("csv", "txt"):
         return read_csv(spark, path)
+    if form in ("xlsx", "xlsm"):
+        return read_excel(spark, path)
     return read_upload(spark, path)
 
 
