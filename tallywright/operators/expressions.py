@@ -87,7 +87,14 @@ def matches(filters: list[dict]) -> Column:
     return out
 
 
+def _reference(node: dict) -> tuple[str, str | None, str]:
+    """(id, key of an additional value, entity): ``self`` is the entity that the formula is evaluated for."""
+    return node["id"], node.get("valueKey") if node["type"] == "formula" else None, node.get("entityBinding", "self")
+
+
 def _name(node: dict) -> str:
+    if node["type"] in ("formula", "snippet"):
+        return "ref_" + hashlib.sha256(json.dumps(_reference(node)).encode()).hexdigest()[:16]
     return "agg_" + hashlib.sha256(json.dumps(node, sort_keys=True).encode()).hexdigest()[:16]
 
 
@@ -97,7 +104,7 @@ def compile_node(node: dict, config: dict) -> Column:
     if kind == "field":
         return F.col(node["field"]).try_cast("double")
     if kind in ("formula", "snippet"):
-        return F.col(f"ref_{node['id']}")
+        return F.col(_name(node))
     if kind == "constant":
         return F.lit(float(node["value"])) if not isinstance(node["value"], str) else F.lit(node["value"]).try_cast("double")
     if kind == "config":
@@ -137,17 +144,39 @@ def post_process(value: Column, steps: dict) -> Column:
     return js_round(value, steps["round"]) if "round" in steps else value
 
 
+def _referenced(df: DataFrame, tree: dict, key: str, results: DataFrame) -> DataFrame:
+    """``df`` with a column for every reference: one join for those to the entity itself, one row for all others."""
+    nodes = {_name(n): _reference(n) for n in walk(tree) if n["type"] in ("formula", "snippet")}
+
+    def value(reference: tuple[str, str | None, str]) -> Column:
+        own, value_key, entity = reference
+        what = F.col("value") if value_key is None else F.try_element_at("additional", F.lit(value_key)) if "additional" in results.columns else F.lit(None).cast("double")
+        fits = F.col("kpi_key") == own
+        return F.max(F.when(fits if entity == "self" else fits & (F.col("entity_id") == entity), what))
+
+    of_self = {name: r for name, r in nodes.items() if r[2] == "self"}
+    bound = {name: r for name, r in nodes.items() if r[2] != "self"}
+    if of_self:
+        other = results.where(F.col("kpi_key").isin(*sorted({r[0] for r in of_self.values()}))).groupBy(F.col("entity_id").alias("ref_entity_")).agg(*[value(r).alias(name) for name, r in of_self.items()])
+        df = df.join(other, F.col(key).cast("string") == F.col("ref_entity_"), "left")
+    if bound:
+        keys, ids = (sorted({r[i] for r in bound.values()}) for i in (0, 2))
+        named = results.where(F.col("kpi_key").isin(*keys) & F.col("entity_id").isin(*ids))  # pushed to the files
+        row = named.agg(*[value(r).alias(name) for name, r in bound.items()])
+        df = df.join(F.broadcast(row))  # a single row
+    return df
+
+
 def evaluate(tree: dict, entities: DataFrame, key: str, tables: dict[str, DataFrame] | None = None, results: DataFrame | None = None, config: dict | None = None, after: dict | None = None) -> DataFrame:
     """(entity_id, value) of a formula for every entity.
 
-    ``results`` (kpi_key, entity_id, value) holds what other formulas gave; ``tables`` what
-    aggregations run over. Aggregates of one table are one row, computed in one pass each.
+    ``results`` (kpi_key, entity_id, value, and additional values by name) holds what other
+    formulas gave; ``tables`` what aggregations run over. Aggregates of one table are one row,
+    computed in one pass each.
     """
     df = entities
-    wanted = sorted(references(tree))
-    if wanted:
-        other = results.where(F.col("kpi_key").isin(*wanted)).groupBy("entity_id").pivot("kpi_key", wanted).agg(F.max("value")).select(F.col("entity_id").alias("ref_entity_"), *[F.col(f"`{w}`").alias(f"ref_{w}") for w in wanted])
-        df = df.join(other, F.col(key).cast("string") == F.col("ref_entity_"), "left")
+    if references(tree):
+        df = _referenced(df, tree, key, results)
     aggregates = {_name(n): n for n in walk(tree) if n["type"] == "aggregation"}
     for entity in sorted({n["entity"] for n in aggregates.values()}):
         own = {k: n for k, n in aggregates.items() if n["entity"] == entity}

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import name_variants, normalise_name, surname
+from ..session import scratch_path
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -91,6 +92,57 @@ def apply_registry(df: DataFrame, winners: DataFrame, entity: str, id_col: str,
     )
 
 
+#: Entities of a registry with the id and name columns of a record, and how their names are looked up.
+ENTITIES = {
+    "matter": ("matter_id", "matter_number", lambda c: c.cast("string")),
+    "earner": ("lawyer_id", "lawyer_name", normalise_name),
+    "client": ("client_id", "display_name", F.lower),
+    "department": ("department_id", "department", F.lower),
+}
+#: Parts that the rows of one key are dealt to.
+SALTS = 16
+
+
+def cross_reference(df: DataFrame, winners: DataFrame, entities: dict | None = None, salts: int = SALTS) -> DataFrame:
+    """Every record with the ids that its names have in the registry, and the names of its ids, of all entities at once.
+
+    ``winners`` is a registry (entity, id, name) as ``registry`` gives it. What a record lacks
+    is unpivoted to rows (entity, direction, key), which meet the registry in one join, dealt by
+    key and salt, and come back as a map a record. ``cross_referenced`` lists the columns that
+    were filled. Fee earners are found under any spelling of their names, matters by number, the
+    others by name in any case; of several ids the smallest is meant.
+    """
+    entities = {e: columns for e, columns in (entities or ENTITIES).items() if columns[0] in df.columns and columns[1] in df.columns}
+    spark = df.sparkSession
+    path = scratch_path(spark, "records")
+    df.withColumn("row_", F.monotonically_increasing_id()).write.parquet(path)  # row numbers must not change
+    rows = spark.read.parquet(path)
+
+    def ask(entity: str, have: str, lack: str, key: Column) -> Column:
+        return F.when(F.col(lack).isNull() & F.col(have).isNotNull(), F.struct(F.lit(f"{entity}.{lack}").alias("field"), key.alias("key")))
+
+    asks = [a for e, (i, name, key) in entities.items() for a in (ask(e, i, name, F.col(i).cast("string")), ask(e, name, i, key(F.col(name))))]
+    wanted = rows.select("row_", F.inline(F.array_compact(F.array(*asks)))).withColumn("salt", F.pmod(F.xxhash64("row_"), F.lit(salts)))
+    answers = []
+    for e, (i, name, key) in entities.items():
+        own = winners.where(F.col("entity") == e)
+        spelled = F.explode(name_variants(F.col("name")) if key is normalise_name else F.array(key(F.col("name"))))
+        answers += [
+            own.select(F.lit(f"{e}.{name}").alias("field"), F.col("id").cast("string").alias("key"), F.col("name").cast("string").alias("found")),
+            own.select("id", spelled.alias("key")).groupBy("key").agg(F.min("id").cast("string").alias("found")).select(F.lit(f"{e}.{i}").alias("field"), "key", "found"),
+        ]
+    answers = functools.reduce(DataFrame.unionByName, answers).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    hits = wanted.join(answers, ["field", "key", "salt"]).groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct("field", "found"))).alias("found_"))
+    joined = rows.join(hits, "row_", "left")
+
+    def found(entity: str, column: str) -> Column:
+        return F.try_element_at("found_", F.lit(f"{entity}.{column}"))
+
+    filled = {c: F.coalesce(F.col(c), found(e, c).cast(df.schema[c].dataType)) for e, (i, name, _) in entities.items() for c in (i, name)}
+    tags = [F.when(found(e, c).isNotNull(), F.lit(c)) for e, (i, name, _) in entities.items() for c in (i, name)]
+    return joined.select(*[filled.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns], F.array_compact(F.array(*tags)).alias("cross_referenced"))
+
+
 def merge_people(primary: DataFrame, extra: DataFrame, columns: list[str]) -> DataFrame:
     """Primary people with ``columns`` of extra rows, by account id, else e-mail, else full name, else a surname that both sides have once."""
     def once(df: DataFrame, key: Column) -> DataFrame:

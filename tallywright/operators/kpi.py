@@ -397,8 +397,10 @@ def _health(p: Practice) -> tuple[DataFrame, tuple[Column, ...]]:
     return out, (parts[0], F.when(F.col("burn").isNotNull(), parts[1]), parts[2], parts[3])
 
 
-def kpi_rows(p: Practice, c: FirmConfig) -> DataFrame:
-    """Ten KPIs of all grains from one grouping each of entries, invoices and disbursements.
+def kpi_rows(p: Practice, c: FirmConfig, additional: bool = False) -> DataFrame:
+    """Eight KPIs of all grains from one grouping each of entries, invoices and disbursements.
+
+    ``additional`` adds a map of the amounts that a value was made of, for formulas that ask for them.
 
     Every source is grouped once by grouping sets; the groups and the entities that must have
     a row even without facts meet in one grouping by entity, and a row's KPIs unfold from it.
@@ -444,7 +446,12 @@ def kpi_rows(p: Practice, c: FirmConfig) -> DataFrame:
         ("F-DM-01", entity("client") & (F.col("open_n") > 0) | firm, safe_div(F.col("open_age"), F.col("open"))),
     )
     rows = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(key).alias("kpi_key"), js_round(value, 4).alias("value"))) for key, when, value in rules]))
-    return one.select("entity_type", "entity_id", F.explode(rows).alias("r")).select("r.kpi_key", "entity_type", "entity_id", "r.value")
+    out = one.select("*", F.explode(rows).alias("r"))
+    if not additional:
+        return out.select("r.kpi_key", "entity_type", "entity_id", "r.value")
+    parts = {"wip": "wip", "budget": "budget", "netBilling": "net", "writeOff": "write_off", "billable": "billable", "outstanding": "open", "spent": "spent", "exposure": "exposure", "chargeableMinutes": "chargeable"}
+    amounts = F.map_filter(F.create_map(*[x for name, column in parts.items() for x in (F.lit(name), F.col(column).cast("double"))]), lambda _, v: v.isNotNull())
+    return out.select("r.kpi_key", "entity_type", "entity_id", "r.value", amounts.alias("additional"))
 
 
 def invoice_days(p: Practice) -> DataFrame:

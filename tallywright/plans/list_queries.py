@@ -247,9 +247,6 @@ def visible(df, columns: list[str], hidden: set[str]):
 
 
 add("prj_17_visible_columns", on(lambda p: visible(p.matters, ["matter_number", "status", "client_id", "matter_id"], {"client_id"})), sql("SELECT matter_number, status, matter_id FROM ma"))
-add("prj_02_mapping_check", lambda spark, path: mapping_issues(
-    spark.createDataFrame([("a", "matterId"), ("b", "matterId"), ("c", "budget"), ("d", "zzz")], "header string, field string"), spark.createDataFrame([("matterId", True), ("status", True), ("budget", False)], "field string, required boolean")),
-    "SELECT * FROM (VALUES ('duplicate', 'matterId'), ('missing', 'status'), ('unknown', 'zzz')) AS t(issue, field)")
 
 
 def mapping_issues(mapping, fields):
@@ -437,15 +434,19 @@ add("src_05_format_routing", _routed, "SELECT f AS file, CAST(r_regionkey AS BIG
 
 
 def _sniffed(spark, path):
+    """Suppliers as uploads without a name to go by: a document with another array before the rows, and CSV."""
     to = scratch_path(spark, "sniffed")
-    r = table(spark, path, "region")
-    r.agg(F.to_json(F.struct(F.array().cast("array<string>").alias("errors"), F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("items"))).alias("value")).coalesce(1).write.text(to + "/x")
-    r.select(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name").alias("value")).union(spark.createDataFrame([], "value string")).coalesce(1).write.text(to + "/y")
-    both = files.sniff(spark, to + "/x"), files.sniff(spark, to + "/y")
-    return spark.createDataFrame([("x", both[0], files.read_upload(spark, to + "/x").count()), ("y", both[1], 0)], "file string, form string, rows long")
+    r = table(spark, path, "supplier").select("s_suppkey", "s_name", F.lit(1).alias("one"))
+    r.groupBy("one").agg(F.to_json(F.struct(F.array().cast("array<string>").alias("errors"), F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("items"))).alias("value")).select("value").coalesce(1).write.text(to + "/x")
+    r.select("s_suppkey", "s_name").repartition(2, "s_suppkey").write.option("header", True).csv(to + "/y")
+    out = None
+    for name in ("x", "y"):
+        own = files.read_upload(spark, f"{to}/{name}").select(F.lit(name).alias("file"), F.lit(files.sniff(spark, f"{to}/{name}")).alias("form"), F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-add("src_06_sniffed_upload", _sniffed, "SELECT 'x' AS file, 'json' AS form, count(*) AS rows FROM region UNION ALL SELECT 'y', 'csv', 0")
+add("src_06_sniffed_upload", _sniffed, "SELECT f AS file, form, s_suppkey, s_name FROM supplier, (VALUES ('x', 'json'), ('y', 'csv')) AS t(f, form)")
 add("src_16_one_table_an_endpoint", lambda spark, path: _paged(spark, path).where("nation < 5").groupBy("nation").agg(F.count("*").alias("n")), "SELECT CAST(s_nationkey AS BIGINT) AS nation, count(*) AS n FROM supplier WHERE s_nationkey < 5 GROUP BY 1")
 
 

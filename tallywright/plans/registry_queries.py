@@ -26,10 +26,6 @@ def add(name: str, run, oracle: str) -> None:
 
 # --- joins -----------------------------------------------------------------------------
 
-_PEOPLE = [(1, "Dr John Smith", 0), (2, "Ann Lee", 1), (3, "Jane Smith", 2)]
-_RAW = [("a", "john smith"), ("b", "Mrs. Lee"), ("c", "J. Smith"), ("e", "Nobody Else"), ("f", None)]
-add("jon_04_names", lambda spark, p: joins.match_names(spark.createDataFrame(_RAW, "k string, raw string"), spark.createDataFrame(_PEOPLE, "lawyer_id long, lawyer_name string, i int"), "raw", "lawyer_name", "lawyer_id", "i").select("k", "lawyer_id", "level"),
-    values("k, lawyer_id, level", [("a", 1, 1), ("b", 2, 2), ("c", 1, 2), ("e", None, None), ("f", None, None)]).replace("SELECT *", "SELECT k, CAST(lawyer_id AS BIGINT) AS lawyer_id, CAST(level AS BIGINT) AS level"))
 add("jon_06_client_names", lambda spark, p: (lambda x: x.matters.join(x.clients.select("client_id", "display_name"), "client_id", "left").select("matter_id", "display_name"))(load(spark, p)), sql("SELECT matter_id, display_name FROM ma LEFT JOIN cl USING (client_id)"))
 add("jon_08_disbursements", lambda spark, p: (lambda x: x.disbursements.join(x.matters.select("matter_id", "case_type"), "matter_id", "left").groupBy("case_type").agg(agg.total("subtotal").alias("value"), F.count("*").alias("n")))(load(spark, p)),
     sql(f"SELECT case_type, {d('sum(subtotal)', 'value')}, count(*) AS n FROM di LEFT JOIN ma USING (matter_id) GROUP BY case_type"))
@@ -47,12 +43,6 @@ add("jon_09_registry", lambda spark, p: joins.registry(_pairs(spark, p))[0].sele
 add("jon_09_conflicts", lambda spark, p: joins.registry(_pairs(spark, p))[1].select("id", "winner", "name"), "SELECT c_custkey AS id, c_name AS winner, c_name || ' Ltd' AS name FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 5 = 0")
 add("jon_10_apply", lambda spark, p: joins.apply_registry(table(spark, p, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("kept")).alias("name")), joins.registry(_pairs(spark, p))[0], "client", "id", "name").select("o_orderkey", "id", "name"),
     "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'kept' WHEN o_orderkey % 2 = 0 AND o_custkey % 7 > 0 THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') WHEN o_orderkey % 2 = 0 AND o_custkey % 5 = 0 THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || ' Ltd' END AS name FROM orders")
-add("jon_11_variants", lambda spark, p: spark.createDataFrame([("Dr John Smith",)], "x string").select(F.explode(sc.name_variants(F.col("x"))).alias("variant")),
-    values("variant", [("john smith",), ("smith, john",), ("smith john",), ("j smith",), ("j. smith",), ("smith j",), ("smith, j",), ("smith",)]))
-_API = [(1, "John Smith", "js@x", "A1"), (2, "Ann Lee", "AL@x", None), (3, "Bo Chan", None, None), (4, "Cy Young", None, None), (5, "Di Fox", None, None)]
-_CSV = [("Someone Else", None, "A1", 10.0), ("Other", "al@X", None, 20.0), ("bo  chan", None, None, 30.0), ("Cyril Young", None, None, 40.0), ("E Roe", None, None, 50.0)]
-add("jon_13_merge", lambda spark, p: joins.merge_people(spark.createDataFrame(_API, "id long, name string, email string, account_id string"), spark.createDataFrame(_CSV, "name string, email string, account_id string, salary double"), ["salary"]).select("id", "salary", "matched_by"),
-    values("id, salary, matched_by", [(1, 10.0, 1), (2, 20.0, 2), (3, 30.0, 3), (4, 40.0, 4), (5, None, None)]).replace("SELECT *", "SELECT CAST(id AS BIGINT) AS id, CAST(salary AS DOUBLE) AS salary, CAST(matched_by AS BIGINT) AS matched_by"))
 
 
 def _paid(spark, p):
@@ -66,19 +56,12 @@ add("jon_15_client_profiles", lambda spark, p: (lambda x: joins.array_containmen
 add("jon_25_previous_period", lambda spark, p: (lambda t: t.withColumn("before", F.lag("n").over(W.partitionBy("o_custkey").orderBy("y"))).where("before is not null").select("o_custkey", "y", "n", "before"))(
     table(spark, p, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))),
     "SELECT * FROM (SELECT o_custkey, y, n, lag(n) OVER (PARTITION BY o_custkey ORDER BY y) AS before FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)) WHERE before IS NOT NULL")
-add("win_07_period_drop", lambda spark, p: classify.risk_flags(
-    spark.createDataFrame([("F-TU-01", "feeEarner", "1", 40.0), ("F-TU-01", "feeEarner", "2", 75.0), ("F-TU-01", "feeEarner", "3", 99.0)], "kpi_key string, entity_type string, entity_id string, value double"),
-    spark.createDataFrame([("F-TU-01", "1", 80.0), ("F-TU-01", "2", 100.0), ("F-TU-01", "3", 100.0)], "kpi_key string, entity_id string, value double")),
-    values("flag, severity, entity_type, entity_id, value", [("UTILISATION_DROP", "high", "feeEarner", "1", 50.0), ("UTILISATION_DROP", "medium", "feeEarner", "2", 25.0)]).replace("SELECT *", "SELECT flag, severity, entity_type, entity_id, CAST(value AS DOUBLE) AS value"))
 add("win_03_unique_guard", lambda spark, p: table(spark, p, "part").withColumn("n", F.count("*").over(W.partitionBy("p_name", "p_brand"))).where("n = 1").select("p_partkey"), "SELECT p_partkey FROM part QUALIFY count(*) OVER (PARTITION BY p_name, p_brand) = 1")
 add("win_04_versions", lambda spark, p: (lambda w: table(spark, p, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("version"), F.lead("o_orderkey").over(w).isNull().alias("is_current")))(W.partitionBy("o_custkey").orderBy("o_orderkey")),
     "SELECT o_custkey, o_orderkey, row_number() OVER w AS version, lead(o_orderkey) OVER w IS NULL AS is_current FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 add("set_04_except", lambda spark, p: table(spark, p, "customer").select(F.col("c_custkey").alias("k")).join(table(spark, p, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti"), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 add("set_05_union_of_ids", lambda spark, p: quality.refresh_derived(table(spark, p, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("value")), spark.createDataFrame([("Brand#13",), ("gone",)], "value string")).groupBy("state").agg(F.count("*").alias("n")),
     "SELECT state, count(*) AS n FROM (SELECT CASE WHEN a.value IS NULL THEN 'flagged' WHEN b.value IS NULL THEN 'new' ELSE 'kept' END AS state FROM (SELECT DISTINCT p_brand AS value FROM part WHERE p_partkey % 2 = 0) a FULL JOIN (VALUES ('Brand#13'), ('gone')) b(value) ON a.value = b.value) GROUP BY state")
-add("agg_30_overrides", lambda spark, p: quality.effective_overrides(
-    spark.createDataFrame([(1, "rate", 10.0, "2000-01-01", None), (1, "rate", 9.0, "1999-01-01", "1999-12-31"), (1, "hours", 5.0, "2001-01-01", "2001-12-31"), (2, "rate", 7.0, "2002-01-01", None)], "id long, field string, value double, valid_from string, valid_to string"), REF_DATE)
-    .select("id", F.explode("overrides").alias("field", "value")), values("id, field, value", [(1, "rate", 10.0), (1, "hours", 5.0)]).replace("SELECT *", "SELECT CAST(id AS BIGINT) AS id, field, CAST(value AS DOUBLE) AS value"))
 
 # --- snapshots -------------------------------------------------------------------------
 
@@ -129,8 +112,6 @@ def _two_pulls(spark, p):
 
 add("srt_06_recent_flags", lambda spark, p: snapshots.recent_flags(table(spark, p, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.when(F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_orderpriority").startswith("2"), "medium").otherwise("low").alias("severity")), 25, [F.desc("o_orderdate"), F.asc("id")]).select("id", "severity"),
     "SELECT o_orderkey AS id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' THEN 'medium' ELSE 'low' END AS severity FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25)")
-add("qry_14_upload_status", lambda spark, p: quality.upload_status(spark.createDataFrame([("invoicesJson", "pending", "2001-02-01", 5), ("invoicesJson", "processed", "2001-01-01", 4), ("wipJson", "failed", "2001-01-03", 0)], "kind string, status string, uploaded string, rows long"), ["invoicesJson", "wipJson", "tasksJson"]),
-    values("kind, status, uploaded, rows", [("invoicesJson", "processed", "2001-01-01", 4), ("wipJson", "failed", "2001-01-03", 0), ("tasksJson", "missing", None, 0)]).replace("SELECT *", "SELECT kind, status, uploaded, CAST(rows AS BIGINT) AS rows"))
 
 # --- quality ---------------------------------------------------------------------------
 

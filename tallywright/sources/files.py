@@ -210,25 +210,91 @@ def detect_dataset(columns: list[str], form: str) -> tuple[str | None, str]:
     return (kind if best else None), "high" if best >= 60 else "medium" if best >= 35 else "low" if best else "none"
 
 
-def auto_map(headers: DataFrame, fields: DataFrame, aliases: dict[str, str], saved: dict[str, str] | None = None, most_edits: int = 2) -> DataFrame:
-    """(header, field, how): each header's field by exact name, alias, saved mapping, or edit distance.
+def detect_datasets(headers: DataFrame) -> DataFrame:
+    """(upload, kind, score, confidence) of every upload, from its headers (upload, header, form).
 
-    ``headers`` (header, position) and ``fields`` (field, ordinal) are small by nature; of
-    equally near fields the first counts.
+    Headers meet the columns of the signatures, a short list; points add up by upload and kind
+    as ``dataset_scores`` has it. The first listed of equal kinds is meant, none without points.
     """
     spark = headers.sparkSession
-    squeeze = lambda c: F.regexp_replace(F.lower(c), r"[\s_\-.]+", "")
-    known = fields.withColumn("k", squeeze(F.col("field")))
-    pairs = [(k, v) for k, v in aliases.items()]
-    renamed = spark.createDataFrame(pairs or [("", "")], "a string, target string").join(known.select("k", F.col("field").alias("alias_field")), F.expr("target = k")).select("a", "alias_field")
-    remembered = spark.createDataFrame(list((saved or {}).items()) or [("", "")], "h string, saved_field string")
-    own = headers.withColumn("n", squeeze(F.col("header")))
-    out = own.join(F.broadcast(known.select("k", F.col("field").alias("exact_field"))), F.expr("n = k"), "left").drop("k").join(F.broadcast(renamed), F.expr("n = a"), "left").join(F.broadcast(remembered), F.expr("header = h"), "left")
-    near = own.join(F.broadcast(known), F.levenshtein(F.col("n"), F.col("k"), most_edits) >= 0)
-    best = near.groupBy("header").agg(F.min_by("field", F.struct(F.levenshtein(F.col("n"), F.col("k")), "ordinal")).alias("near_field"))
-    out = out.join(best, "header", "left")
+    columns = [(i, s.kind, c, 15 * (c in s.strong), 5 * (c in s.weak and c not in s.strong), int(c in s.required)) for i, s in enumerate(SIGNATURES) for c in dict.fromkeys((*s.strong, *s.weak))]
+    signed = spark.createDataFrame(columns, "place int, kind string, name string, strong int, weak int, needed int")
+    forms = spark.createDataFrame([(i, s.form, len(s.required)) for i, s in enumerate(SIGNATURES)], "place int, own_form string, all_needed int")
+    named = headers.select("upload", "form", squeezed(F.col("header")).alias("name")).distinct()
+    summed = named.join(F.broadcast(signed), "name").groupBy("upload", "form", "place", "kind").agg(
+        F.least(F.sum("strong"), F.lit(75)).alias("strong"), F.least(F.sum("weak"), F.lit(25)).alias("weak"), F.sum("needed").alias("needed"))
+    scored = summed.join(F.broadcast(forms), "place").where("needed = all_needed").select(
+        "upload", "place", "kind", F.least(F.lit(100), F.col("strong") + F.col("weak") + F.when(F.col("form") == F.col("own_form"), 10).otherwise(0)).alias("score"))
+    best = scored.groupBy("upload").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("place"))).alias("b"))
+    out = headers.select("upload").distinct().join(best, "upload", "left").select("upload", F.col("b.kind").alias("kind"), F.coalesce("b.score", F.lit(0)).cast("long").alias("score"))
+    return out.withColumn("confidence", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 35, "medium").when(F.col("score") > 0, "low").otherwise("none"))
+
+
+#: Edits up to which a header may be a misspelled field.
+MOST_EDITS = 2
+#: Fixed value: a column with more empty values, in percent, is not suggested as a field of its own.
+SUGGESTED_MISSING = 50
+
+
+def squeezed(c: Column) -> Column:
+    """Lower case without blanks, underscores, hyphens and points."""
+    return F.regexp_replace(F.lower(c), r"[\s_\-.]+", "")
+
+
+def deletions(c: Column, most: int = MOST_EDITS) -> Column:
+    """All texts that up to ``most`` deletions leave of one.
+
+    Two texts within ``most`` edits of each other have one of these in common, so they meet in
+    an equi-join.
+    """
+    out = level = F.array(c)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(
+            F.filter(F.sequence(F.lit(0), F.length(s)), lambda i: i > 0), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))))))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def nearest_fields(headers: DataFrame, fields: DataFrame, most_edits: int = MOST_EDITS) -> DataFrame:
+    """(header, near_field): for each header (header, n) the field (field, k, ordinal) with the fewest edits, the first of equal ones."""
+    left = headers.select("header", "n", F.explode(deletions(F.col("n"), most_edits)).alias("left_over"))
+    right = fields.select("field", "k", "ordinal", F.explode(deletions(F.col("k"), most_edits)).alias("left_over"))
+    pairs = left.join(right, "left_over").drop("left_over").distinct().withColumn("edits", F.levenshtein("n", "k")).where(F.col("edits") <= most_edits)
+    return pairs.groupBy("header").agg(F.min_by("field", F.struct("edits", "ordinal")).alias("near_field"))
+
+
+def auto_map(headers: DataFrame, fields: DataFrame, aliases: dict[str, str], saved: dict[str, str] | None = None, most_edits: int = MOST_EDITS) -> DataFrame:
+    """(header, field, how, required): each header's field by exact name, alias, saved mapping, or edit distance.
+
+    ``headers`` has a column header, ``fields`` (field, ordinal) and may have required. Only
+    headers that the first three leave over are compared with fields, and only with those that
+    share a deletion with them.
+    """
+    spark = headers.sparkSession
+    known = fields.select("field", "ordinal", (F.col("required") if "required" in fields.columns else F.lit(False)).alias("required")).withColumn("k", squeezed(F.col("field")))
+    renamed = spark.createDataFrame([*aliases.items()] or [("", "")], "a string, target string").select("a", squeezed(F.col("target")).alias("k")).join(known.select("k", F.col("field").alias("alias_field")), "k").drop("k")
+    remembered = spark.createDataFrame([*(saved or {}).items()] or [("", "")], "h string, saved_field string")
+    own = headers.select("header").withColumn("n", squeezed(F.col("header")))
+    out = own.join(known.select("k", F.col("field").alias("exact_field")), F.expr("n = k"), "left").drop("k").join(renamed, F.expr("n = a"), "left").join(remembered, F.expr("header = h"), "left")
+    left_over = out.where(F.coalesce("exact_field", "alias_field", "saved_field").isNull()).select("header", "n")
+    out = out.join(nearest_fields(left_over, known, most_edits), "header", "left")
     how = F.when(F.col("exact_field").isNotNull(), "exact").when(F.col("alias_field").isNotNull(), "alias").when(F.col("saved_field").isNotNull(), "template").when(F.col("near_field").isNotNull(), "fuzzy").otherwise("unmapped")
-    return out.select("header", F.coalesce("exact_field", "alias_field", "saved_field", "near_field").alias("field"), how.alias("how"))
+    mapped = out.select("header", F.coalesce("exact_field", "alias_field", "saved_field", "near_field").alias("field"), how.alias("how"))
+    required = known.select("field", "required")
+    return mapped.join(required, "field", "left").select("header", "field", "how", F.coalesce("required", F.lit(False)).alias("required"))
+
+
+def mapping_report(mapped: DataFrame, headers: DataFrame, fields: DataFrame) -> DataFrame:
+    """(issue, name, kind) of a mapping: required fields that no header maps to (``missing``), headers without a
+    field (``unmapped``), and those of them that hold enough to be fields of their own (``suggested``, with their type).
+
+    ``headers`` has header, missing_percent and kind, ``fields`` has field and required.
+    """
+    none = F.lit(None).cast("string")
+    missing = fields.where("required").join(mapped, "field", "left_anti").select(F.lit("missing").alias("issue"), F.col("field").alias("name"), none.alias("kind"))
+    bare = mapped.where(F.col("field").isNull()).join(headers, "header")
+    suggested = bare.where(F.coalesce("missing_percent", F.lit(0.0)) <= SUGGESTED_MISSING).select(F.lit("suggested").alias("issue"), F.col("header").alias("name"), F.coalesce("kind", F.lit("string")).alias("kind"))
+    return missing.unionByName(bare.select(F.lit("unmapped").alias("issue"), F.col("header").alias("name"), none.alias("kind"))).unionByName(suggested)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

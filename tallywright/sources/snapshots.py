@@ -17,6 +17,11 @@ RESULT_TYPES = {
 }
 
 
+#: Row groups of a snapshot are small, so that a look-up reads little, and hold about so many ids.
+ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_IDS = 500_000
+
+
 def flatten(kpis: DataFrame, firm_id: str, pulled_at: str, period: str = "current") -> DataFrame:
     """Evaluated KPI rows as snapshot rows with their display text."""
     shown: Column = display(F.col("value"), "number")
@@ -33,12 +38,16 @@ def replace(rows: DataFrame, path: str) -> int:
 
     Dynamic partition overwrite commits all new files before old partitions go, so a failed
     write leaves the old rows; running it again gives the same table. Rows are counted while
-    they are written, and lie by entity type, so that scans skip what they do not ask for.
+    they are written, and lie by entity type, so that scans skip what they do not ask for; a
+    Bloom filter of the entity ids lets a look-up skip row groups of its own type too.
     """
     written = Observation()
     order = [c for c in ("firm_id", "entity_type", "kpi_key", "entity_id") if c in rows.columns]
     counted = rows.observe(written, F.count(F.lit(1)).alias("n")).sortWithinPartitions(*order)
-    counted.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("firm_id").parquet(path)
+    out = counted.write.option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES)
+    if "entity_id" in rows.columns:
+        out = out.option("parquet.bloom.filter.enabled#entity_id", "true").option("parquet.bloom.filter.expected.ndv#entity_id", ROW_GROUP_IDS)
+    out.mode("overwrite").partitionBy("firm_id").parquet(path)
     return written.get["n"]
 
 
@@ -52,6 +61,36 @@ def scan(spark: SparkSession, path: str, firm_id: str, entity_type: str | None =
     return df
 
 
+def entity_kpis(spark: SparkSession, path: str, firm_id: str, entity_type: str, entity_id: str) -> DataFrame:
+    """All KPIs of one entity, with status and display text."""
+    return scan(spark, path, firm_id, entity_type=entity_type, entity_ids=[entity_id]).select("kpi_key", "kpi_value", "rag_status", "display_value", "pulled_at")
+
+
+def formula_kpis(spark: SparkSession, path: str, firm_id: str, kpi_key: str) -> DataFrame:
+    """One KPI of all entities; no rows if it was not calculated."""
+    return scan(spark, path, firm_id, kpi_keys=[kpi_key]).select("entity_type", "entity_id", "kpi_value", "rag_status", "display_value", "pulled_at")
+
+
+def rag_summary(rows: DataFrame) -> DataFrame:
+    """(kpi_key, green, amber, red, neutral): entities by status, and all KPIs together as ``all``."""
+    counts = [F.count_if(F.col("rag_status") == s).alias(s) for s in ("green", "amber", "red", "neutral")]
+    return rows.groupingSets([["kpi_key"], []], "kpi_key").agg(F.grouping("kpi_key").alias("g"), *counts).select(
+        F.when(F.col("g") == 1, "all").otherwise(F.col("kpi_key")).alias("kpi_key"), "green", "amber", "red", "neutral")
+
+
+def scan_report(df: DataFrame) -> dict[str, int]:
+    """Runs a read and tells what its file scans took: files, bytes of them, and rows that left the files."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    names, out = {"numFiles": "files", "filesSize": "bytes", "numOutputRows": "rows"}, {"files": 0, "bytes": 0, "rows": 0}
+    leaves = plan.finalPhysicalPlan().collectLeaves() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan.collectLeaves()
+    for i in range(leaves.size()):
+        for key, name in names.items():
+            metric = leaves.apply(i).metrics().get(key)
+            out[name] += metric.get().value() if metric.isDefined() else 0
+    return out
+
+
 def ordered_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """One page of a scan by entity type, entity and KPI."""
     return rows.orderBy("entity_type", "entity_id", "kpi_key").offset(offset).limit(limit)
