@@ -34,12 +34,16 @@ def status(value: Column, higher: Column, green: Column, amber: Column) -> Colum
     return F.when(value.isNull() | green.isNull() | (value < 0), "neutral").when(good, "green").when(fair, "amber").otherwise("red")
 
 
-def evaluate(kpis: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """KPI rows with status and the distance to the next better band; the threshold table is small by nature."""
+def evaluate(kpis: DataFrame, thresholds: DataFrame, keep_direction: bool = False) -> DataFrame:
+    """KPI rows with status and the distance to the next better band; the threshold table is small by nature.
+
+    ``keep_direction`` keeps ``higher``, which is null for KPIs without thresholds.
+    """
     v, up = F.col("value"), F.col("higher")
     out = kpis.join(F.broadcast(thresholds), "kpi_key", "left").withColumn("status", status(v, up, F.col("green"), F.col("amber")))
     bound = F.when(F.col("status") == "red", F.col("amber")).when(F.col("status") == "amber", F.col("green"))
-    return out.withColumn("to_next", js_round(F.abs(bound - v), 4)).drop("higher", "green", "amber")
+    out = out.withColumn("to_next", js_round(F.abs(bound - v), 4))
+    return out.drop("green", "amber") if keep_direction else out.drop("higher", "green", "amber")
 
 
 def override(thresholds: DataFrame, overrides: DataFrame, entities: DataFrame) -> DataFrame:

@@ -197,7 +197,14 @@ _BANDS_BY_HAND = (
 )
 
 
-def _status(v: str = "value") -> str:
+#: Those of KPIs that the shared table does not hold.
+_MORE_BANDS = (("F-TU-02", "<=", 2, 5), ("F-TU-03", "<=", 25, 40), ("F-RB-02", ">=", 200, 150), ("F-RB-03", ">=", 3, 2), ("F-PR-01", ">=", 40, 25))
+
+
+def _status(v: str = "value", every: bool = False) -> str:
+    if every:  # KPIs without bands have no status
+        arms = " ".join(f"WHEN kpi_key = '{k}' THEN CASE WHEN {v} IS NULL OR {v} < 0 THEN 'neutral' WHEN {v} {op} {g} THEN 'green' WHEN {v} {op} {a} THEN 'amber' ELSE 'red' END" for k, op, g, a in (*_BANDS_BY_HAND, *_MORE_BANDS))
+        return f"CASE {arms} END"
     arms = " ".join(f"WHEN kpi_key = '{k}' THEN CASE WHEN {v} {op} {g} THEN 'green' WHEN {v} {op} {a} THEN 'amber' ELSE 'red' END" for k, op, g, a in _BANDS_BY_HAND)
     return f"CASE WHEN {v} IS NULL OR {v} < 0 THEN 'neutral' {arms} ELSE 'neutral' END"
 

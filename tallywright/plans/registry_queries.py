@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import aggregates as agg
-from ..operators import classify, joins, quality
+from ..operators import classify, joins, kpi_table, quality
 from ..session import scratch_path, table
 from ..sources import snapshots
 from .domain import REF_DATE, load, rnd, sql
-from .kpi_queries import LONG_NEEDS, _status, long_table, pct, with_
+from .kpi_queries import CONFIG, ORACLE as KPI_ORACLE, _status, pct, ref, with_
 from .practice_queries import d, n, plain
 from .source_queries import values
 
@@ -67,39 +67,63 @@ add("set_05_union_of_ids", lambda spark, p: quality.refresh_derived(table(spark,
 
 
 def _snapshot(spark, p):
-    return snapshots.flatten(classify.evaluate(long_table(load(spark, p)), classify.threshold_table(spark)), "firm-1", f"{REF_DATE} 06:00:00")
+    x = load(spark, p)
+    return snapshots.flatten(classify.evaluate(kpi_table.all_rows(x, CONFIG, ref()), classify.threshold_table(spark), keep_direction=True), "firm-1", f"{REF_DATE} 06:00:00")
 
 
+#: What the snapshot holds: every formula by its own twin, statuses and texts by hand.
+_FORMULAS = ("f_tu_01_strict_chargeable", "f_tu_02", "f_tu_03", "f_rb_01_all_matters", "f_rb_01_firm", "f_rb_02_chargeable", "f_rb_03", "f_rb_04", "f_wl_01_oldest_entry", "f_wl_02", "f_wl_03", "f_wl_04",
+             "f_pr_01_standard", "f_pr_02", "f_pr_03", "f_pr_04", "f_pr_05", "f_bs_01", "f_bs_02", "f_dm_01", "f_cs_01", "f_cs_02", "f_cs_03")
+_EVERY = " UNION ALL ".join(f"(SELECT * FROM ({KPI_ORACLE[f]}))" for f in _FORMULAS)
 _TENTH = "CAST(round(CAST(value AS DECIMAL(28,6)), 1) AS VARCHAR)"
-_SHOWN = f"""CASE WHEN value IS NULL THEN NULL WHEN kpi_key IN ('F-TU-01', 'F-WL-02', 'F-WL-03', 'F-BS-01', 'F-RB-01') THEN {_TENTH} || '%' WHEN kpi_key IN ('F-WL-01', 'F-WL-04') THEN CAST(floor(value + 0.5) AS BIGINT) || ' days'
-  ELSE CASE WHEN value <= -0.5 THEN '-' ELSE '' END || '£' || format('{{:,}}', CAST(round(CAST(abs(value) AS DECIMAL(28,6)), 0) AS BIGINT)) END"""
-_SNAP = f"SELECT entity_type, entity_id, kpi_key, value AS kpi_value, {_status()} AS rag_status, {_SHOWN} AS display_value FROM kp"
-add("snp_01_snapshot", lambda spark, p: _snapshot(spark, p).select("entity_type", "entity_id", "kpi_key", "kpi_value", "rag_status", "display_value"), with_(_SNAP, *LONG_NEEDS))
+_SHOWN = f"""CASE WHEN value IS NULL THEN NULL WHEN kpi_key IN ('F-TU-01', 'F-TU-02', 'F-TU-03', 'F-RB-01', 'F-WL-02', 'F-WL-03', 'F-BS-01') THEN {_TENTH} || '%' WHEN kpi_key IN ('F-RB-04', 'F-WL-01', 'F-WL-04') THEN CAST(floor(value + 0.5) AS BIGINT) || ' days'
+  WHEN kpi_key IN ('F-BS-02', 'F-CS-02', 'F-CS-03') THEN CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE {_TENTH} END
+  ELSE CASE WHEN value < 0 AND round(CAST(abs(value) AS DECIMAL(28,6)), 0) > 0 THEN '-' ELSE '' END || '£' || format('{{:,}}', CAST(round(CAST(abs(value) AS DECIMAL(28,6)), 0) AS BIGINT)) END"""
+_NAMES = """SELECT 'matter' AS entity_type, CAST(o_orderkey AS VARCHAR) AS entity_id, 'M' || o_orderkey AS entity_name FROM orders UNION ALL SELECT 'feeEarner', CAST(s_suppkey AS VARCHAR), s_name FROM supplier
+UNION ALL SELECT 'client', CAST(c_custkey AS VARCHAR), c_name FROM customer"""
+_SNAP = f"""SELECT entity_type, entity_id, coalesce(entity_name, entity_id) AS entity_name, kpi_key, value AS kpi_value, {_status(every=True)} AS rag_status, {_SHOWN} AS display_value
+FROM ({_EVERY}) LEFT JOIN ({_NAMES}) USING (entity_type, entity_id)"""
+add("snp_01_snapshot", lambda spark, p: _snapshot(spark, p).select("entity_type", "entity_id", "entity_name", "kpi_key", "kpi_value", "rag_status", "display_value"), _SNAP)
+add("rag_03_every_formula", lambda spark, p: classify.evaluate(kpi_table.all_rows(load(spark, p), CONFIG, ref()), classify.threshold_table(spark), keep_direction=True).where("higher is not null").groupBy("kpi_key").agg(
+    F.count("*").alias("assigned"), *[F.count_if(F.col("status") == s).alias(s) for s in ("green", "amber", "red", "neutral")], F.max_by("entity_name", F.when(F.col("status") == "red", F.struct("value", "entity_name"))).alias("worst_name")),
+    f"""SELECT kpi_key, count(*) AS assigned, {', '.join(f"CAST(count(*) FILTER (rag_status = '{s}') AS BIGINT) AS {s}" for s in ('green', 'amber', 'red', 'neutral'))},
+    max({{'v': kpi_value, 'n': entity_name}}) FILTER (rag_status = 'red').n AS worst_name FROM ({_SNAP}) WHERE rag_status IS NOT NULL GROUP BY kpi_key""")
+
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def _written(spark, p):
-    """The path of a stored snapshot; reads of it are what a dashboard does."""
-    path = scratch_path(spark, "snapshots")
-    snapshots.replace(_snapshot(spark, p), path)
+    """The path of a snapshot that is stored once for a session and folder of tables; reads of it are what a dashboard does."""
+    key = (spark.sparkContext.applicationId, p)
+    path = _STORED.get(key)
+    if path is None or not snapshots.exists(spark, path):
+        path = _STORED[key] = scratch_path(spark, "snapshots")
+        snapshots.replace(_snapshot(spark, p), path)
     return path
 
 
 def _stored(spark, p):
     path = _written(spark, p)
-    again = spark.read.parquet(path)
-    snapshots.replace(again.where("entity_type <> 'firm'").select(*_snapshot(spark, p).columns), path + "-2")
-    snapshots.replace(again.where("entity_type <> 'firm'").select(*_snapshot(spark, p).columns), path + "-2")  # writing again replaces, never doubles
-    return snapshots.scan(spark, path + "-2", "firm-1", entity_type="feeEarner", period="current", kpi_keys=["F-TU-01"]).select("entity_id", "kpi_key", "kpi_value", "rag_status")
+    again, to = spark.read.parquet(path), scratch_path(spark, "snapshots-again")
+    columns = [c for c in again.columns if c != "firm_id"] + ["firm_id"]
+    snapshots.replace(again.where("entity_type <> 'firm'").select(*columns), to)
+    snapshots.replace(again.where("entity_type <> 'firm'").select(*columns), to)  # writing again replaces, never doubles
+    return snapshots.scan(spark, to, "firm-1", entity_type="feeEarner", period="current", kpi_keys=["F-TU-01"]).select("entity_id", "kpi_key", "kpi_value", "rag_status")
 
 
-add("snk_03_replace_and_scan", _stored, with_(f"SELECT entity_id, kpi_key, kpi_value, rag_status FROM ({_SNAP}) WHERE entity_type = 'feeEarner' AND kpi_key = 'F-TU-01'", *LONG_NEEDS))
-add("qry_13_latest_pull", lambda spark, p: snapshots.latest_pull(spark.read.parquet(_written(spark, p))).select("firm_id", F.date_format("pulled_at", "yyyy-MM-dd HH:mm").alias("pulled_at")), f"SELECT 'firm-1' AS firm_id, '{REF_DATE} 06:00' AS pulled_at")
+add("snk_03_replace_and_scan", _stored, f"SELECT entity_id, kpi_key, kpi_value, rag_status FROM ({_SNAP}) WHERE entity_type = 'feeEarner' AND kpi_key = 'F-TU-01'")
+
+
+add("qry_13_latest_pull", lambda spark, p: snapshots.latest_pull(spark.read.parquet(_written(spark, p)).select(F.col("entity_type").alias("firm_id"), F.expr("pulled_at - make_interval(0, 0, 0, 1 + length(kpi_key || entity_id) % 3)").alias("pulled_at"))).select("firm_id", F.date_format("pulled_at", "yyyy-MM-dd HH:mm").alias("pulled_at")),
+    f"SELECT entity_type AS firm_id, strftime(max(TIMESTAMP '{REF_DATE} 06:00:00' - to_days(CAST(1 + length(kpi_key || entity_id) % 3 AS INTEGER))), '%Y-%m-%d %H:%M') AS pulled_at FROM ({_SNAP}) GROUP BY entity_type")
 add("qry_08_entity_kpis", lambda spark, p: snapshots.scan(spark, _written(spark, p), "firm-1", entity_type="client", entity_ids=["7"]).select("kpi_key", "entity_type", "entity_id", F.col("kpi_value").alias("value"), F.col("rag_status").alias("status")),
-    with_(f"SELECT kpi_key, entity_type, entity_id, value, {_status()} AS status FROM kp WHERE entity_type = 'client' AND entity_id = '7'", *LONG_NEEDS))
-add("qry_09_ordered_page", lambda spark, p: snapshots.ordered_page(snapshots.scan(spark, _written(spark, p), "firm-1", entity_type="matter", kpi_keys=["F-BS-01", "F-RB-01"]), 1000, 100).select("entity_id", "kpi_key"),
-    with_("SELECT entity_id, kpi_key FROM kp WHERE entity_type = 'matter' AND kpi_key IN ('F-BS-01', 'F-RB-01') ORDER BY entity_id, kpi_key LIMIT 1000 OFFSET 100", *LONG_NEEDS))
-add("qry_15_latest_results", lambda spark, p: _two_pulls(spark, p), with_("SELECT kpi_key, count(*) AS n, '2001-08-15 06:00' AS pulled_at FROM kp GROUP BY kpi_key", *LONG_NEEDS))
-add("qry_11_calculate", lambda spark, p: spark.read.parquet(_written(spark, p)).groupBy("kpi_key", "rag_status").agg(F.count("*").alias("n")), with_(f"SELECT kpi_key, {_status()} AS rag_status, count(*) AS n FROM kp GROUP BY ALL", *LONG_NEEDS))
+    f"SELECT kpi_key, entity_type, entity_id, kpi_value AS value, rag_status AS status FROM ({_SNAP}) WHERE entity_type = 'client' AND entity_id = '7'")
+add("qry_09_ordered_page", lambda spark, p: snapshots.ordered_page(snapshots.scan(spark, _written(spark, p), "firm-1", entity_type="matter", kpi_keys=["F-BS-01", "F-RB-01"]), 1000, 100).select("entity_id", "entity_name", "kpi_key"),
+    f"SELECT entity_id, entity_name, kpi_key FROM (SELECT *, row_number() OVER (ORDER BY entity_type, entity_name, kpi_key, entity_id) AS rn FROM ({_SNAP}) WHERE entity_type = 'matter' AND kpi_key IN ('F-BS-01', 'F-RB-01')) WHERE rn BETWEEN 101 AND 1100")
+add("src_20_page_in_order", lambda spark, p: snapshots.numbered_page(snapshots.scan(spark, _written(spark, p), "firm-1", period="current"), 500, 200),
+    f"SELECT CAST(rn AS BIGINT) AS place, entity_type, entity_name, kpi_key FROM (SELECT *, row_number() OVER (ORDER BY entity_type, entity_name, kpi_key, entity_id) AS rn FROM ({_SNAP})) WHERE rn BETWEEN 201 AND 700")
+add("qry_15_latest_results", lambda spark, p: _two_pulls(spark, p), f"SELECT kpi_key, count(*) AS n, '2001-08-15 06:00' AS pulled_at FROM ({_SNAP}) GROUP BY kpi_key")
+add("qry_11_calculate", lambda spark, p: spark.read.parquet(_written(spark, p)).groupBy("kpi_key", "rag_status").agg(F.count("*").alias("n")), f"SELECT kpi_key, rag_status, count(*) AS n FROM ({_SNAP}) GROUP BY ALL")
 
 
 def _two_pulls(spark, p):

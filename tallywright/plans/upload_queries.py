@@ -17,7 +17,7 @@ from ..session import scratch_path, table
 from ..sources import excel, files, snapshots, uploads
 from .domain import load, rnd, sql
 from .list_queries import mapping_issues
-from .kpi_queries import CONFIG, LONG_NEEDS, _status, pct, with_
+from .kpi_queries import CONFIG, pct
 from .practice_queries import plain
 from .registry_queries import _SNAP, _written
 from .source_queries import FIELDS, _raw
@@ -205,12 +205,12 @@ add("exp_bound_references", _bound, sql(f"""SELECT CAST(matter_id AS VARCHAR) AS
 # --- stored snapshots ------------------------------------------------------------------
 
 add("qry_08_formula", lambda spark, d: snapshots.formula_kpis(spark, _written(spark, d), "firm-1", "F-WL-02").select("entity_type", "entity_id", "kpi_value", "rag_status", "display_value"),
-    with_(f"SELECT entity_type, entity_id, kpi_value, rag_status, display_value FROM ({_SNAP}) WHERE kpi_key = 'F-WL-02'", *LONG_NEEDS))
+    f"SELECT entity_type, entity_id, kpi_value, rag_status, display_value FROM ({_SNAP}) WHERE kpi_key = 'F-WL-02'")
 add("qry_08_entity", lambda spark, d: snapshots.entity_kpis(spark, _written(spark, d), "firm-1", "matter", "8").select("kpi_key", "kpi_value", "rag_status", "display_value"),
-    with_(f"SELECT kpi_key, kpi_value, rag_status, display_value FROM ({_SNAP}) WHERE entity_type = 'matter' AND entity_id = '8'", *LONG_NEEDS))
-_COUNTS = ", ".join(f"CAST(count(*) FILTER (s = '{s}') AS BIGINT) AS {s}" for s in ("green", "amber", "red", "neutral"))
+    f"SELECT kpi_key, kpi_value, rag_status, display_value FROM ({_SNAP}) WHERE entity_type = 'matter' AND entity_id = '8'")
+_COUNTS = ", ".join(f"CAST(count(*) FILTER (rag_status = '{s}') AS BIGINT) AS {s}" for s in ("green", "amber", "red", "neutral"))
 add("qry_08_rag_summary", lambda spark, d: snapshots.rag_summary(snapshots.scan(spark, _written(spark, d), "firm-1")),
-    with_(f"SELECT coalesce(kpi_key, 'all') AS kpi_key, {_COUNTS} FROM (SELECT kpi_key, CASE WHEN value IS NULL OR value < 0 THEN 'neutral' ELSE {_status()} END AS s FROM kp) GROUP BY GROUPING SETS ((kpi_key), ())", *LONG_NEEDS))
+    f"SELECT coalesce(kpi_key, 'all') AS kpi_key, {_COUNTS} FROM ({_SNAP}) GROUP BY GROUPING SETS ((kpi_key), ())")
 
 # --- stored sets -----------------------------------------------------------------------
 

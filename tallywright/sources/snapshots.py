@@ -23,13 +23,15 @@ ROW_GROUP_IDS = 500_000
 
 
 def flatten(kpis: DataFrame, firm_id: str, pulled_at: str, period: str = "current") -> DataFrame:
-    """Evaluated KPI rows as snapshot rows with their display text."""
+    """Evaluated KPI rows as snapshot rows with their display text; a KPI without thresholds has no status."""
     shown: Column = display(F.col("value"), "number")
     for kind in sorted(set(RESULT_TYPES.values()) - {"number"}):
         shown = F.when(F.col("kpi_key").isin(*[k for k, v in RESULT_TYPES.items() if v == kind]), display(F.col("value"), kind)).otherwise(shown)
+    named = F.col("entity_name") if "entity_name" in kpis.columns else F.col("entity_id")
+    status = F.when(F.col("higher").isNotNull(), F.col("status")) if "higher" in kpis.columns else F.col("status")
     return kpis.select(
-        F.lit(firm_id).alias("firm_id"), F.to_timestamp(F.lit(pulled_at)).alias("pulled_at"), "entity_type", "entity_id", "kpi_key", F.col("value").alias("kpi_value"),
-        F.col("status").alias("rag_status"), F.lit(period).alias("period"), shown.alias("display_value"),
+        F.lit(firm_id).alias("firm_id"), F.to_timestamp(F.lit(pulled_at)).alias("pulled_at"), "entity_type", "entity_id", named.alias("entity_name"), "kpi_key", F.col("value").alias("kpi_value"),
+        status.alias("rag_status"), F.lit(period).alias("period"), shown.alias("display_value"),
     )
 
 
@@ -92,8 +94,22 @@ def scan_report(df: DataFrame) -> dict[str, int]:
 
 
 def ordered_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One page of a scan by entity type, entity and KPI."""
-    return rows.orderBy("entity_type", "entity_id", "kpi_key").offset(offset).limit(limit)
+    """One page of a scan by entity type, name and KPI; of equal names by id."""
+    return rows.orderBy("entity_type", "entity_name", "kpi_key", "entity_id").offset(offset).limit(limit)
+
+
+def numbered_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """(place, entity_type, entity_name, kpi_key) of one page, each row with its place in the whole order."""
+    from pyspark.sql import Window as W
+
+    page = ordered_page(rows, limit, offset)  # at most a page's rows are numbered
+    order = W.orderBy("entity_type", "entity_name", "kpi_key", "entity_id")
+    return page.select((F.row_number().over(order) + offset).cast("long").alias("place"), "entity_type", "entity_name", "kpi_key")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def replace_set(rows: DataFrame, path: str, firm_id: str, kind: str, version: int) -> None:
