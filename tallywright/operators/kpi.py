@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import banded, js_round, percent, safe_div, working_days_between
@@ -62,10 +63,26 @@ def recovery(age: Column) -> Column:
     return out
 
 
+#: Monthly parts of an employee's cost besides the salary, as far as a table has them.
+MONTHLY_COSTS = ("monthly_employer_ni", "monthly_pension", "monthly_variable_pay")
+
+
+def retained(amount: Column, earners: DataFrame, config: FirmConfig) -> Column:
+    """What the firm keeps of an amount that a fee earner bills: all of a salaried one's, else by percent.
+
+    The percent is the fee earner's own (``firm_lead_percent``), an override
+    (``firm_retain_percent``), the firm's, or 40, in this order; without a pay model it is null.
+    """
+    percents = [F.col(c).cast("double") for c in ("firm_lead_percent", "firm_retain_percent") if c in earners.columns]
+    share = F.coalesce(*percents, F.lit(config.retain_percent).cast("double"), F.lit(40.0))
+    return F.when(F.col("pay_model") == "Salaried", amount).when(F.col("pay_model").isNotNull(), amount * (share / 100))
+
+
 def snippets(earners: DataFrame, config: FirmConfig, method: str = "fully_loaded") -> DataFrame:
     """Adds sn_001 .. sn_005: loaded hourly cost, available hours, retained part, annual cost, cost rate."""
     salaried = (F.col("pay_model") == "Salaried") & F.col("annual_salary").isNotNull()
-    annual = F.when(salaried, F.col("annual_salary").cast("double") + 12 * config.monthly_on_cost)
+    monthly = sum((zero(F.col(x)).cast("double") for x in MONTHLY_COSTS if x in earners.columns), F.lit(float(config.monthly_on_cost)))
+    annual = F.when(salaried, F.col("annual_salary").cast("double") + 12 * monthly)
     loaded = safe_div(annual, F.lit(config.available_hours))
     direct = F.when(salaried, safe_div(F.col("annual_salary"), F.lit(config.available_hours)))
     own = {"fully_loaded": loaded, "direct": direct, "market_rate": F.coalesce(F.col("market_rate").cast("double"), loaded) if "market_rate" in earners.columns else loaded}[method]
@@ -97,9 +114,11 @@ def f_tu_01(p: Practice, c: FirmConfig, variant: str = "strict_chargeable") -> D
 
 
 def f_tu_02(p: Practice, ref: Column) -> DataFrame:
-    """Working days since the last entry; null without entries."""
+    """Working days since the last entry; without a dated entry the fee earner's ``recording_gap_days``, if known, else null."""
     last = p.time_entries.groupBy("lawyer_id").agg(F.max("entry_date").alias("last"))
-    return kpi(_active(p.fee_earners).join(last, "lawyer_id", "left"), "F-TU-02", "feeEarner", "lawyer_id", working_days_between(F.col("last"), ref))
+    told = [F.col("recording_gap_days").cast("double")] if "recording_gap_days" in p.fee_earners.columns else []
+    gap = F.coalesce(working_days_between(F.col("last"), ref).cast("double"), *told)
+    return kpi(_active(p.fee_earners).join(last, "lawyer_id", "left"), "F-TU-02", "feeEarner", "lawyer_id", gap)
 
 
 def f_tu_03(p: Practice) -> DataFrame:
@@ -141,17 +160,44 @@ def f_rb_02(p: Practice, base: str = "chargeable") -> DataFrame:
     return kpi(out, "F-RB-02", "feeEarner", "lawyer_id", safe_div(zero(F.col("gross")), zero(F.col("m")) / 60.0))
 
 
+def rate_capture(p: Practice, base: str = "chargeable") -> DataFrame:
+    """(lawyer_id, effective_rate, charge_out_rate, rate_capture): revenue per hour in percent of the rate that is charged.
+
+    No hours give nulls, no revenue zeros; a charge-out rate of zero captures nothing that can be measured.
+    """
+    worked = p.time_entries.groupBy("lawyer_id").agg(total("minutes", F.col("is_chargeable") if base != "total" else F.lit(True)).alias("m"))
+    out = _active(p.fee_earners).join(worked, "lawyer_id", "left").join(_revenue(p), "lawyer_id", "left")
+    effective = safe_div(zero(F.col("gross")), zero(F.col("m")) / 60.0)
+    capture = F.when(effective == 0, F.when(F.col("rate").isNotNull(), 0.0)).when(F.col("rate") > 0, percent(effective, F.col("rate")))
+    return out.select("lawyer_id", js_round(effective, 4).alias("effective_rate"), F.when(effective.isNotNull(), F.col("rate").cast("double")).alias("charge_out_rate"), js_round(capture, 4).alias("rate_capture"))
+
+
 def f_rb_03(p: Practice, c: FirmConfig) -> DataFrame:
     """Revenue that the firm keeps of each fee earner."""
     out = snippets(_active(p.fee_earners), c).join(_revenue(p), "lawyer_id", "left")
     return kpi(out, "F-RB-03", "feeEarner", "lawyer_id", zero(F.col("gross")).cast("double") * F.col("sn_003"))
 
 
-def f_rb_04(p: Practice) -> DataFrame:
-    """Mean age of a matter's entries, and the value-weighted mean of the firm."""
-    by = p.time_entries.where("matched").groupBy("matter_id").agg(F.avg("age_days").alias("age"))
-    firm = p.time_entries.where("matched").agg(weighted_average("age_days", "billable_value").alias("age"))
-    return kpi(by, "F-RB-04", "matter", "matter_id", F.col("age")).unionByName(_firm(firm, "F-RB-04", F.col("age")))
+def f_rb_04(p: Practice, aggregated: DataFrame | None = None) -> DataFrame:
+    """Mean age of a matter's entries, and the value-weighted mean of the firm.
+
+    ``aggregated`` (matter_id, wip_age_days, invoices, wip) stands in for matters without
+    entries: fully billed ones are 0 days old, others as old as it says, those with work of
+    unknown age null; it weighs in the firm's mean with its work.
+    """
+    entries = p.time_entries.where("matched")
+    by = entries.groupBy("matter_id").agg(F.avg("age_days").alias("age"), F.sum(F.col("age_days") * F.col("billable_value")).cast("double").alias("weighted"), total("billable_value").cast("double").alias("weight"))
+    if aggregated is not None:
+        billed = (F.col("invoices") > 0) & (F.col("wip") == 0)
+        age = F.when(billed, 0.0).otherwise(F.col("wip_age_days").cast("double"))
+        told = aggregated.join(by, "matter_id", "left_anti").where(billed | F.col("wip_age_days").isNotNull() | (F.col("wip") > 0))
+        by = by.unionByName(told.select("matter_id", age.alias("age"), (age * F.col("wip")).cast("double").alias("weighted"), F.when(age.isNotNull(), F.col("wip").cast("double")).alias("weight")))
+    matters = kpi(by, "F-RB-04", "matter", "matter_id", F.col("age"))
+    if aggregated is None:
+        firm = entries.agg(weighted_average("age_days", "billable_value").alias("age"))
+    else:
+        firm = by.agg(safe_div(F.sum(js_round(F.col("weighted"), 4).cast("decimal(28,4)")), F.nullif(F.sum(js_round(F.col("weight"), 4).cast("decimal(28,4)")), F.lit(0))).alias("age"))
+    return matters.unionByName(_firm(firm, "F-RB-04", F.col("age")))
 
 
 def f_wl_01(p: Practice, variant: str = "oldest_entry") -> DataFrame:
@@ -179,12 +225,40 @@ def f_wl_02(p: Practice) -> DataFrame:
     return sums.select(F.lit("F-WL-02").alias("kpi_key"), grain.alias("entity_type"), name.alias("entity_id"), js_round(value, 4).alias("value"))
 
 
-def f_wl_03(p: Practice) -> DataFrame:
-    """Recovered part of disbursements by matter and firm."""
+def f_wl_02_by_grade(p: Practice) -> DataFrame:
+    """(entity_type, entity_id, grade, amount, entries, percent): write-offs by grade of who recorded them, of matters, fee earners and the firm.
+
+    Only amounts above zero count, in percent of all that the entity wrote off; entries are
+    grouped by matter and fee earner before they meet a grade.
+    """
+    gone = F.col("write_off") > 0
+    fine = p.time_entries.groupBy("matter_id", "lawyer_id").agg(total("write_off").alias("w"), total("write_off", gone).alias("amount"), F.count_if(gone).alias("n"))
+    graded = fine.join(p.fee_earners.select("lawyer_id", "grade"), "lawyer_id", "left").withColumn("grade", F.coalesce("grade", F.lit("unknown")))
+    sums = graded.groupingSets([["matter_id", "grade"], ["lawyer_id", "grade"], ["grade"]], "matter_id", "lawyer_id", "grade").agg(
+        F.sum("w").alias("w"), F.sum("amount").alias("amount"), F.sum("n").alias("entries"), F.grouping("matter_id").alias("no_matter"), F.grouping("lawyer_id").alias("no_earner"))
+    entity = F.when(F.col("no_matter") == 0, "matter").when(F.col("no_earner") == 0, "feeEarner").otherwise("firm")
+    name = F.coalesce(F.when(F.col("no_matter") == 0, F.col("matter_id")).when(F.col("no_earner") == 0, F.col("lawyer_id")).cast("string"), F.lit("firm"))
+    out = sums.select(entity.alias("entity_type"), name.alias("entity_id"), "grade", "w", "amount", "entries")
+    whole = F.sum("w").over(W.partitionBy("entity_type", "entity_id"))
+    return out.withColumn("percent", js_round(F.when(whole > 0, percent(F.col("amount"), whole)).otherwise(0.0), 4)).where("entries > 0").select("entity_type", "entity_id", "grade", "amount", "entries", "percent")
+
+
+def f_wl_03(p: Practice, invoiced: DataFrame | None = None) -> DataFrame:
+    """Recovered part of disbursements by matter and firm.
+
+    ``invoiced`` (matter_id, invoiced_disbursements) stands in for matters without records:
+    what was invoiced is recovered.
+    """
     measure = (total("subtotal").alias("t"), total("exposure").alias("x"))
     value = percent(F.col("t") - F.col("x"), F.col("t"))
-    by = p.disbursements.groupBy("matter_id").agg(*measure).where("t <> 0")
-    return kpi(by, "F-WL-03", "matter", "matter_id", value).unionByName(_firm(p.disbursements.agg(*measure), "F-WL-03", value))
+    by = p.disbursements.groupBy("matter_id").agg(*measure)
+    if invoiced is None:
+        firm = p.disbursements.agg(*measure)
+    else:
+        told = invoiced.join(by, "matter_id", "left_anti").select("matter_id", F.col("invoiced_disbursements").alias("t"), F.lit(0).alias("x"))
+        by = by.unionByName(told)
+        firm = by.where("t <> 0").agg(total("t").alias("t"), total("x").alias("x")).where("t > 0")
+    return kpi(by.where("t <> 0"), "F-WL-03", "matter", "matter_id", value).unionByName(_firm(firm, "F-WL-03", value))
 
 
 def f_wl_04(p: Practice, variant: str = "from_due_date", ref: Column | None = None) -> DataFrame:
@@ -245,7 +319,7 @@ def profit_margin(p: Practice, c: FirmConfig) -> DataFrame:
 
 def earner_profit(p: Practice, c: FirmConfig) -> DataFrame:
     """Fee earners with gross billing and profit."""
-    out = snippets(_active(p.fee_earners), c).join(_revenue(p), "lawyer_id", "left").withColumn("gross", zero(F.col("gross")).cast("double"))
+    out = snippets(_active(p.fee_earners), c).join(_revenue(p), "lawyer_id", "left").withColumn("billed", F.col("gross").isNotNull()).withColumn("gross", zero(F.col("gross")).cast("double"))
     profit = F.when(F.col("pay_model") == "FeeShare", F.col("gross") * c.retain / 100 - c.fee_share_overhead).otherwise(F.col("gross") - zero(F.col("sn_004")))
     return out.withColumn("profit", profit)
 
@@ -256,12 +330,12 @@ def f_pr_02(p: Practice, c: FirmConfig) -> DataFrame:
 
 def f_pr_03(p: Practice, c: FirmConfig) -> DataFrame:
     """Departments: what their earners bill, less labour and exposure of their matters and a share of overhead; null where all is nothing."""
-    revenue = p.fee_earners.select("lawyer_id", "department").join(_revenue(p), "lawyer_id").groupBy("department").agg(total("gross").alias("revenue"))
+    revenue = p.fee_earners.select("lawyer_id", "department").where("department is not null").join(_revenue(p), "lawyer_id", "left").groupBy("department").agg(total("gross").alias("revenue"))
     labour = matter_costs(p, c).select("matter_id", js_round(F.col("labour"), 4).cast("decimal(18,4)").alias("labour"))
     exposure = p.disbursements.groupBy("matter_id").agg(total("exposure").alias("exposure"))
-    spent = p.matter_departments.join(labour, "matter_id", "left").join(exposure, "matter_id", "left").groupBy("department").agg(total("labour").alias("labour"), total("exposure").alias("exposure"))
-    every = p.fee_earners.select("department").union(p.matter_departments.select("department")).where("department is not null").distinct()
-    out = every.join(revenue, "department", "left").join(spent, "department", "left")
+    placed = p.matter_departments.where("department is not null")
+    spent = placed.join(labour, "matter_id", "left").join(exposure, "matter_id", "left").groupBy("department").agg(total("labour").alias("labour"), total("exposure").alias("exposure"))
+    out = revenue.join(spent, "department", "full_outer")
     d = lambda n: zero(F.col(n)).cast("double")
     cost = d("labour") + d("exposure") + c.overhead_per_department
     return kpi(out, "F-PR-03", "department", "department", F.when((d("revenue") == 0) & (cost == 0), None).otherwise(d("revenue") - cost))
@@ -278,16 +352,17 @@ def f_pr_04(p: Practice, c: FirmConfig) -> DataFrame:
 
 
 def f_pr_05(p: Practice, c: FirmConfig) -> DataFrame:
-    """Profit of the firm: billing less salaries, fee shares, exposure and overhead."""
+    """Profit of the firm: billing, or recorded work where nothing is billed, less salaries, fee shares, exposure and overhead."""
     earners = earner_profit(p, c)
     share = F.when(F.col("pay_model") == "FeeShare", js_round(F.col("gross") * (100 - c.retain) / 100, 4).cast("decimal(18,4)"))
     salary = F.when(F.col("pay_model") == "Salaried", F.col("annual_salary"))
     pay = earners.agg(total(salary).alias("s"), total(share).alias("f"))
     net = p.invoices.agg(total("subtotal").alias("n"))
     exposure = p.disbursements.agg(total("exposure").alias("x"))
-    row = net.crossJoin(F.broadcast(pay)).crossJoin(F.broadcast(exposure))
+    worked = p.time_entries.agg(total("billable_value").alias("w"))
+    row = net.crossJoin(F.broadcast(pay)).crossJoin(F.broadcast(exposure)).crossJoin(F.broadcast(worked))
     d = lambda n: F.col(n).cast("double")
-    return _firm(row, "F-PR-05", d("n") - d("s") - d("f") - d("x") - c.overhead_total)
+    return _firm(row, "F-PR-05", F.when(d("n") > 0, d("n")).otherwise(d("w")) - d("s") - d("f") - d("x") - c.overhead_total)
 
 
 def f_bs_01(p: Practice) -> DataFrame:
@@ -355,17 +430,26 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def earner_measures(p: Practice, c: FirmConfig, ref: Column) -> DataFrame:
+    """Active fee earners with utilisation, gap_days, write_off_rate, age, gross, hourly_rate, kept and profit, from one grouping of entries and one of invoices."""
+    worked = p.time_entries.groupBy("lawyer_id").agg(
+        total("minutes", F.col("is_chargeable")).alias("m"), F.max("entry_date").alias("last"), total("write_off").alias("w"), total("billable_value").alias("b"), F.max(F.when(F.col("matched"), F.col("age_days"))).alias("age"))
+    out = earner_profit(p, c).join(worked, "lawyer_id", "left")
+    return out.withColumns({
+        "utilisation": js_round(percent(zero(F.col("m")) / 60.0, F.lit(c.available_hours)), 4), "gap_days": js_round(working_days_between(F.col("last"), ref), 4),
+        "write_off_rate": js_round(percent(F.col("w"), F.col("b") + F.col("w")), 4), "hourly_rate": js_round(safe_div(F.col("gross"), zero(F.col("m")) / 60.0), 4),
+        "kept": js_round(F.col("gross") * F.col("sn_003"), 4), "profit": js_round(F.col("profit"), 4),
+    })
+
+
 def f_cs_02(p: Practice, c: FirmConfig, ref: Column) -> DataFrame:
     """Fee-earner score of 0 to 100 from six weighted parts; a missing part counts 50."""
-    part = lambda df, name: df.where("entity_type = 'feeEarner'").select("entity_id", F.col("value").alias(name))
-    age = p.time_entries.where("matched").groupBy("lawyer_id").agg(F.max("age_days").alias("age"))
-    earner = _active(p.fee_earners).join(_revenue(p), "lawyer_id", "left").join(age, "lawyer_id", "left").withColumn("entity_id", F.col("lawyer_id").cast("string"))
-    out = earner.join(part(f_tu_01(p, c), "u"), "entity_id", "left").join(part(f_tu_02(p, ref), "g"), "entity_id", "left").join(part(f_wl_02(p), "w"), "entity_id", "left")
     # realisation is the firm's, for there is none by earner
-    out = out.crossJoin(F.broadcast(f_rb_01_firm(p).select(F.col("value").alias("realised"))))
+    out = earner_measures(p, c, ref).crossJoin(F.broadcast(f_rb_01_firm(p).select(F.col("value").alias("realised"))))
+    billed = F.when(F.col("billed"), F.col("gross"))
     parts = {
-        "utilisation": clamp(F.col("u")), "realisation": clamp(F.col("realised")), "recording": clamp(100 - 10 * F.col("g")), "write_off": clamp(100 - 2 * F.col("w")),
-        "revenue": clamp(percent(F.col("gross"), F.lit(c.target_revenue))), "age": clamp(100 - 0.5 * F.col("age")),
+        "utilisation": clamp(F.col("utilisation")), "realisation": clamp(F.col("realised")), "recording": clamp(100 - 10 * F.col("gap_days")), "write_off": clamp(100 - 2 * F.col("write_off_rate")),
+        "revenue": clamp(percent(billed, F.lit(c.target_revenue))), "age": clamp(100 - 0.5 * F.col("age")),
     }
     score = sum((F.coalesce(parts[k], F.lit(50.0)) * w for k, w in SCORE_WEIGHTS.items()), F.lit(0.0)) / 100
     return kpi(out, "F-CS-02", "feeEarner", "lawyer_id", js_round(score, 0))

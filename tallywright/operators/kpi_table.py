@@ -197,7 +197,7 @@ def firm_rows(b: Bases, c: FirmConfig) -> DataFrame:
         ("F-WL-02", None, percent(F.col("write_off"), F.col("billable") + F.col("write_off"))),
         ("F-WL-03", None, percent(F.col("spent") - F.col("exposure"), F.col("spent"))),
         ("F-WL-04", None, zero(safe_div(F.col("m_age_sum"), F.col("m_n"))) + zero(safe_div(F.col("late_sum"), F.col("late_n")))),
-        ("F-PR-05", None, d("net") - d("salaries") - d("shares") - d("exposure") - c.overhead_total),
+        ("F-PR-05", None, F.when(d("net") > 0, d("net")).otherwise(zero(d("billable"))) - d("salaries") - d("shares") - d("exposure") - c.overhead_total),
         ("F-DM-01", None, safe_div(F.col("open_age"), F.col("open"))),
         ("F-CS-01", None, d("idle") + F.greatest(F.lit(0.0), zero(d("m_wip")) - d("net")) + d("risk")),
     ])

@@ -5,6 +5,7 @@ The twins spell every constant out by hand; they import none from the operators.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -51,12 +52,9 @@ add("qry_01_departments", lambda p: matter_totals(p).where("billable > 0 or outs
 
 
 def earner_rows(p):
-    """One row an earner: utilisation and its status, hourly rate, revenue, recording gap, profit, and attributes."""
-    kpis = kpi.f_tu_01(p, CONFIG).unionByName(kpi.f_rb_02(p)).unionByName(kpi.f_rb_03(p, CONFIG)).unionByName(kpi.f_tu_02(p, ref())).unionByName(kpi.f_pr_02(p, CONFIG))
-    keys = {"F-TU-01": "utilisation", "F-RB-02": "hourly_rate", "F-RB-03": "revenue", "F-TU-02": "gap_days", "F-PR-02": "profit"}
-    wide = kpis.groupBy("entity_id").pivot("kpi_key", list(keys)).agg(F.max("value")).select("entity_id", *[F.col(f"`{k}`").alias(v) for k, v in keys.items()])
-    own = p.fee_earners.select(F.col("lawyer_id").cast("string").alias("entity_id"), "department", "grade", "pay_model")
-    return wide.join(own, "entity_id")
+    """A row per fee earner with its measures, from one grouping of entries and one of invoices."""
+    own = kpi.earner_measures(p, CONFIG, ref())
+    return own.select(F.col("lawyer_id").cast("string").alias("entity_id"), "utilisation", "hourly_rate", F.col("kept").alias("revenue"), "gap_days", "profit", "department", "grade", "pay_model")
 
 
 _ROWS = """er AS (SELECT CAST(lawyer_id AS VARCHAR) AS entity_id, department, grade, pay_model, {u} AS utilisation, {h} AS hourly_rate, {r} AS revenue, {g} AS gap_days, {p} AS profit
@@ -152,13 +150,19 @@ def _exported(p):
     for name, frame in exports(p).items():
         path = scratch_path(spark, f"export-{name}")
         snapshots.write_csv(frame, path)
-        own = files.read_csv(spark, path).agg(F.lit(name).alias("dashboard"), F.count("*").alias("rows"), F.lit(len(frame.columns)).alias("columns"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-add("snk_08_dashboards", _exported, sql("""SELECT 'firm' AS dashboard, least(12, count(DISTINCT strftime(invoice_date, '%Y-%m'))) AS rows, CAST(3 AS BIGINT) AS columns FROM iv UNION ALL SELECT 'earners', count(*), 4 FROM fe UNION ALL SELECT 'wip', count(*), 3 FROM mg WHERE billable > 0
-    UNION ALL SELECT 'billing', count(*), 3 FROM iv WHERE outstanding > 0 UNION ALL SELECT 'matters', count(*), 3 FROM ma UNION ALL SELECT 'clients', count(*), 3 FROM cl""", MATTERS))
+        read = files.read_csv(spark, path)
+        own = read.select(F.lit(name).alias("dashboard"), *[F.col(f"`{column}`").alias(f"c{i}") for i, column in enumerate(read.columns)])
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out.select("dashboard", *[sc.coerce_string(F.col(f"c{i}")).alias(f"c{i}") for i in range(4)])
+
+
+_TEXT = lambda *columns: ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+_TOTAL = lambda c: f"CAST(coalesce({c}, 0) AS DECIMAL(38,4))"
+add("snk_08_dashboards", _exported, sql(f"""
+SELECT 'firm' AS dashboard, month AS c0, {_TEXT(_TOTAL('total'))} AS c1, {_TEXT('n')} AS c2, NULL AS c3 FROM (SELECT strftime(invoice_date, '%Y-%m') AS month, sum(total) AS total, count(*) AS n FROM iv GROUP BY 1 ORDER BY 1 DESC LIMIT 12)
+UNION ALL SELECT 'earners', {_TEXT('lawyer_id', 'lawyer_name', 'department', 'grade')} FROM fe UNION ALL SELECT 'wip', {_TEXT('matter_id', _TOTAL('billable'), 'age_days')}, NULL FROM mg WHERE billable > 0
+UNION ALL SELECT 'billing', {_TEXT('invoice_id', 'outstanding', 'due_date')}, NULL FROM iv WHERE outstanding > 0 UNION ALL SELECT 'matters', {_TEXT('matter_id', 'status', 'budget')}, NULL FROM ma
+UNION ALL SELECT 'clients', {_TEXT('client_id', 'count(matter_id)', _TOTAL('sum(net_billing)'))}, NULL FROM cl LEFT JOIN mg USING (client_id) GROUP BY client_id""", MATTERS))
 add("snk_11_sorted_table", lambda p: _sorted_export(p), sql(f"SELECT invoice_id, {d('outstanding', 'outstanding')} FROM iv WHERE outstanding > 0"))
 
 
@@ -169,6 +173,17 @@ def _sorted_export(p):
     return files.read_csv(spark, path).select(F.col("invoice_id").cast("long").alias("invoice_id"), F.col("outstanding").cast("double").alias("outstanding"))
 
 
+def _order_of_export(p):
+    """(rows, fallen): rows of a sorted table's files, and how many are larger than the row before, also over the border of two files."""
+    spark, path = p.matters.sparkSession, scratch_path(p.matters.sparkSession, "table")
+    snapshots.write_csv(p.invoices.where("outstanding > 0"), path, ["invoice_id", "outstanding"], [F.desc("outstanding"), F.asc("invoice_id")])
+    lines = spark.read.option("header", True).csv(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("outstanding").cast("decimal(18,4)").alias("v"))
+    inside = lines.withColumn("before", F.lag("v").over(W.partitionBy("file").orderBy("at"))).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("v") > F.col("before")).alias("bad"), F.max("v").alias("most"), F.min("v").alias("least"))
+    return inside.withColumn("end", F.lag("least").over(W.orderBy("file"))).agg(F.sum("n").alias("rows"), F.sum(F.col("bad") + F.when(F.col("most") > F.col("end"), 1).otherwise(0)).alias("fallen"))  # a row a file
+
+
+add("snk_11_order", _order_of_export, sql("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS fallen FROM iv WHERE outstanding > 0"))
+
 # --- readiness -------------------------------------------------------------------------
 
 
