@@ -90,12 +90,12 @@ def month_key(d: Column) -> Column:
 
 
 def working_days_between(start: Column, end: Column) -> Column:
-    """Monday-to-Friday days in (start, end], in closed form; zero if end is not later."""
+    """Monday-to-Friday days in (start, end], in closed form; zero if end is not later, null without both."""
     def upto(d: Column) -> Column:  # working days since Monday 1970-01-05, that day excluded
         n = F.datediff(d, F.to_date(F.lit("1970-01-04")))
         return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
 
-    return F.greatest(F.lit(0), upto(end) - upto(start)).cast("int")
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(F.lit(0), upto(end) - upto(start)).cast("int"))
 
 
 def normalise_name(x: Column) -> Column:

@@ -198,6 +198,22 @@ def summarise(df: DataFrame, value: str) -> DataFrame:
     )
 
 
+def join_report(entries: DataFrame, matters: DataFrame, clients: DataFrame) -> DataFrame:
+    """One row: entries with and without a matter and their value, matters with and without a known client."""
+    linked = matters.join(clients.select("client_id", F.lit(True).alias("known")), "client_id", "left").agg(F.count("known").alias("resolved"), F.count_if(F.col("known").isNull()).alias("unresolved"))
+    return join_statistics(entries).join(F.broadcast(linked))
+
+
+def field_samples(df: DataFrame, fields: list[str], most: int = 5) -> DataFrame:
+    """(field, rows, missing, distinct_values, samples) of some fields, the smallest few values as samples.
+
+    Values count by field first; the smallest of each part come before the smallest of all.
+    """
+    from ..sources.files import profile
+
+    return profile(df.select(*[F.col(f).cast("string").alias(f) for f in fields]), most).select("field", "rows", "missing", "distinct_values", "samples")
+
+
 def field_statistics(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, rows, missing, distinct): one pass over all fields at once."""
     aggs = [F.count("*").alias("rows")]

@@ -34,10 +34,63 @@ def invoice_rag(outstanding: Column, overdue: Column) -> Column:
     return F.when((outstanding > 0) & overdue, "red").when(outstanding > 0, "amber").otherwise("green")
 
 
+def _tab_rules() -> dict[str, Column]:
+    rag = invoice_rag(F.col("outstanding"), F.col("days_overdue") > 0)
+    return {"all": F.lit(True), "outstanding": F.col("outstanding") > 0, "overdue": (F.col("outstanding") > 0) & (F.col("days_overdue") > 0), "paid": F.col("outstanding") == 0, "writtenOff": rag == "red"}
+
+
 def invoice_tab(invoices: DataFrame, tab: str) -> DataFrame:
     """Rows of a tab of the billing page; the written-off tab shows what is red."""
-    rag = invoice_rag(F.col("outstanding"), F.col("days_overdue") > 0)
-    return {"all": invoices, "outstanding": invoices.where("outstanding > 0"), "overdue": invoices.where("outstanding > 0 and days_overdue > 0"), "paid": invoices.where("outstanding = 0"), "writtenOff": invoices.where(rag == "red")}[tab]
+    return invoices.where(_tab_rules()[tab])
+
+
+def invoice_tab_counts(invoices: DataFrame) -> DataFrame:
+    """(tab, n) of all tabs from one aggregation."""
+    rules = _tab_rules()
+    row = invoices.agg(*[F.count_if(rule).alias(tab) for tab, rule in rules.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(tab).alias("tab"), F.col(tab).alias("n")) for tab in rules])).alias("t")).select("t.*")
+
+
+def filtered(df: DataFrame, equal: dict[str, object] | None = None, among: dict[str, list] | None = None, least: dict[str, object] | None = None, most: dict[str, object] | None = None) -> DataFrame:
+    """Rows that a dashboard's filters leave: values that are wanted, one of several, at least or at most.
+
+    Filters that are not set (null, empty text or list) leave all rows, and rows without a value
+    fail those that are set.
+    """
+    unset = lambda v: v is None or v == "" or v == []
+    for column, value in (equal or {}).items():
+        df = df if unset(value) else df.where(F.col(column) == F.lit(value))
+    for column, values in (among or {}).items():
+        df = df if unset(values) else df.where(F.col(column).isin(*values))
+    for column, value in (least or {}).items():
+        df = df if unset(value) else df.where(F.col(column) >= F.lit(value))
+    for column, value in (most or {}).items():
+        df = df if unset(value) else df.where(F.col(column) <= F.lit(value))
+    return df
+
+
+# Statuses of invoices that count for a client.
+CLIENT_INVOICES = ("ISSUED", "PAID", "CREDITED")
+
+
+def client_profiles(contacts: DataFrame, matters: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Every contact (client_id, display_name) with what its matters and billable invoices add up to.
+
+    ``matters`` has client_ids, is_active, created, updated (texts) and department, ``invoices``
+    client_ids, status, total, outstanding, paid and invoice_date. Arrays are exploded and grouped
+    by client before they meet the contacts. A client that an array names twice counts once.
+    """
+    each = lambda df: df.withColumn("client_id", F.explode(F.array_distinct("client_ids")))
+    m = each(matters).groupBy("client_id").agg(
+        F.count("*").alias("matters"), F.count_if("is_active").alias("active_matters"), F.min(F.substring("created", 1, 10)).alias("first_matter"), F.max(F.substring("created", 1, 10)).alias("last_matter"),
+        F.max(F.substring("updated", 1, 10)).alias("last_update"), F.sort_array(F.collect_set("department")).alias("departments"))
+    i = each(invoices.where(F.col("status").isin(*CLIENT_INVOICES))).groupBy("client_id").agg(
+        *[F.sum(c).alias(c) for c in ("total", "outstanding", "paid")], F.max("invoice_date").alias("last_invoice"))
+    out = contacts.select("client_id", "display_name").join(m, "client_id", "left").join(i, "client_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(
+        "client_id", "display_name", zero("matters"), zero("active_matters"), "first_matter", "last_matter", F.greatest("last_invoice", "last_update").alias("last_activity"),
+        F.coalesce("departments", F.array().cast("array<string>")).alias("departments"), zero("total"), zero("outstanding"), zero("paid"))
 
 
 def by_metadata(totals: DataFrame, metadata: DataFrame, filters: dict[str, object]) -> DataFrame:

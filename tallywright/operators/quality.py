@@ -34,6 +34,91 @@ def report(entries: DataFrame, matters: DataFrame, available: set[str], invoices
     return row.select("orphans", js_round(percent, 4).alias("orphan_percent"), "unresolved", F.greatest(F.lit(0), score).cast("long").alias("score"))
 
 
+# Datasets by how much their absence matters.
+IMPACT = {
+    "high": ("feeEarner", "wipJson", "fullMattersJson", "invoicesJson"),
+    "medium": ("contactsJson", "closedMattersJson"),
+    "low": ("disbursementsJson", "tasksJson"),
+}
+# Formulas that a gap affects.
+AFFECTED = {
+    "ORPHANED_WIP": "SN-001 SN-002 SN-003 SN-004", "MISSING_CLIENT_IDS": "SN-007 SN-008", "MISSING_DATE_PAID": "SN-009 SN-010", "MISSING_ACTIVITY_TYPE": "SN-011",
+    "MISSING_FEE_EARNER_DATA": "SN-005 SN-006 SN-007", "MISSING_CLOSED_MATTERS": "SN-003 SN-004",
+}
+
+
+def facts(entries: DataFrame, matters: DataFrame, invoices: DataFrame) -> DataFrame:
+    """One row of counts that issues, gaps and advice follow from; each table is one row before they meet."""
+    lost = ~F.col("matched")
+    done = F.count("activity") if "activity" in entries.columns else F.lit(0)
+    e = entries.agg(F.count("*").alias("entries"), F.count_if(lost).alias("orphans"), F.sum(F.when(lost, F.col("billable_value")).otherwise(0)).cast("double").alias("lost_value"), F.sum("billable_value").cast("double").alias("value"), done.alias("with_activity"))
+    m = matters.agg(F.count("*").alias("matters"), F.count_if(F.col("display_name").isNull()).alias("unresolved"))
+    i = invoices.agg(F.count("*").alias("invoices"), F.count("date_paid").alias("dated"))
+    percent = F.coalesce(F.try_divide(F.lit(100.0) * F.col("lost_value"), F.col("value")), F.lit(0.0))
+    return e.join(F.broadcast(m)).join(F.broadcast(i)).withColumn("orphan_percent", percent)
+
+
+def _unfolded(row: DataFrame, *parts) -> DataFrame:
+    return row.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
+
+
+def entity_issues(row: DataFrame) -> DataFrame:
+    """(dataset, issue, severity, affected, total, percent): entries without a matter, matters without a client."""
+    def issue(when, dataset, what, severity, affected, total):
+        share = js_round(F.lit(100.0) * F.col(affected) / F.nullif(F.col(total), F.lit(0))).cast("long")
+        return F.when(when, F.struct(F.lit(dataset).alias("dataset"), F.lit(what).alias("issue"), severity.alias("severity"), F.col(affected).alias("affected"), F.col(total).alias("total"), share.alias("percent")))
+
+    severe = F.when(F.col("orphan_percent") > 20, "error").otherwise("warning")
+    unlinked = F.when(F.col("unresolved") > 0.2 * F.col("matters"), "warning").otherwise("info")
+    return _unfolded(row, issue(F.col("orphans") > 0, "wipJson", "orphaned_records", severe, "orphans", "entries"), issue(F.col("unresolved") > 0, "fullMattersJson", "unresolved_references", unlinked, "unresolved", "matters"))
+
+
+def _lacking(available: set[str]) -> tuple:
+    undated = F.lit("invoicesJson" in available) & (F.col("invoices") > 0) & (F.col("dated") == 0)
+    idle = F.lit("wipJson" in available) & (F.col("entries") > 0) & (F.col("with_activity") == 0)
+    return undated, idle
+
+
+def gaps(row: DataFrame, available: set[str]) -> DataFrame:
+    """(gap, severity, formulas): what the data is known to lack, and the formulas that suffer."""
+    undated, idle = _lacking(available)
+
+    def gap(when, name, severity):
+        return F.when(when, F.struct(F.lit(name).alias("gap"), severity.alias("severity"), F.lit(AFFECTED[name]).alias("formulas")))
+
+    warning = F.lit("warning")
+    return _unfolded(
+        row,
+        gap(F.col("orphan_percent") > 5, "ORPHANED_WIP", F.when(js_round(F.col("orphan_percent")) > 20, "error").otherwise("warning")), gap(F.col("unresolved") > 0, "MISSING_CLIENT_IDS", warning),
+        gap(undated, "MISSING_DATE_PAID", warning), gap(idle, "MISSING_ACTIVITY_TYPE", F.lit("info")),
+        gap(F.lit("feeEarner" not in available), "MISSING_FEE_EARNER_DATA", F.lit("error")), gap(F.lit("closedMattersJson" not in available), "MISSING_CLOSED_MATTERS", warning),
+    )
+
+
+def advice(row: DataFrame, available: set[str]) -> DataFrame:
+    """(priority, position, subject): what to upload or add next, most urgent first."""
+    undated, _ = _lacking(available)
+    absent = lambda kind: F.lit(kind not in available)
+    steps = (
+        (1, absent("feeEarner"), "feeEarner"), (1, absent("wipJson"), "wipJson"), (1, absent("fullMattersJson"), "fullMattersJson"), (2, absent("invoicesJson"), "invoicesJson"), (2, undated, "date paid of invoices"),
+        (2, F.col("unresolved") > 0, "client ids of matters"), (3, absent("closedMattersJson"), "closedMattersJson"), (3, absent("contactsJson"), "contactsJson"),
+    )
+    told = _unfolded(row, *[F.when(when, F.struct(F.lit(priority).alias("priority"), F.lit(i).alias("position"), F.lit(subject).alias("subject"))) for i, (priority, when, subject) in enumerate(steps)])
+    return told.orderBy("priority", "position")
+
+
+def coverage(spark, available: set[str]) -> DataFrame:
+    """(dataset, impact, present) of every kind."""
+    return spark.createDataFrame([(kind, impact, kind in available) for impact, kinds in IMPACT.items() for kind in kinds], "dataset string, impact string, present boolean")
+
+
+def affected_formulas(changed: DataFrame) -> DataFrame:
+    """(formula): formulas that read an entity or a setting of ``changed`` (name), by their requirements."""
+    needs = [(f, name) for f, parts in REQUIREMENTS.items() for names in parts for name in names.split()]
+    known = changed.sparkSession.createDataFrame(needs, "formula string, name string")
+    return F.broadcast(known).join(changed.select("name").distinct(), "name").select("formula").distinct()
+
+
 # What each formula needs, as (entities, optional entities, settings without which it is partial, settings without which it is blocked).
 REQUIREMENTS = {
     "SN-001": ("feeEarner", "", "feeEarner.salaryData", ""),

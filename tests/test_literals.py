@@ -100,3 +100,8 @@ def test_upload_status(spark):
     uploads = spark.createDataFrame([("invoicesJson", "pending", "2001-02-01", 5), ("invoicesJson", "processed", "2001-01-01", 4), ("wipJson", "failed", "2001-01-03", 0)], "kind string, status string, uploaded string, rows long")
     got = rows(quality.upload_status(uploads, ["invoicesJson", "wipJson", "tasksJson"]).select("kind", "status", "uploaded", "rows"))
     assert got == [("invoicesJson", "processed", "2001-01-01", 4), ("tasksJson", "missing", None, 0), ("wipJson", "failed", "2001-01-03", 0)]
+
+
+def test_working_days_need_both_days(spark):
+    frame = spark.createDataFrame([("2024-01-05", "2024-01-08"), (None, "2024-01-08"), ("2024-01-05", None)], "a string, b string")
+    assert [r[0] for r in frame.select(sc.working_days_between(F.to_date("a"), F.to_date("b"))).collect()] == [1, None, None]
