@@ -169,6 +169,45 @@ def coerce_detected(x: Column, kind: str) -> Column:
     return t
 
 
+def display_result(value: Column, kind: str, symbol: str = "£") -> Column:
+    """A formula's value as text, as results show it: money with two decimals, ratios too, plain numbers with none.
+
+    The other kinds read as in ``display``; a missing value stays null.
+    """
+    v = value.cast("double")
+    exact = v.cast("decimal(28,6)")
+    whole = F.round(exact, 0)
+    forms = {
+        "currency": F.concat(F.lit(symbol), F.format_number(F.round(exact, 2), 2)), "ratio": F.concat(F.round(exact, 2).cast("string"), F.lit("x")),
+        "number": F.when((whole == 0) & (v < 0), "-0").otherwise(F.format_number(whole, 0)),
+    }
+    return F.when(v.isNotNull(), forms[kind]) if kind in forms else display(value, kind, symbol)
+
+
+#: Words that a header may begin with and still mean the same, and other names of columns.
+HEADER_PREFIXES = ("responsible", "total", "is", "has")
+HEADER_ALIASES = {
+    "lawyername": "lawyerid", "feeearnername": "lawyerid", "feeearner": "lawyerid", "feeearnerid": "lawyerid", "solicitor": "lawyerid", "solicitorname": "lawyerid",
+    "matter": "matterid", "matterref": "matternumber", "reference": "matternumber", "ref": "matternumber", "casenumber": "matternumber", "caseref": "matternumber",
+    "dateofentry": "date", "entrydate": "date", "transactiondate": "date", "postingdate": "date",
+    "amountbillable": "billablevalue", "billable": "billablevalue", "billableamount": "billablevalue", "writeoff": "writeoffvalue", "amountwrittenoff": "writeoffvalue",
+    "invoiceamount": "subtotal", "invoicetotal": "subtotal", "netbill": "netbilling", "fees": "subtotal", "invoiceno": "invoicenumber", "invnumber": "invoicenumber", "invoicenum": "invoicenumber",
+    "clientname": "displayname", "contactname": "displayname", "fullname": "displayname",
+}
+
+
+def canonical_header(x: Column) -> Column:
+    """A header without separators and without one leading filler word, then by its usual name.
+
+    A filler word goes only where more than two characters are left.
+    """
+    plain = F.regexp_replace(F.lower(x), r"[\s_\-.]+", "")
+    # the first of the words in their order that the header begins with
+    short = F.regexp_replace(plain, f"^(?:{'|'.join(HEADER_PREFIXES)})(?=.{{3,}}$)", "")
+    names = F.create_map(*[F.lit(t) for pair in HEADER_ALIASES.items() for t in pair])
+    return F.coalesce(F.try_element_at(names, plain), F.try_element_at(names, short), short)
+
+
 def display(value: Column, kind: str, symbol: str = "£") -> Column:
     """A KPI value as text by its result type; a missing value stays null.
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import aggregates as agg
-from ..operators import kpi, lists, quality
+from ..operators import classify, kpi, lists, quality
+from ..session import scratch_path
+from ..sources import formulas, snapshots
 from .domain import load, rnd, sql
-from .kpi_queries import CONFIG, HOURS, WORKDAYS, pct, ref, row, with_
+from .kpi_queries import CONFIG, HOURS, LONG_NEEDS, RISK_RULES, WORKDAYS, pct, ref, row, with_
 from .list_queries import MD
 from .practice_queries import MATTERS, d, matter_totals, plain
 
@@ -157,3 +159,78 @@ add("qry_07_clients", lambda p: lists.page_with_total(agg.clients(p.clients, mat
     sql(f"SELECT client_id, n AS matters, {d('b', 'net_billing')}, total FROM (SELECT *, count(*) OVER () AS total FROM (SELECT client_id, count(*) AS n, sum(net_billing) AS b FROM cl JOIN mg USING (client_id) GROUP BY client_id)) ORDER BY b DESC, client_id LIMIT 200", MATTERS))
 add("qry_07_departments", lambda p: matter_totals(p).join(p.matter_departments, "matter_id").groupBy("department").agg(F.count("*").alias("matters"), F.count_if(F.col("status") == "IN_PROGRESS").alias("active"), agg.total("billable").alias("billable"), agg.total("outstanding").alias("outstanding")),
     sql(f"SELECT department, count(*) AS matters, CAST(count(*) FILTER (status = 'IN_PROGRESS') AS BIGINT) AS active, {d('sum(billable)', 'billable')}, {d('sum(outstanding)', 'outstanding')} FROM mg JOIN md USING (matter_id) GROUP BY department", f"{MATTERS}, {MD}"))
+
+# --- user-defined formulas -------------------------------------------------------------
+
+_field = lambda name: {"type": "field", "field": name}
+_two = lambda o, a, b: {"type": "operator", "operator": o, "left": a, "right": b}
+_const = lambda v: {"type": "constant", "value": v}
+
+
+def _registry(p):
+    """Two formulas, the second reading the first, which is then stored again; a third is deleted."""
+    spark, root = p.matters.sparkSession, scratch_path(p.matters.sparkSession, "formulas")
+    put = lambda name, tree: formulas.store(spark, root, "firm-1", name, tree, p.matters.columns, {"invoice": p.invoices.columns})
+    put("base", _two("divide", _field("budget"), _const(1000)))
+    put("double", _two("multiply", {"type": "formula", "id": "base"}, _const(2)))
+    put("gone", formulas.instantiate({"type": "field", "field": "{{which}}"}, {"which": "client_id"}, p.matters.columns, {}))
+    put("base", _two("subtract", _two("divide", _field("budget"), _const(1000)), _two("percentage", _field("client_id"), _const(1000))))
+    formulas.delete(spark, root, "firm-1", "gone")
+    return spark, root
+
+
+def _versions(p):
+    spark, root = _registry(p)
+    live = formulas.current(spark, root, "firm-1")
+    values = formulas.run(live, p.matters, "matter_id").groupBy("kpi_key").agg(F.count("value").alias("measured"))
+    return formulas.versions(spark, root, "firm-1").select("formula_id", "version", "is_current", "deleted").join(values.withColumnRenamed("kpi_key", "formula_id"), "formula_id", "left")
+
+
+add("qry_12_versions", _versions, sql("""SELECT formula_id, CAST(version AS BIGINT) AS version, is_current, deleted, CASE WHEN formula_id <> 'gone' THEN (SELECT count(budget) FROM ma) END AS measured
+FROM (VALUES ('base', 1, FALSE, FALSE), ('base', 2, TRUE, FALSE), ('double', 1, TRUE, FALSE), ('gone', 1, FALSE, FALSE), ('gone', 2, TRUE, TRUE)) AS t(formula_id, version, is_current, deleted)"""))
+
+
+def _trial(p):
+    """What ``double`` would change by if matters on hold had no value and others three times their base."""
+    spark, root = _registry(p)
+    live = formulas.run(formulas.current(spark, root, "firm-1"), p.matters, "matter_id")
+    held = {"type": "compare", "operator": "=", "left": _field("status"), "right": _const("ON_HOLD")}
+    trial = {"type": "ifThen", "condition": held, "then": _two("divide", _const(1), _const(0)), "else": _two("multiply", {"type": "formula", "id": "base"}, _const(3))}
+    new = formulas.run({"double": trial}, p.matters, "matter_id", results=live.where("kpi_key = 'base'"))
+    return formulas.changes(live.where("kpi_key = 'double'"), new)
+
+
+_BASE = "b AS (SELECT matter_id, status, CAST(budget AS DOUBLE) / 1000.0::DOUBLE - CAST(client_id AS DOUBLE) / 1000.0::DOUBLE * 100.0::DOUBLE AS b FROM ma), c AS (SELECT CAST(matter_id AS VARCHAR) AS entity_id, b * 2.0::DOUBLE AS o, CASE WHEN status <> 'ON_HOLD' THEN b * 3.0::DOUBLE END AS n FROM b)"
+add("qry_12_trial", lambda p: _trial(p).select("entity_id", sc.js_round(F.col("delta"), 4).alias("delta"), "percent_change"),
+    sql(f"SELECT entity_id, {rnd('coalesce(n - o, n, -o)')} AS delta, {rnd('(n - o) / nullif(abs(o), 0) * 100.0::DOUBLE', 2)} AS percent_change FROM c", _BASE))
+add("qry_12_trial_summary", lambda p: formulas.summary(_trial(p)), sql(f"""SELECT count(*) AS entities, CAST(count(*) FILTER (d > 0) AS BIGINT) AS improved, CAST(count(*) FILTER (d < 0) AS BIGINT) AS declined, CAST(count(*) FILTER (d IS NULL OR d = 0) AS BIGINT) AS unchanged,
+    {rnd(f'CAST(sum(CAST({rnd("d")} AS DECIMAL(28,4))) AS DOUBLE) / count(d)')} AS mean_change FROM (SELECT coalesce(n - o, n, -o) AS d FROM c)""", _BASE))
+
+# --- flags, headers and texts ----------------------------------------------------------
+
+
+def _flags(p):
+    """Risk flags of matters and clients, flagged on days that follow from their ids."""
+    found = classify.risk_flags(kpi.kpi_rows(p, CONFIG))
+    return found.select("flag", "severity", "entity_type", "entity_id", F.date_sub(ref(), (F.length("entity_id") * 3 + F.ascii(F.reverse("entity_id")) % 10).cast("int")).cast("string").alias("flagged_at"))
+
+
+_FLAGS = "g AS (SELECT flag, severity, entity_type, entity_id, CAST(DATE '2001-08-15' - CAST(length(entity_id) * 3 + ascii(reverse(entity_id)) % 10 AS INTEGER) AS VARCHAR) AS flagged_at FROM ({rules}) WHERE entity_type <> 'invoice')"
+
+
+def _flag_twin(body: str) -> str:
+    return with_(body, *LONG_NEEDS, "kr").replace("\n" + body, ",\n" + _FLAGS.format(rules=RISK_RULES) + "\n" + body)
+
+
+add("flt_18_flags", lambda p: snapshots.flags_page(_flags(p), "high", "matter", "WIP_AGE_HIGH", 40).select("flag", "severity", "entity_id", "flagged_at"),
+    _flag_twin("SELECT flag, severity, entity_id, flagged_at FROM g WHERE severity = 'high' AND entity_type = 'matter' AND flag = 'WIP_AGE_HIGH' ORDER BY flagged_at DESC, entity_id, flag LIMIT 40"))
+add("qry_10_flag_counts", lambda p: snapshots.flag_counts(snapshots.flags_page(_flags(p), limit=500)), _flag_twin(
+    "SELECT count(*) AS total, CAST(count(*) FILTER (severity = 'high') AS BIGINT) AS high, CAST(count(*) FILTER (severity = 'medium') AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low, max(flagged_at) AS flagged_at FROM (SELECT * FROM g ORDER BY flagged_at DESC, entity_id, flag LIMIT 500)"))
+_SPELLED = (("Responsible Lawyer Name", "lawyerid"), ("Total_Fees", "subtotal"), ("is-billable", "billablevalue"), ("Has.Notes", "notes"), ("Matter Ref", "matternumber"), ("Issue", "sue"), ("isX", "isx"), ("Total", "total"), ("Client  Name", "displayname"), ("Responsible Total", "total"))
+add("scl_09_headers", lambda p: p.activities.select(F.get(F.array(*[F.lit(x) for x, _ in _SPELLED]), (F.col("part_key") % len(_SPELLED)).cast("int")).alias("header")).groupBy("header", sc.canonical_header(F.col("header")).alias("name")).agg(F.count("*").alias("n")),
+    f"SELECT header, name, count(*) AS n FROM part JOIN (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for i, (a, b) in enumerate(_SPELLED))}) AS t(i, header, name) ON p_partkey % {len(_SPELLED)} = i GROUP BY ALL")
+add("scl_18_result_texts", lambda p: p.invoices.select("invoice_id", sc.display_result(F.col("outstanding"), "currency").alias("money"), sc.display_result(F.col("outstanding") / 1000, "ratio").alias("ratio"), sc.display_result(-F.col("total"), "number").alias("number"), sc.display_result(F.col("days_overdue"), "days").alias("days")),
+    sql("""SELECT invoice_id, '£' || format('{:,.2f}', CAST(round(CAST(CAST(outstanding AS DOUBLE) AS DECIMAL(28,6)), 2) AS DOUBLE)) AS money, CAST(round(CAST(CAST(outstanding AS DOUBLE) / 1000 AS DECIMAL(28,6)), 2) AS VARCHAR) || 'x' AS ratio,
+    format('{:,}', CAST(round(CAST(-CAST(total AS DOUBLE) AS DECIMAL(28,6)), 0) AS BIGINT)) AS number, days_overdue || ' days' AS days FROM iv"""))
+add("qry_11_affected", lambda p: quality.affected_formulas(p.fee_earners.select(F.when(F.col("lawyer_id") % 2 == 0, "disbursement").otherwise("costRateMethod").alias("name"))),
+    "SELECT formula FROM (VALUES ('F-WL-03', 1), ('F-CS-03', 1), ('F-PR-01', 0), ('F-PR-01', 1), ('F-PR-02', 1), ('SN-005', 1)) AS t(formula, kind), supplier GROUP BY formula")

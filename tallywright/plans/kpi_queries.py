@@ -243,9 +243,9 @@ _RISKS_BY_HAND = (
     ("DORMANT_MATTER", "F-WL-01", "matter", 1e12, 14), ("BAD_DEBT_RISK", "F-DM-01", "invoice", 120, 90), ("WRITE_OFF_SPIKE", "F-WL-02", "feeEarner", 10, 5), ("WRITE_OFF_SPIKE", "F-WL-02", "firm", 10, 5),
 )
 CTES["kr"] = "kr AS (SELECT * FROM kp UNION ALL " + row("F-DM-01", "invoice", "invoice_id", "coalesce(days_overdue, 0)", "FROM iv WHERE outstanding > 0") + ")"
-_RULES = " UNION ALL ".join(f"SELECT '{f}' AS flag, CASE WHEN value > {h} THEN 'high' ELSE 'medium' END AS severity, entity_type, entity_id, value FROM kr WHERE kpi_key = '{k}' AND entity_type = '{e}' AND value > {m}" for f, k, e, h, m in _RISKS_BY_HAND)
-add("rsk_flags", lambda s, d: classify.risk_flags(_risky(load(s, d))), with_(_RULES, *LONG_NEEDS, "kr"))
-_SEV = with_(f"SELECT flag, severity, count(*) AS n FROM ({_RULES}) GROUP BY ALL", *LONG_NEEDS, "kr")
+RISK_RULES = " UNION ALL ".join(f"SELECT '{f}' AS flag, CASE WHEN value > {h} THEN 'high' ELSE 'medium' END AS severity, entity_type, entity_id, value FROM kr WHERE kpi_key = '{k}' AND entity_type = '{e}' AND value > {m}" for f, k, e, h, m in _RISKS_BY_HAND)
+add("rsk_flags", lambda s, d: classify.risk_flags(_risky(load(s, d))), with_(RISK_RULES, *LONG_NEEDS, "kr"))
+_SEV = with_(f"SELECT flag, severity, count(*) AS n FROM ({RISK_RULES}) GROUP BY ALL", *LONG_NEEDS, "kr")
 add("agg_22_severity_counts", lambda s, d: classify.risk_flags(_risky(load(s, d))).groupBy("flag", "severity").agg(F.count("*").alias("n")), _SEV)
 _M = lambda c: f"(SELECT lawyer_id, {rnd(pct('coalesce(m, 0) / 60.0::DOUBLE', str(HOURS)))} AS v FROM fa LEFT JOIN (SELECT lawyer_id, sum(CASE WHEN {c} THEN minutes ELSE 0 END) AS m FROM te GROUP BY lawyer_id) USING (lawyer_id))"
 add("win_07_utilisation_drop", lambda s, d: (lambda p: classify.risk_flags(kpi.f_tu_01(p, CONFIG), kpi.f_tu_01(p, CONFIG, "recorded")))(load(s, d)),

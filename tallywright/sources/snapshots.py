@@ -162,6 +162,18 @@ def latest_pull(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("firm_id").agg(F.max("pulled_at").alias("pulled_at"))
 
 
+def flags_page(flags: DataFrame, severity: str | None = None, entity_type: str | None = None, flag: str | None = None, limit: int = 50) -> DataFrame:
+    """The ``limit`` most recent flags (by flagged_at, then id) that the filters leave, high severities first."""
+    for column, value in (("severity", severity), ("entity_type", entity_type), ("flag", flag)):
+        flags = flags if value is None else flags.where(F.col(column) == value)
+    return recent_flags(flags, limit, [F.desc("flagged_at"), F.asc("entity_id"), F.asc("flag")])
+
+
+def flag_counts(page: DataFrame) -> DataFrame:
+    """One row of what a page of flags holds: all, by severity, and when the newest was flagged."""
+    return page.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")], F.max("flagged_at").alias("flagged_at"))
+
+
 def recent_flags(flags: DataFrame, limit: int, order: list[Column]) -> DataFrame:
     """The ``limit`` most recent flags, then by severity and recency."""
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)

@@ -105,6 +105,15 @@ def is_stale(spark: SparkSession, root: str, firm_id: str) -> bool:
     return bool(row and row["is_stale"])
 
 
+def calculation_status(is_calculating: bool, stale: bool, error: str | None) -> str:
+    """``calculating``, ``error`` (stale after a failure), ``stale`` or ``current``."""
+    if is_calculating:
+        return "calculating"
+    if stale:
+        return "error" if error else "stale"
+    return "current"
+
+
 def store_raw(rows: DataFrame, root: str, firm_id: str, kind: str) -> None:
     """The rows of an upload as they came, in place of those before."""
     rows.write.mode("overwrite").parquet(f"{root}/raw/firm_id={firm_id}/kind={kind}")
