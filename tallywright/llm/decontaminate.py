@@ -25,6 +25,8 @@ from .common import ALNUM, Words, materialise, signed, text_chunks
 #: Up to so many benchmark fingerprints, of three numbers each and so at most some 20 MB, are
 #: broadcast; beyond it both sides are shuffled by fingerprint.
 BROADCAST_FINGERPRINTS = 500_000
+#: Parts that a fingerprint's documents are dealt to where both sides are shuffled.
+SALTS = 16
 
 
 def winnow(starts: np.ndarray, hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> np.ndarray:
@@ -97,17 +99,18 @@ def _hits(doc: list[bytes], found: list[dict], window: int) -> tuple[np.ndarray,
         item = items.get(c["item_text"])
         if item is None:
             item = items[c["item_text"]] = np.array([number.get(w, -1) for w in _word_list(c["item_text"])], dtype=np.int64)
-        need, d = min(window, len(item)), c["diagonal"]
-        lo, hi = max(d, 0), min(d + len(item), len(doc))
-        if hi - lo < need:
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], own[lo:hi] == item[lo - d:hi - d], [False]]).astype(np.int8)))
-        starts, ends = edges[::2] + lo, edges[1::2] + lo
-        long = ends - starts >= need
-        if long.any():
-            cover[starts[long]] += 1
-            cover[ends[long]] -= 1
-            names.add(c["item"])
+        need = min(window, len(item))
+        for d in c["diagonals"]:
+            lo, hi = max(d, 0), min(d + len(item), len(doc))
+            if hi - lo < need:
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], own[lo:hi] == item[lo - d:hi - d], [False]]).astype(np.int8)))
+            starts, ends = edges[::2] + lo, edges[1::2] + lo
+            long = ends - starts >= need
+            if long.any():
+                cover[starts[long]] += 1
+                cover[ends[long]] -= 1
+                names.add(c["item"])
     return np.cumsum(cover[:-1]) > 0, names
 
 
@@ -137,14 +140,24 @@ def decontaminate(
     # fingerprints carry an item's number; its text joins the matches at last
     items = materialise(bench.withColumn("no", F.monotonically_increasing_id()), "benchmark-items")
     tests = _fingerprint_rows(items, "no", "item_text", k, window, short, items=True).select(F.col("key").alias("no"), "h", F.col("pos").alias("item_pos"))
-    if tests.count() <= broadcast_fingerprints:
+    small = tests.count() <= broadcast_fingerprints
+    if small:
         tests = F.broadcast(tests)
 
-    train = _fingerprint_rows(docs, id_col, text_col, k, window, short, items=False)
-    matches = train.join(tests, "h").select("key", "no", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    # rows meet their matches by a hash of id and text, so null and repeated ids stay apart; were
+    # two texts to share it, the words along each other's diagonals would be compared in vain
+    kind = docs.schema[id_col].dataType
+    docs = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    docs = docs.withColumn("key_", F.xxhash64("id_", "text_"))
+    train, on = _fingerprint_rows(docs, "key_", "text_", k, window, short, items=False), ["h"]
+    if not small:
+        # texts that many documents hold share their fingerprints: those rows are dealt out
+        train, tests, on = train.withColumn("salt", F.pmod("key", F.lit(SALTS))), tests.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["h", "salt"]
+    matches = train.join(tests, on).select("key", "no", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    matches = matches.groupBy("key", "no").agg(F.collect_list("diagonal").alias("diagonals"))
     texts = items.select("no", "item", F.encode("item_text", "utf-8").alias("item_text"))
-    found = matches.join(texts, "no").groupBy("key").agg(F.collect_list(F.struct("item", "item_text", "diagonal")).alias("found"))
-    joined = docs.select(F.col(id_col).alias("key_"), F.col(text_col).alias("text_")).join(found, F.col("key_").eqNullSafe(F.col("key")), "left").select("key_", "text_", "found")
+    found = matches.join(texts, "no").groupBy("key").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("found"))
+    joined = docs.join(found, F.col("key_") == F.col("key"), "left").select("id_", "text_", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text_"):
@@ -157,13 +170,13 @@ def decontaminate(
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
                 items.append(sorted(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key_"), pa.array(counts.astype(np.int64)), pa.array(n_hit, pa.int64()),
+                [batch.column("id_"), pa.array(counts.astype(np.int64)), pa.array(n_hit, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
                 names=[id_col, "n_words", "n_hit", "spans", "items"],
             )
 
     schema = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+        T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])

@@ -57,3 +57,13 @@ def test_texts_of_one_repeated_word(spark):
     bench = spark.createDataFrame([("a", "yes " * 50), ("b", "no"), ("c", "Yes")], "item_id string, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in dc.decontaminate(docs, bench).collect()}
     assert got == {1: (20_000, 20_000, ["a", "c"]), 2: (3, 3, ["b", "c"]), 3: (9, 9, ["c"])}
+
+
+def test_rows_without_id_are_matched_one_by_one(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve "
+    docs = [(None if i % 2 else 7, f"w{i} " * 3 + passage * (i % 3) + f"v{i}") for i in range(600)] + [(None, passage)] * 50
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", passage), ("b", passage * 2)], "item_id string, text string")
+    for limit in (500_000, 0):
+        got = sorted((r["n_words"], r["n_hit"], r["items"]) for r in dc.decontaminate(frame, bench, broadcast_fingerprints=limit).collect())
+        assert got == sorted(brute(t, [("a", passage), ("b", passage * 2)]) for _, t in docs)
