@@ -12,6 +12,8 @@ DataFrame expressions: one pass over the text and no shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,29 @@ SENTENCES = {
     "UnlicenseDomain": "this is free and unencumbered software released into the public domain",
     "ZlibAsIs": "this software is provided as is without any express or implied warranty",
     "ZlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "Lgpl3Free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "Lgpl3Program": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "BoostName": "distributed under the boost software license version 1 0",
+    "BoostTitle": "boost software license version 1 0 august 17th 2003",
+    "ApacheTitle": "apache license version 2 0 january 2004 http www apache org licenses",
+    "Gpl3Title": "gnu general public license version 3 29 june 2007",
+    "Gpl2Title": "gnu general public license version 2 june 1991",
+    "Lgpl3Title": "gnu lesser general public license version 3 29 june 2007",
+    "Lgpl21Title": "gnu lesser general public license version 2 1 february 1999",
+    "AgplTitle": "gnu affero general public license version 3 19 november 2007",
+    "MplTitle": "mozilla public license version 2 0",
+    "EplTitle": "eclipse public license v 2 0",
     "AllRights": "all rights reserved",
 }
 
+# The licences that an SPDX-License-Identifier line may name here.
+SPDX = (
+    "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+    "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only",
+    "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"Spdx-{name}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()) for name in SPDX}
+
 # Licences by the sentences that state them, in the order in which they are tried.
 RULES = (
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiability")),
@@ -99,14 +121,30 @@ RULES = (
     ("CC0-1.0", ("Cc0Dedication",)),
     ("Unlicense", ("UnlicenseDomain",)),
     ("Zlib", ("ZlibAsIs", "ZlibGrant")),
+    ("LGPL-3.0-or-later", ("Lgpl3Free",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Program",)),
+    ("BSL-1.0", ("BoostName",)),
+    ("BSL-1.0", ("BoostTitle",)),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("GPL-3.0", ("Gpl3Title",)),
+    ("GPL-2.0", ("Gpl2Title",)),
+    ("LGPL-3.0", ("Lgpl3Title",)),
+    ("LGPL-2.1", ("Lgpl21Title",)),
+    ("AGPL-3.0", ("AgplTitle",)),
+    ("MPL-2.0", ("MplTitle",)),
+    ("EPL-2.0", ("EplTitle",)),
+    *((name, (f"Spdx-{name}",)) for name in SPDX),
     ("Proprietary", ("AllRights",)),
 )
+#: Licensed texts reserve all rights too: this one stands only where no other was found.
+ALONE = "Proprietary"
 
 _SPACE = r"[ \t\r\n\f]"
 #: (pattern, replacement with \x01 where a sentence ends): sentence marks before space, blank
 #: lines, and line ends before a capital, a digit or a comment or list mark. A hard-wrapped
-#: line that goes on in lower case does not end its sentence.
+#: line that goes on in lower case does not end its sentence, unless it names an SPDX licence.
 BREAKS = (
+    (r"(SPDX-License-Identifier:[^\n]*)\n", "$1\x01"),
     (rf"([.;:!?]){_SPACE}+", "$1\x01"),
     (rf"\n{_SPACE}*\n", "\x01"),
     (r"\n([ \t]*[-*A-Z0-9#/])", "\x01$1"),
@@ -126,30 +164,34 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
-def identifiers(pieces: Column, known: dict[str, str]) -> Column:
-    """The known sentences that stand in ``pieces``, each in one piece or in several in a row."""
+def recognised(pieces: Column, known: dict[str, str]) -> Column:
+    """The pieces behind marks \\x01, with <name> for each known sentence, be it one piece or several in a row."""
     longest = sorted(known, key=lambda k: (-len(known[k]), k))
     rules = F.array(*[F.struct(F.lit(known[k]).alias("text"), F.lit("\x01" + known[k].replace(" ", "[ \x01]") + "(?=\x01)").alias("pattern"), F.lit(f"\x01<{k}>").alias("put")) for k in longest])
     # few texts hold any known sentence: only those are searched at piece boundaries
     held = F.flatten(F.transform(F.array(F.array_join(pieces, " ")), lambda flat: F.filter(rules, lambda r: F.contains(flat, r["text"]))))
     marked = F.concat(F.lit("\x01"), F.array_join(pieces, "\x01"), F.lit("\x01"))
-    out = F.aggregate(held, marked, lambda acc, r: F.regexp_replace(acc, r["pattern"], r["put"]))
-    return F.regexp_extract_all(out, F.lit("<([^>]*)>"), F.lit(1))
+    return F.aggregate(held, marked, lambda acc, r: F.regexp_replace(acc, r["pattern"], r["put"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """(id, n_sentences, identifiers, licenses, unexplained) for every row of ``docs``.
 
-    ``n_sentences`` counts the pieces that the cutter yields. ``identifiers`` is the sequence
-    of known sentences, each a piece or a run of pieces, the longest first, ``licenses`` the distinct licences in
-    rule order, ``unexplained`` the identifiers that no rule consumed. Sentences without a
+    ``n_sentences`` counts known sentences, each a piece or a run of pieces, the longest first,
+    and the pieces beside them. ``identifiers`` is the sequence of known sentences, ``licenses``
+    the distinct licences in rule order, ``ALONE`` only if there is no other, ``unexplained``
+    the identifiers that no rule consumed. Sentences without a
     letter or digit are not counted; null and empty texts have none. A rule matches its
     identifiers in a row, whatever unknown sentences stand between. Repeated and null ids
     keep a row each; other columns are ignored.
     """
     known = SENTENCES if known is None else known
     df = docs.select(F.col(id_col), F.filter(F.transform(sentences(F.coalesce(F.col(text_col), F.lit(""))), normalise), lambda s: s != "").alias("sentences_"))
-    df = df.select(id_col, F.size("sentences_").cast("long").alias("n_sentences"), identifiers(F.col("sentences_"), known).alias("identifiers"))
+    df = df.select(id_col, recognised(F.col("sentences_"), known).alias("marked_"))
+    df = df.select(
+        id_col, F.size(F.filter(F.split("marked_", "\x01"), lambda s: s != "")).cast("long").alias("n_sentences"),
+        F.regexp_extract_all("marked_", F.lit("<([^>]*)>"), F.lit(1)).alias("identifiers"),
+    )
 
     # the sequence as text, <A><B>...: a rule takes out its own stretches
     step = F.struct(F.array_join(F.transform("identifiers", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
@@ -160,7 +202,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     ))
     df = df.withColumn("matched_", F.when(F.size("identifiers") > 0, matched).otherwise(F.struct(F.lit("").alias("rest"), F.array().cast("array<string>").alias("found"))))
     left = F.regexp_extract_all("matched_.rest", F.lit("<([^>]*)>"), F.lit(1))
-    return df.select(id_col, "n_sentences", "identifiers", F.array_distinct("matched_.found").alias("licenses"), left.alias("unexplained"))
+    found = F.array_distinct("matched_.found")
+    found = F.when(F.size(found) > 1, F.array_remove(found, ALONE)).otherwise(found)
+    return df.select(id_col, "n_sentences", "identifiers", found.alias("licenses"), left.alias("unexplained"))
 
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
@@ -178,7 +222,10 @@ def _oracle() -> str:
     text = "coalesce(text, '')"
     for pattern, put in BREAKS:
         text = f"regexp_replace({text}, {lit(pattern)}, {lit(put.replace('$1', chr(92) + '1'))}, 'g')"
-    values = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in SENTENCES.items())
+    marked = "w"
+    for k in sorted(SENTENCES, key=lambda k: (-len(SENTENCES[k]), k)):
+        # marks are doubled, so that each piece has its own two
+        marked = f"regexp_replace({marked}, {lit(chr(1) + SENTENCES[k].replace(' ', '(?: |' + 2 * chr(1) + ')') + chr(1))}, {lit(f'{chr(1)}<{k}>{chr(1)}')}, 'g')"
     rest, found = "seq", []
     for i, (name, ids) in enumerate(RULES):
         own = lit("".join(f"<{x}>" for x in ids))
@@ -188,16 +235,17 @@ def _oracle() -> str:
     flags = ", ".join(f"CASE WHEN contains({r}, {own}) THEN {lit(name)} END" for _, r, own, name in found)
     last = found[-1][0]
     return f"""
-WITH known(name, sentence) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split({text}, chr(1)) AS parts FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split({text}, chr(1)) AS parts FROM documents),
 s AS (SELECT r, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM d),
 n AS (SELECT r, i, trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s),
-c AS (SELECT r, count(*) AS n_sentences FROM n WHERE sentence <> '' GROUP BY r),
-m AS (SELECT r, count(*) AS n_known, string_agg(name, ',' ORDER BY i) AS identifiers, string_agg('<' || name || '>', '' ORDER BY i) AS seq FROM n JOIN known USING (sentence) GROUP BY r),
-q AS (SELECT d.doc_id, coalesce(c.n_sentences, 0) AS n_sentences, coalesce(m.n_known, 0) AS n_known, coalesce(m.identifiers, '') AS identifiers, coalesce(m.seq, '') AS seq
-      FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)),
+p AS (SELECT r, string_agg(chr(1) || sentence || chr(1), '' ORDER BY i) AS w FROM n WHERE sentence <> '' GROUP BY r),
+m AS (SELECT r, {marked} AS w FROM p),
+q AS (SELECT d.doc_id, coalesce((length(m.w) - length(replace(m.w, chr(1), ''))) // 2, 0) AS n_sentences, coalesce(len(regexp_extract_all(m.w, '<([^>]*)>')), 0) AS n_known,
+        coalesce(array_to_string(regexp_extract_all(m.w, '<([^>]*)>', 1), ','), '') AS identifiers, coalesce(array_to_string(regexp_extract_all(m.w, '<([^>]*)>'), ''), '') AS seq
+      FROM d LEFT JOIN m USING (r)),
 {chain},
-f AS (SELECT *, list_filter([{flags}], lambda x: x IS NOT NULL) AS l FROM s{len(found) - 1})
+f AS (SELECT * EXCLUDE (l0), list_filter(l0, lambda x: x <> {lit(ALONE)} OR len(list_distinct(l0)) = 1) AS l FROM
+      (SELECT *, list_filter([{flags}], lambda x: x IS NOT NULL) AS l0 FROM s{len(found) - 1}))
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_known AS BIGINT) AS n_known, identifiers,
        array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS licenses,
        CAST(length({last}) - length(replace({last}, '<', '')) AS BIGINT) AS n_unexplained
