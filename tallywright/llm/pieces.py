@@ -12,40 +12,41 @@ model's own pieces; there the fold is the model's merge rule over the same latti
 state is the set of boundaries as bits of a long, and the best edge that joins exactly two
 current symbols closes the boundary between them.
 
-Every unit of at most ``LONGEST_UNIT`` characters goes through the lattice, frequent ones once
-and the others wherever they stand. Longer ones, whose boundaries do not fit a long, follow
-the same rule where their text is read.
+Every distinct unit of at most ``LONGEST_UNIT`` characters goes through the lattice, once.
+Longer ones, whose boundaries do not fit a long, follow the same rule where their text is read.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import itertools
 import pickle
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialise
-from .vocabulary import HEAD, head_cutoff
+from .common import chunked
+from .vocabulary import HEAD
 
 SPACE = "▁"
 #: Units of more characters do not fit the bits of a long and are merged one by one.
 LONGEST_UNIT = 60
-#: Words that a worker remembers.
-MEMO = 1 << 17
-#: Distinct words, and words in all, that are counted before the counts go out.
-FLUSH, FLUSH_WORDS = 1 << 18, 1 << 24
+#: Words in all that a chunk of texts holds before the next begins, words that are cut at once, and rows of a batch.
+CHUNK_WORDS, CUT, ROWS = 1 << 22, 1 << 15, 1 << 15
 
 
 #: The fold by the model type that a .model file states.
@@ -168,7 +169,7 @@ class Units:
             out.append(SPACE * (spaces - 1))
         return out
 
-    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def cut(self, words: list[str]) -> tuple[pa.StringArray, np.ndarray]:
         """(units of all words in order, how many each word has) of words as ``words`` gives them."""
         marked = [w if w[0] == SPACE else SPACE + w for w in words]
         text = "".join(marked)
@@ -178,8 +179,12 @@ class Units:
         joined = self.pairs[np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)] == both
         joined[ends[:-1] - 1] = False
         cuts = np.append(np.flatnonzero(~joined) + 1, len(chars))
-        at = cuts.tolist()
-        return list(map(text.__getitem__, map(slice, [0, *at], at))), np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
+        # where characters end in UTF-8
+        octets = np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
+        offsets = np.zeros(len(cuts) + 1, dtype=np.int32)
+        offsets[1:] = octets[cuts - 1]
+        units = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(offsets), pa.py_buffer(text.encode()))
+        return units, np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
 
 
 def merge(unit: str, model: PieceModel) -> list[str]:
@@ -331,180 +336,212 @@ def lattice(units: DataFrame, model: PieceModel, fold: str | None = None, key: t
     return path.select("unit", *others, F.expr(SPELL.format(nothing=NOTHING, bytes=", ".join(map(str, model.bytes)))).alias("ids"))
 
 
-def count_units(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
-    """(unit, n): how often each distinct unit of at most ``LONGEST_UNIT`` characters stands in all texts."""
-    spanned = model.spanned
+def _small_tasks(spark: SparkSession) -> int:
+    """Partitions for the lattice: what a task holds of it is many times its units."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen, held = Units(spanned), Counter(), 0
 
-        def flush() -> pa.RecordBatch:
-            units: dict[str, int] = defaultdict(int)
-            if seen:
-                found, sizes = cutter.cut(list(seen))
-                for u, n in zip(found, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes).tolist()):
-                    units[u] += n
-            kept = [u for u in units if len(u) <= LONGEST_UNIT]
-            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([units[u] for u in kept], pa.int64())], names=["unit", "n"])
+class Numbering:
+    """The distinct words and units of a run of texts, numbered as they come; a text is its units' numbers."""
 
-        for batch in batches:
-            for text in batch.column(text_col):
-                words = cutter.words(text.as_py() or "")
-                seen.update(words)
-                held += len(words)
-                if len(seen) >= FLUSH or held >= FLUSH_WORDS:
-                    yield flush()
-                    seen.clear()
-                    held = 0
-        yield flush()
+    def __init__(self, spanned: set[str]):
+        self.cutter = Units(spanned)
+        self.start()
 
-    return docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    def start(self) -> None:
+        self.words: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.text = array("i")
+        self.ends = [0]
 
+    def add(self, text: str) -> None:
+        self.text.extend(map(self.words.__getitem__, self.cutter.words(text)))
+        self.ends.append(len(self.text))
 
-def _small_tasks(spark: SparkSession) -> int:
-    """Partitions for the lattice: what a task holds of it is many times its units."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def finish(self, sizes: list[int]) -> tuple[pa.StringArray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct units by number, frequent ones first; of each run of so many texts (units of each, numbers of units)."""
+        cuts = [self.cutter.cut(words) for words in chunked(self.words, CUT)]
+        count = np.concatenate([np.zeros(0, np.int64), *(n for _, n in cuts)])
+        units = pa.concat_arrays([pa.array([], pa.string()), *(u for u, _ in cuts)]).dictionary_encode()
+        numbers, first, words = units.indices.to_numpy(), np.cumsum(count) - count, np.frombuffer(self.text, np.int32)
+        n = np.bincount(words, minlength=len(count))
+        order = np.argsort(-np.bincount(numbers, np.repeat(n, count), len(units.dictionary)), kind="stable")
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order))
+        numbers, out, at = place[numbers], [], 0
+        for size in sizes:
+            ends = np.array(self.ends[at:at + size + 1])
+            some = words[ends[0]:ends[-1]]
+            of_texts = np.diff(np.append(0, np.cumsum(count[some]))[ends - ends[0]])
+            out.append((of_texts, numbers[spread(first[some], count[some])]))
+            at += size
+        return units.dictionary.take(pa.array(order)), out
 
 
-class Encoder:
-    """Texts as ids of the units that this worker knows, with a hole for each of the others."""
-
-    def __init__(self, model: PieceModel, known: dict[str, bytes]):
-        self.cutter, self.known, self.model = Units(model.spanned), known, model
-        self.segment, self.kind = SEGMENT[model.fold], id_type(model)
-        self.hole = np.array([HOLE], dtype=np.int64).astype(self.kind).tobytes()
-        self.words: dict[str, bytes] = {}
-
-    def _words(self, words: list[str]) -> tuple[dict[str, bytes], dict[str, list[str]]]:
-        """(ids, units of the holes) of words; those without holes are remembered."""
-        units, sizes = self.cutter.cut(words)
-        parts, at = list(map(self.known.get, units)), 0
-        out: dict[str, bytes] = {}
-        missing: dict[str, list[str]] = {}
-        for word, n in zip(words, sizes.tolist()):
-            own = parts[at:at + n]
-            if None not in own:
-                ids = own[0] if n == 1 else b"".join(own)
-                if len(word) <= LONGEST_UNIT:
-                    if len(self.words) >= MEMO:
-                        self.words.clear()
-                    self.words[word] = ids
-            else:
-                holes = []
-                for i, unit in enumerate(units[at:at + n]):
-                    if own[i] is None and len(unit) > LONGEST_UNIT:
-                        own[i] = np.array(ids_of(self.segment(unit, self.model), self.model), dtype=self.kind).tobytes()
-                    elif own[i] is None:
-                        holes.append(unit)
-                        own[i] = self.hole
-                ids = own[0] if n == 1 else b"".join(own)
-                if holes:
-                    missing[word] = holes
-            out[word] = ids
-            at += n
-        return out, missing
-
-    def texts(self, texts: list[str]) -> tuple[list[bytes], list[list[str]]]:
-        """(ids, units that the holes among them stand for, in order) of every text."""
-        words = [self.cutter.words(t) for t in texts]
-        found = [list(map(self.words.get, ws)) for ws in words]
-        fresh = [[w for w, ids in zip(ws, own) if ids is None] if None in own else [] for ws, own in zip(words, found)]
-        new, missing = self._words(list(set(itertools.chain.from_iterable(fresh)))) if any(fresh) else ({}, {})
-        out, rare = [], []
-        for own, ws in zip(found, fresh):
-            if ws:
-                late = map(new.__getitem__, ws)
-                own = [next(late) if ids is None else ids for ids in own]
-            out.append(b"".join(own))
-            rare.append([u for w in ws if w in missing for u in missing[w]])
-        return out, rare
-
-
-#: Stands where the ids of a unit are still to come; no piece has this id.
-HOLE = -1
-
-
-def id_type(model: PieceModel) -> type:
-    """Ids travel in as few bytes as the model's largest id needs beside the hole."""
-    most = max([*model.bytes, *(i for i, _ in model.pieces.values())])
-    return np.uint16 if most < (1 << 16) - 1 else np.int32
-
-
-def _filled(ids: list[bytes], parts: pa.ListArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, ids) of a batch of texts, the ids of ``parts`` (ordinal, ids) put into the holes."""
-    own = np.frombuffer(b"".join(ids), dtype=kind)
-    hole = np.array([HOLE], dtype=np.int64).astype(kind)[0]
-    at = np.flatnonzero(own == hole)
-    edges = np.zeros(len(ids) + 1, dtype=np.int64)
-    np.cumsum([len(x) // own.itemsize for x in ids], out=edges[1:])
-    if not len(at):
-        return edges, own.astype(np.int32)
-    sizes = np.ones(len(own), dtype=np.int64)
-    offsets = parts.offsets.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(parts)), np.diff(offsets))
-    cells = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
-    order = np.lexsort((cells.field("k").to_numpy(zero_copy_only=False), row))
-    have = np.bincount(row, minlength=len(ids))
-    if len(order) != len(at) or not np.array_equal(have, np.bincount(np.searchsorted(edges, at, side="right") - 1, minlength=len(ids))):
-        raise ValueError("a unit of a text has no ids, or more than one")
-    found = cells.field("ids")
-    starts = found.offsets.to_numpy().astype(np.int64)
-    lengths = np.diff(starts)[order]
-    sizes[at] = lengths
-    to = np.zeros(len(own) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=to[1:])
-    out = np.empty(to[-1], dtype=np.int32)
-    plain = own != hole
-    out[to[:-1][plain]] = own[plain]
-    values = found.values.to_numpy(zero_copy_only=False)
-    step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(to[at], lengths) + step] = values[np.repeat(starts[:-1][order], lengths) + step]
-    return to[edges], out
-
-
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", head: int = 2 * HEAD) -> DataFrame:
-    """(id, ids): the piece ids of every row of ``docs``, as the library gives them for a model of its kind.
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every run of so many, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
-    Null and empty texts have no ids; repeated and null ids keep a row each; other columns
-    are ignored. Words and units of any length are whole. The most frequent ``head`` units go
-    through the lattice once and then to every worker with their ids; every other unit goes
-    through it where its text was dealt, by row number, and fills the hole that it left.
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit integers, compressed byte by byte of all."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+TEXTS, UNITS = 0, 1
+
+
+def number_units(docs: DataFrame, model: PieceModel, id_col: str, text_col: str, head: int) -> DataFrame:
+    """(chunk, cell): texts as numbers of units, and the numbered units, in one pass over ``docs``.
+
+    A worker numbers the distinct units of the texts that it reads, a chunk, until they have
+    ``head`` distinct words or ``CHUNK_WORDS`` words in all. A cell is pickled: (TEXTS, type and
+    ids of the rows in Arrow's format, units of each, numbers) or (UNITS, first number, bytes of each,
+    text). A chunk's name depends on all it holds, so cells of unlike runs never meet.
     """
-    spark: SparkSession = docs.sparkSession
-    counted = materialise(count_units(docs, model, text_col), "units")
-    kind = id_type(model)
-    frequent = counted.where(F.col("n") >= head_cutoff(counted, head)).select("unit").repartition(2 * spark.sparkContext.defaultParallelism, "unit")
-    known = {r["unit"]: np.array(r["ids"], dtype=kind).tobytes() for r in lattice(frequent, model).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(known)
-
-    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packed = Encoder(model, shared.value), zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                own, rare = encoder.texts([t or "" for t in some.column(text_col).to_pylist()])
-                cells = [[pickle.dumps(i), packed(ids), *(u.encode() for u in units)] for i, ids, units in zip(some.column("id").to_pylist(), own, rare)]
-                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(cells, pa.list_(pa.binary()))], names=["row", "cells"])
+    spanned = model.spanned
 
-    id_kind = docs.schema[id_col].dataType
-    arrow_kind = to_arrow_type(id_kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbering, partition = Numbering(spanned), TaskContext.get().partitionId()
+        chunks, held = itertools.count(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            units, texts = numbering.finish(list(map(len, held)))
+            numbering.start()
+            cells = []
+            for ids, (of_texts, numbers) in zip(held, texts):
+                rows = pa.RecordBatch.from_arrays([ids], names=["id"])
+                cells.append(pickle.dumps((TEXTS, rows.schema.serialize().to_pybytes(), zstandard.compress(rows.serialize(), 1), packed(of_texts), packed(numbers))))
+            held.clear()
+            for i in range(0, len(units), ROWS):
+                some = units.slice(i, ROWS).to_pylist()
+                octets = [u.encode() for u in some]
+                cells.append(pickle.dumps((UNITS, i, packed(np.array([len(u) for u in octets])), zstandard.compress(b"".join(octets), 1))))
+            whole = hashlib.sha256(b"%d:%d:" % (partition, next(chunks)))
+            for cell in cells:
+                whole.update(cell)
+            name = int.from_bytes(whole.digest()[:8], "big", signed=True)
+            for i in range(0, len(cells), 16):
+                some = cells[i:i + 16]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(some, pa.binary())], names=["chunk", "cell"])
 
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacked = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                edges, ids = _filled(list(map(unpacked, some.column("own").to_pylist())), some.column("parts"), kind)
-                keys = pa.array([pickle.loads(i) for i in some.column("id").to_pylist()], arrow_kind)
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
+                for text in some.column("text").to_pylist():
+                    numbering.add(text or "")
+                held.append(some.column("id"))
+                if len(numbering.words) >= head or len(numbering.text) >= CHUNK_WORDS:
+                    yield from flush()
+        yield from flush()
+
+    schema = T.StructType([T.StructField("chunk", T.LongType(), False), T.StructField("cell", T.BinaryType(), False)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def units_of(cell: tuple) -> tuple[int, list[str]]:
+    """(first number, units) of a cell of units."""
+    _, first, sizes, data = cell
+    at, octets = np.cumsum(np.append(0, unpacked(sizes))).tolist(), zstandard.decompress(data)
+    return first, [octets[a:b].decode() for a, b in itertools.pairwise(at)]
+
+
+def units_to_look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, in_chunk, local) of the units in cells that are short enough for the lattice."""
+    for batch in batches:
+        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("cell").to_pylist()):
+            cell = pickle.loads(data)
+            if cell[0] != UNITS:
+                continue
+            first, units = units_of(cell)
+            local = np.array([first + i for i, u in enumerate(units) if len(u) <= LONGEST_UNIT], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([u for u in units if len(u) <= LONGEST_UNIT], pa.string()), pa.array(np.full(len(local), chunk, dtype=np.int64)), pa.array(local)],
+                names=["unit", "in_chunk", "local"],
+            )
+
+
+def packed_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(in_chunk, part): rows (in_chunk, local, ids) of a batch, packed by chunk."""
+    for batch in gathered(batches, 1 << 18):
+        chunk, local, ids = batch.column("in_chunk").to_numpy(), batch.column("local").to_numpy(), batch.column("ids")
+        order = np.lexsort((local, chunk))
+        ids = ids.take(pa.array(order))
+        edges, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        chunk, local = chunk[order], local[order]
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        parts = [pickle.dumps((packed(np.diff(local[a:b], prepend=0)), packed(np.diff(edges[a:b + 1])), packed(values[edges[a]:edges[b]]))) for a, b in itertools.pairwise(cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), pa.array(parts, pa.binary())], names=["in_chunk", "part"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= rows):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+
+
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", head: int = 3 * HEAD) -> DataFrame:
+    """(id, ids): the piece ids of every row of ``docs``, as the library gives them for a model of its kind.
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_col)
-    # one array without nulls (the id, known ids, other units): both readers below ask for the
-    # same columns and rows, and so share one shuffle, into tasks that are small for the lattice
-    dealt = numbered.mapInArrow(known_ids, T.StructType([T.StructField("row", T.LongType(), False), T.StructField("cells", T.ArrayType(T.BinaryType(), False), False)])).repartition(_small_tasks(spark), "row")
-    rare = dealt.select("row", F.posexplode_outer(F.slice("cells", F.lit(3), F.size("cells"))).alias("k", "unit")).select(F.col("unit").cast("string").alias("unit"), "row", "k").where("unit is not null")
-    parts = lattice(rare, model, key=("row", "k")).groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    own = dealt.join(parts, "row", "left").select(F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("own"), F.coalesce("parts", F.array().cast("array<struct<k:int,ids:array<int>>>")).alias("parts"))
-    schema = T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return own.mapInArrow(filled, schema).withColumnRenamed("id", id_col)
+    Null and empty texts have no ids; repeated and null ids keep a row each; other columns
+    are ignored. Words and units of any length are whole. Texts are cut once, into numbers of
+    units by chunk (``head`` as in ``number_units``). Every distinct unit goes through the
+    lattice once and joins the chunks that hold it, where its ids take the place of its number.
+    """
+    spark: SparkSession = docs.sparkSession
+    # the readers of each of these two ask for the same columns without nulls, and so share one shuffle
+    cells = number_units(docs, model, id_col, text_col, head).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    places = cells.mapInArrow(units_to_look_up, T.StructType([
+        T.StructField("unit", T.StringType(), False), T.StructField("in_chunk", T.LongType(), False), T.StructField("local", T.IntegerType(), False),
+    ])).repartition(_small_tasks(spark), "unit")
+    distinct = places.groupBy("unit").agg(F.min("in_chunk").alias("least_chunk"), F.min("local").alias("least"))
+    found = places.join(lattice(distinct, model), "unit").where("least_chunk <= in_chunk and least <= local").select("in_chunk", "local", "ids")
+    parts = found.mapInArrow(packed_parts, "in_chunk long, part binary")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    arrow, segment, shared = to_arrow_schema(schema), SEGMENT[model.fold], spark.sparkContext.broadcast(model)
+
+    def filled(own: pa.Table, found: pa.Table) -> pa.Table:
+        texts, lists, local, sizes = [], [], [], []
+        n = 0
+        for cell in map(pickle.loads, own.column("cell").to_pylist()):
+            if cell[0] == TEXTS:
+                texts.append(cell[1:])
+                continue
+            first, units = units_of(cell)
+            n += len(units)
+            for i, unit in enumerate(units, first):
+                if len(unit) > LONGEST_UNIT:
+                    lists.append(np.array(ids_of(segment(unit, shared.value), shared.value), dtype=np.int32))
+                    local.append([i])
+                    sizes.append([len(lists[-1])])
+        for steps, lengths, ids in map(pickle.loads, found.column("part").to_pylist()):
+            local.append(np.cumsum(unpacked(steps)))
+            sizes.append(unpacked(lengths))
+            lists.append(unpacked(ids))
+        nothing = [np.zeros(0, dtype=np.int64)]
+        at, length, values = np.concatenate(nothing + local), np.concatenate(nothing + sizes), np.concatenate([np.zeros(0, np.int32), *lists])
+        if len(at) != n or not np.array_equal(np.sort(at), np.arange(n)):
+            raise ValueError("a unit of a chunk has no ids, or more than once")
+        starts, counts = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        starts[at], counts[at] = np.cumsum(length) - length, length
+        out = []
+        for kind, body, of_texts, numbers in texts:
+            rows = pa.ipc.read_record_batch(pa.py_buffer(zstandard.decompress(body)), pa.ipc.read_schema(pa.py_buffer(kind)))
+            flat = unpacked(numbers)
+            edges = np.append(0, np.cumsum(counts[flat]))[np.append(0, np.cumsum(unpacked(of_texts)))]
+            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values[spread(starts[flat], counts[flat])]))
+            out.append(pa.RecordBatch.from_arrays([rows.column("id").cast(arrow.field("id").type), ids.cast(arrow.field("ids").type)], schema=arrow))
+        return pa.Table.from_batches(out, arrow)
+
+    return cells.groupBy("chunk").cogroup(parts.groupBy("in_chunk")).applyInArrow(filled, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -515,15 +552,18 @@ def decode(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ids that are no piece, negative ones included, have no bytes
-        table = [value.get(i, b"") for i in range(most)] + [b""]
+        table = pa.array([value.get(i, b"") for i in range(most)] + [b""], pa.large_binary())
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                texts = []
-                for ids in some.column(ids_col):
-                    own = np.zeros(0, dtype=np.int64) if ids.values is None else ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
-                    text = b"".join(map(table.__getitem__, np.where((own < 0) | (own > most), most, own).tolist())).decode(errors="replace")
-                    texts.append(text[1:] if text.startswith(" ") else text)
-                yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array(texts, pa.string())], names=["id", "text"])
+                lists = some.column(ids_col)
+                edges = np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_pylist()])
+                own = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                spelled = table.take(pa.array(np.where((own < 0) | (own > most), most, own)))
+                # the bytes of all pieces stand one after the other, so a text is a slice of them
+                at = np.cumsum(np.append(0, pc.binary_length(spelled).to_numpy()))[edges].tolist()
+                octets = b"" if not at[-1] else spelled.buffers()[2].to_pybytes()
+                texts = [octets[a:b].decode(errors="replace") for a, b in itertools.pairwise(at)]
+                yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array([t.removeprefix(" ") for t in texts], pa.string())], names=["id", "text"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType())])
     return encoded.select(id_col, ids_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -107,3 +107,29 @@ def test_lattice_merges_as_the_rule_does(spark, model):
         units = {"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 30, 60]))) for _ in range(80)}
         got = {r["unit"]: r["ids"] for r in pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), m).collect()}
         assert got == {u: pieces.ids_of(pieces.merge(u, m), m) for u in units}
+
+
+@pytest.mark.parametrize("head", [0, 1 << 17])
+def test_texts_are_read_once_and_every_distinct_unit_is_looked_up_once(spark, model, monkeypatch, head):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [f"thenre{i % 7}qx ontionerwhx the {'y' * 70}" for i in range(300)]
+    read, looked_up, lattice = spark.sparkContext.accumulator(0), [], pieces.lattice
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    def watched(units, *args, **kwargs):
+        looked_up.append(units)
+        return lattice(units, *args, **kwargs)
+
+    monkeypatch.setattr(pieces, "lattice", watched)
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = pieces.encode(docs.mapInArrow(count, docs.schema), model, head=head).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    assert read.value == len(texts)
+    units = [r["unit"] for df in looked_up for r in df.select("unit").collect()]
+    assert len(units) == len(set(units))
