@@ -1,36 +1,37 @@
 """Token counts without token ids.
 
 Texts fall into pre-tokens, which tokens never cross. Every distinct pre-token is encoded
-once by the library, for its number of pieces; per-document pre-token frequencies join
-those numbers, and the products are summed. The most frequent pre-tokens (at most
-``vocabulary.HEAD``) join where the document is read; the frequencies of the others are
-shuffled to the counted table.
+once by the library, for its number of pieces; the pre-tokens of the documents join those
+numbers, and they are summed. Texts are cut once: what is shuffled are numbers of pre-tokens,
+and the distinct pre-tokens of a run of texts.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import pickle
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunked, materialise
-from .vocabulary import HEAD, HEAD_BYTES, head_cutoff
+from .common import chunked
+from .numbering import DISTINCT_WORDS, TEXTS, UNITS, Numbering, number_texts, packed_parts, units_to_look_up, unpacked
 
 LIMIT = 1024
 # Fixed value: the pattern by which byte-level pre-tokenizers cut.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Blank-separated stretches whose pre-tokens a worker remembers.
-MEMO = 1 << 16
-#: Distinct pre-tokens that a worker counts before it passes them on.
-FLUSH = 1 << 17
 
 
 class PreTokens:
@@ -38,7 +39,7 @@ class PreTokens:
 
     A text in which every space stands alone may be cut before every blank and line end,
     for a pre-token that holds a blank begins with it; the stretches repeat and are
-    remembered. Other texts go through the pre-tokenizer whole.
+    numbered. Other texts go through the pre-tokenizer whole.
     """
 
     def __init__(self, definition: str):
@@ -54,7 +55,6 @@ class PreTokens:
         longest_first = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.spaces = re.compile(r"\s\s")
-        self.memo: dict[str, list[str]] = {}
         # Latin letters have been the same letters in every version of Unicode, so for them
         # the pattern of the byte-level pre-tokenizer need not be the library's own copy
         plain = spec.get("pre_tokenizer") or {}
@@ -75,39 +75,25 @@ class PreTokens:
             return [*head, lead + core, body[len(core):]] if len(core) < len(body) else [*head, lead + core]
         return [*head, *self._cut(lead + body)]
 
-    def _plain(self, text: str, into: dict[str, int]) -> None:
-        if not text:
-            return
-        if text[0].isspace() or text[-1].isspace() or self.spaces.search(text):
-            for piece in self._cut(text):
-                into[piece] += 1
-            return
-        # every space stands alone between others: a line end is a pre-token, a blank begins one
-        first, *rest = text.replace("\n", " \n").split(" ")
-        for piece in self._cut(first):
-            into[piece] += 1
-        memo, words = self.memo, self.latin is not None
-        for stretch, n in Counter(rest).items():
-            if words and stretch.isascii() and stretch.isalpha():
-                into[" " + stretch] += n
-                continue
-            cut = memo.get(stretch)
-            if cut is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                cut = memo[stretch] = self._stretch(stretch)
-            for piece in cut:
-                into[piece] += n
-
-    def count(self, text: str) -> dict[str, int]:
-        into: dict[str, int] = defaultdict(int)
-        parts = self.added.split(text) if self.added else [text]
-        for i, part in enumerate(parts):
+    def numbers(self, text: str, stretches: dict[str, int], direct: dict[str, int]) -> Iterator[int]:
+        """Numbers of a text's stretches that follow a blank, and of its other pre-tokens."""
+        for i, part in enumerate(self.added.split(text) if self.added else [text]):
             if i % 2:
-                into[part] += 1
+                yield direct[part]
+            elif not part:
+                continue
+            elif part[0].isspace() or part[-1].isspace() or self.spaces.search(part):
+                yield from map(direct.__getitem__, self._cut(part))
             else:
-                self._plain(part, into)
-        return into
+                # every space stands alone between others: a line end is a pre-token, a blank begins one
+                first, *rest = part.replace("\n", " \n").split(" ")
+                yield from map(direct.__getitem__, self._cut(first))
+                yield from map(stretches.__getitem__, rest)
+
+    def stretch(self, stretch: str) -> list[str]:
+        if self.latin is not None and stretch.isascii() and stretch.isalpha():
+            return [" " + stretch]
+        return self._stretch(stretch)
 
     def pieces(self, pretokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
@@ -119,81 +105,85 @@ def _pretokens(definition: str) -> PreTokens:
     return PreTokens(definition)
 
 
+class PreTokenNumbering(Numbering):
+    """Stretches and pre-tokens that stand by themselves share one row of numbers."""
+
+    def __init__(self, definition: str):
+        self.cutter = _pretokens(definition)
+        super().__init__()
+
+    def start(self) -> None:
+        super().start()
+        self.direct: dict[str, int] = defaultdict(self.words.default_factory)
+
+    def distinct(self) -> int:
+        return len(self.words) + len(self.direct)
+
+    def number(self, text: str) -> Iterable[int]:
+        return self.cutter.numbers(text, self.words, self.direct)
+
+    def cut(self) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        pretokens: dict[str, int] = defaultdict(itertools.count().__next__)
+        count, parts = np.zeros(self.distinct(), dtype=np.int64), [b""] * self.distinct()
+        for stretch, i in self.words.items():
+            own = [pretokens[p] for p in self.cutter.stretch(stretch)]
+            count[i], parts[i] = len(own), array("i", own).tobytes()
+        for pretoken, i in self.direct.items():
+            count[i], parts[i] = 1, array("i", [pretokens[pretoken]]).tobytes()
+        return pa.array(list(pretokens), pa.string()), np.frombuffer(b"".join(parts), np.int32), count
+
+
 def count_tokens(
-    docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, head: int = HEAD
+    docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, head: int = DISTINCT_WORDS
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
     ``definition`` is the JSON of a tokenizers file. Null texts are empty and have no
     tokens; rows with repeated or null ids are counted apart; other columns are ignored.
+    A worker's chunk of texts ends at ``head`` distinct stretches (see ``number_texts``).
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = _pretokens(definition), Counter()
-        for batch in batches:
-            for text in (t for i in range(0, batch.num_rows, 256) for t in batch.column("text").slice(i, 256).to_pylist()):
-                for pretoken, n in cutter.count(text).items():
-                    seen[pretoken] += n
-                if len(seen) >= FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pretoken", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pretoken", "n"])
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), n_bytes.alias("n_bytes")).alias("id"), F.col(text_col).alias("text"))
+    # both readers ask for the same columns, and so share one shuffle
+    cells = number_texts(texts, functools.partial(PreTokenNumbering, definition), "id", "text", head).repartition(partitions, "chunk")
+    places = units_to_look_up(cells, partitions).sortWithinPartitions("unit")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _pretokens(definition)
-        for batch in batches:
-            pieces = [n for part in chunked(batch.column("pretoken").to_pylist(), 1024) for n in cutter.pieces(part)]
-            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array(pieces, pa.int64())], names=["pretoken", "n", "pieces"])
-
-    distinct = texts.select("text").mapInArrow(vocabulary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    table = materialise(distinct.mapInArrow(counted, "pretoken string, n long, pieces long"), "pretokens")
-    cutoff = head_cutoff(table, head)
-    at_hand = (F.col("n") >= cutoff) & (F.octet_length("pretoken") <= HEAD_BYTES)
-    frequent = {r["pretoken"]: r["pieces"] for r in table.where(at_hand).select("pretoken", "pieces").toLocalIterator()}
-    known = spark.sparkContext.broadcast(frequent)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, pieces = _pretokens(definition), known.value
+        """(in_chunk, local, ids): the number of pieces; rows of a pre-token follow each other, and it is encoded once."""
+        cutter, last = _pretokens(definition), {}
         for batch in batches:
-            for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                of, pretokens, counts = [], [], []
-                n_bytes = []
-                for i, text in enumerate(some.column("text").to_pylist()):
-                    total = 0
-                    for pretoken, n in cutter.count(text).items():
-                        have = pieces.get(pretoken)
-                        if have is None:
-                            of.append(i)
-                            pretokens.append(pretoken)
-                            counts.append(n)
-                            n_bytes.append(0)
-                        else:
-                            total += n * have
-                    of.append(i)
-                    pretokens.append(None)
-                    counts.append(total)
-                    n_bytes.append(len(text.encode()))
-                at = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("row").take(at), some.column("id").take(at), pa.array(pretokens, pa.string()), pa.array(counts, pa.int64()), pa.array(n_bytes, pa.int64())],
-                    names=["row", "id", "pretoken", "n", "n_bytes"],
-                )
-
-    schema = T.StructType([
-        T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("pretoken", T.StringType()),
-        T.StructField("n", T.LongType()), T.StructField("n_bytes", T.LongType()),
-    ])
-    rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(frequencies, schema)
-    # a document's own sum has no pre-token; a key that no pre-token can be spreads those rows
-    rows = rows.withColumn("key", F.coalesce("pretoken", F.concat(F.lit("\x00 "), F.col("row").cast("string"))))
-    rare = table.where(~at_hand).select(F.col("pretoken").alias("key"), "pieces")
-    pieces = F.when(F.col("pretoken").isNull(), 1).otherwise(F.coalesce("pieces", F.raise_error(F.lit("a pre-token without a count")).cast("long")))
-    summed = rows.join(rare, "key", "left").groupBy("row", "id").agg(
-        F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") * pieces).alias("n_tokens")
-    )
-    return summed.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+            coded = batch.column("unit").dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            fresh = [n for n in names if n not in last]
+            last |= zip(fresh, itertools.chain.from_iterable(map(cutter.pieces, chunked(fresh, 1024))))
+            pieces = np.array([last[n] for n in names], dtype=np.int32)[coded.indices.to_numpy()]
+            last = {names[-1]: last[names[-1]]} if names else last
+            ids = pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), pa.array(pieces))
+            yield pa.RecordBatch.from_arrays([batch.column("in_chunk"), batch.column("local"), ids], names=["in_chunk", "local", "ids"])
+
+    parts = places.mapInArrow(lambda batches: packed_parts(counted(batches)), "in_chunk long, part binary")
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("n_tokens", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def summed(own: pa.Table, found: pa.Table) -> pa.Table:
+        cells = list(map(pickle.loads, own.column("cell").to_pylist()))
+        n = sum(len(unpacked(cell[2])) for cell in cells if cell[0] == UNITS)
+        parts = [(np.cumsum(unpacked(steps)), unpacked(pieces)) for steps, _, pieces in map(pickle.loads, found.column("part").to_pylist())]
+        at = np.concatenate([np.zeros(0, dtype=np.int64), *(a for a, _ in parts)])
+        if len(at) != n or not np.array_equal(np.sort(at), np.arange(n)):
+            raise ValueError("a pre-token without a count, or with more than one")
+        pieces, out = np.empty(n, dtype=np.int64), []
+        pieces[at] = np.concatenate([np.zeros(0, dtype=np.int64), *(p for _, p in parts)])
+        for _, kind, body, of_texts, numbers in (cell for cell in cells if cell[0] == TEXTS):
+            rows = pa.ipc.read_record_batch(pa.py_buffer(zstandard.decompress(body)), pa.ipc.read_schema(pa.py_buffer(kind)))
+            totals = np.append(0, np.cumsum(pieces[unpacked(numbers)]))[np.append(0, np.cumsum(unpacked(of_texts)))]
+            out.append(pa.RecordBatch.from_arrays([rows.column("id").cast(arrow.field("id").type), pa.array(np.diff(totals), pa.int64())], schema=arrow))
+        return pa.Table.from_batches(out, arrow)
+
+    sums = cells.groupBy("chunk").cogroup(parts.groupBy("in_chunk")).applyInArrow(summed, schema)
+    return sums.select(F.col("id.id").alias(id_col), "id.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -40,3 +40,21 @@ def test_head_cutoff_is_bounded(spark):
     for head in (0, 1, 6, 25, 26, 76, 100):
         assert df.where(df.n >= head_cutoff(df, head)).count() <= head
     assert head_cutoff(df, 100) == 1 and head_cutoff(df, 26) == 2
+
+
+@pytest.mark.parametrize("head", [0, 1 << 17])
+def test_texts_are_read_once(spark, definition, head):
+    from tokenizers import Tokenizer
+
+    tokenizer, read = Tokenizer.from_str(definition), spark.sparkContext.accumulator(0)
+    texts = [f"thenre{i % 7}qx ontionerwhx,\nthe end {i}" for i in range(300)]
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, t, 7, "k") for i, t in enumerate(texts)], SCHEMA)
+    got = count_tokens(docs.mapInArrow(count, docs.schema), definition, head=head).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(tokenizer.encode(t).ids) for i, t in enumerate(texts)}
+    assert read.value == len(texts)
