@@ -120,6 +120,8 @@ def number_texts(docs: DataFrame, numberings: Callable[[], Numbering], id_col: s
             for i in range(0, len(cells), 16):
                 some = cells[i:i + 16]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(some, pa.binary())], names=["chunk", "cell"])
+            # workers stay for later stages, what Arrow has freed need not
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for some in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):

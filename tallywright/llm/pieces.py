@@ -387,6 +387,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             local.append(np.cumsum(unpacked(steps)))
             sizes.append(unpacked(lengths))
             lists.append(unpacked(ids))
+        pa.default_memory_pool().release_unused()
         nothing = [np.zeros(0, dtype=np.int64)]
         at, length, values = np.concatenate(nothing + local), np.concatenate(nothing + sizes), np.concatenate([np.zeros(0, np.int32), *lists])
         if len(at) != n or not np.array_equal(np.sort(at), np.arange(n)):
